@@ -92,54 +92,81 @@ def task_base() -> int:
     return (ctx.partitionId() if ctx else 0) << 40
 
 
-#: White space beside a space, or at either end: there the pieces between spaces can't be encoded apart.
-ODD_SPACE = re.compile(r"^ | $|\s | \s")
-INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def pieces(text: str) -> list[str]:
-    """Parts of a text that byte-level BPE encodes apart: it always begins a new pre-token at a single space between two characters that are no white space.  The space belongs to the piece on its right and is left out here."""
-    return INNER_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
+#: Texts with other white space than single spaces and newlines between words are encoded as they are.
+IRREGULAR = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
 
 
 class PieceEncoder:
-    """Byte-level BPE by ``tokenizers`` with a bounded memo of pieces; gives what ``encode`` gives for the whole text."""
+    """Byte-level BPE by ``tokenizers`` with a bounded memo of pieces; gives what ``encode`` gives for the whole text.
 
-    def __init__(self, path: str, kind=np.uint32, most: int = 250_000, longest: int = 48):
+    A pre-token always begins at a single space or newline between two characters
+    that are no white space, so what lies between these is encoded apart.  A space
+    belongs to the piece on its right; a newline is a pre-token of its own.
+    Texts with marks of special tokens are encoded as they are.
+    """
+
+    def __init__(self, path: str, kind=np.uint32, most: int = 600_000, longest: int = 40):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t, self.kind, self.most, self.longest = Tokenizer.from_file(path), kind, most, longest
+        (self.newline,) = self.t.encode("\n", add_special_tokens=False).ids
+        #: Of pieces at a text's begin, and of pieces after a space; those after a newline have it before them.
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
 
-    def _learn(self, memo: dict[str, bytes], new: list[str], space: str) -> None:
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for x, e in zip(part, self.t.encode_batch_fast([space + x for x in part], add_special_tokens=False), strict=True):
-                memo[x] = np.array(e.ids, self.kind).tobytes()
+    def _learn(self, memo: dict[str, bytes], keys: list[str], texts: list[str], before: bytes = b"") -> None:
+        """Encodes pieces as the lines of a longer text."""
+        for k in range(0, len(keys), 5_000):
+            part = texts[k : k + 5_000]
+            ids = np.array(self.t.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            cut = [0, *((np.flatnonzero(ids == self.newline) + 1) * ids.itemsize).tolist(), (len(ids) + 1) * ids.itemsize]
+            raw, wide = ids.tobytes(), ids.itemsize
+            memo.update(zip(keys[k : k + 5_000], [before + raw[a : b - wide] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of the chosen width."""
-        split = [pieces(x) if x else [] for x in texts]
-        for memo in (self.first, self.inner):
-            if len(memo) > self.most:
-                memo.clear()
-        self._learn(self.first, list({p[0] for p in split if p} - self.first.keys()), "")
+        split = [None if IRREGULAR.search(x) or "<|" in x else x.replace("\n", " \n").split(" ") if x else [] for x in texts]
+        first = list({p[0] for p in split if p} - self.first.keys())
+        self._learn(self.first, first, first)
         seen: set[str] = set()
         for p in split:
-            seen.update(p[1:])
-        self._learn(self.inner, list(seen - self.inner.keys()), " ")
-        get, first = self.inner.__getitem__, self.first
-        out = [first[p[0]] + b"".join(map(get, p[1:])) if p else b"" for p in split]
-        for memo in (self.first, self.inner):
-            for x in [x for x in memo if len(x) > self.longest]:
-                del memo[x]
+            if p:
+                seen.update(p[1:])
+        new = seen - self.inner.keys()
+        lines = [x for x in new if x[0] == "\n"]
+        words = [x for x in new if x[0] != "\n"]
+        self._learn(self.inner, lines, [x[1:] for x in lines], np.array([self.newline], self.kind).tobytes())
+        self._learn(self.inner, words, [" " + x for x in words])
+        whole = iter(self.t.encode_batch_fast([x for x, p in zip(texts, split, strict=True) if p is None], add_special_tokens=False))
+        get, head = self.inner.__getitem__, self.first
+        out = [np.array(next(whole).ids, self.kind).tobytes() if p is None else head[p[0]] + b"".join(map(get, p[1:])) if p else b"" for p in split]
+        # A full memo keeps what it has: common pieces come early.
+        spare = len(new) if len(self.inner) > self.most else 0
+        for x in new if spare else [x for x in new if len(x) > self.longest]:
+            del self.inner[x]
+        if len(self.first) > self.most // 10:
+            self.first.clear()
         return out
 
 
+_ENCODERS: dict[tuple, PieceEncoder] = {}
+
+
+def encoder_of(path: str | None, kind=np.uint32) -> PieceEncoder:
+    """The encoder of this Python process, kept from task to task."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    key = (path, np.dtype(kind).str)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(path, kind)
+    return _ENCODERS[key]
+
+
 def small_batches(batches, most: int = 4_000_000, column: str = "text"):
     """Arrow batches cut so that each holds about ``most`` bytes of text, or one row."""
     for batch in batches:

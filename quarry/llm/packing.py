@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import TOKENIZER, PieceEncoder, arrow, small_batches, task_base, written
+from quarry.llm.common import arrow, encoder_of, small_batches, task_base, written
 
 LENGTH = 1024
 GROUP_ROWS = 4000
@@ -33,9 +33,7 @@ def cut_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = No
     """Each document's ids with the end id, in pieces of ``length`` and one shorter remainder: place, length and crc32 of each piece."""
 
     def run(batches):
-        import public_tokenizers
-
-        encoder, row = PieceEncoder(tokenizer or public_tokenizers.path(TOKENIZER)), task_base()
+        encoder, row = encoder_of(tokenizer), task_base()
         end, step = np.array([end_id], "<u4").tobytes(), 4 * length
         for batch in small_batches(batches):
             out = []
