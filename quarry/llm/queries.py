@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, jaccard, packing, quality, toxicity, url_filter
+from quarry.llm import decontam, jaccard, packing, quality, substring, toxicity, url_filter
 from quarry.llm.common import table
 
 
@@ -38,6 +38,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring.deduplicate(table(spark, sf_dir, "documents"))
+    span = F.aggregate("dropped", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
+    return got.select("doc_id", "n_chunks", "n_later", F.size("dropped").cast("long").alias("n_dropped"), span.alias("dropped_bytes"), F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.size("dropped") > 0).alias("has_repeat"), "dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
     "op9_packing": op9_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {}
