@@ -20,8 +20,6 @@ empty tables give no rows, or no hits; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,15 +30,15 @@ from quarry.llm.common import WordHash, shingles, small_batches, starts, task_ba
 WINDOW = 10
 SHINGLE = 3
 PRUNE_MOST = 500_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = {k: k + 32 for k in range(65, 91)}
+#: UTF-8 bytes of words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased; every other byte becomes a space.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 OCCURRENCE = "array<struct<at:int,before:int,words:array<string>>>"
 DOCS = f"row long, doc_id long, n_words long, found array<struct<key:long,occurrences:{OCCURRENCE}>>"
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of the lower-cased text."""
-    return WORD.findall(text.translate(LOWER)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Words of the lower-cased text, in UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
 def windows_of(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -53,20 +51,20 @@ def windows_of(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
                 size = min(window, len(words))
-                h = hashes.of([x.encode() for x in words])
+                h = hashes.of(words)
                 for k in range(len(words) - size + 1) if size else ():
                     width = min(shingle, size)
-                    out.append({"item_id": item, "words": words[k : k + size], "width": width, "keys": shingles(h[k : k + size], width).view(np.int64).tolist()})
+                    out.append({"item_id": item, "words": [x.decode("utf-8", "replace") for x in words[k : k + size]], "width": width, "keys": shingles(h[k : k + size], width).view(np.int64).tolist()})
             yield pa.RecordBatch.from_pylist(out, pa.schema({"item_id": pa.int64(), "words": pa.list_(pa.string()), "width": pa.int32(), "keys": pa.list_(pa.int64())}))
 
     return items.select("item_id", "text").mapInArrow(run, "item_id long, words array<string>, width int, keys array<long>").distinct()
 
 
-def _tokens(batch: pa.RecordBatch, hashes: WordHash) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+def _tokens(batch: pa.RecordBatch, hashes: WordHash) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words of each row, hashes of all words, and the rows' offsets among these."""
     words = [words_of(x) for x in batch.column("text").to_pylist()]
     at = starts([len(x) for x in words])
-    return words, hashes.of([x.encode() for row in words for x in row]), at
+    return words, hashes.of([x for row in words for x in row]), at
 
 
 def _places(h: np.ndarray, at: np.ndarray, widths: list[int], wanted: np.ndarray | None):
@@ -112,7 +110,7 @@ def occurrences(docs: DataFrame, widths: list[int], wanted: np.ndarray | None, w
             for rows, places, keys in _places(h, at, widths, wanted):
                 for r, p, k in zip(rows.tolist(), places.tolist(), keys.tolist(), strict=True):
                     low = max(0, p - window + 1)
-                    found[r].setdefault(k, []).append({"at": p, "before": p - low, "words": words[r][low : p + window]})
+                    found[r].setdefault(k, []).append({"at": p, "before": p - low, "words": [x.decode("utf-8", "replace") for x in words[r][low : p + window]]})
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
