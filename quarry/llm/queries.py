@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, jaccard, packing, quality, substring, toxicity, url_filter
+from quarry.llm import decontam, jaccard, packing, quality, substring, token_counts, token_output, toxicity, url_filter
 from quarry.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.recount(token_counts.trees(table(spark, sf_dir, "documents")), token_counts.standard_edits())
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record of the shards."""
+    got = token_output.records(token_output.shards(table(spark, sf_dir, "documents")))
+    return got.select("slot", "shard", "byte", "n_tokens", "ids_crc32", F.size("spans").cast("long").alias("n_spans"), F.element_at("spans", 1)["doc_id"].alias("doc_id"), F.element_at("spans", 1)["start"].alias("start"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -46,9 +56,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
+    "op6_token_output": op6_token_output,
     "op7_quality": op7_quality,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
