@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, jaccard, packing, quality, substring, token_counts, token_output, toxicity, url_filter
+from quarry.llm import decontam, jaccard, lm_mix, packing, quality, substring, token_counts, token_output, toxicity, url_filter
 from quarry.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mix.score(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_token_output": op6_token_output,
     "op7_quality": op7_quality,
+    "op8_lm_mixing": op8_lm_mixing,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
