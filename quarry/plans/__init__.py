@@ -1,6 +1,5 @@
 """Queries over the driver's tables, each with SQL that gives the same rows."""
 
-from __future__ import annotations
+from quarry.plans.queries import ORACLE, QUERIES
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
