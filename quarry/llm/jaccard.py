@@ -28,6 +28,7 @@ other columns are ignored by ``join`` and kept by ``one_of_each``.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ def surveyed(docs: DataFrame, width: int, cells: int, slices: int = 64) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array([node_of(g) if len(g) else None for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()), pa.nulls(n, pa.binary()), batch.column("key")], names=SURVEY)
         if counts.any():
             parts = np.split(np.minimum(counts, 65535).astype(np.uint16), slices)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * slices, pa.int32()), pa.nulls(slices, pa.int64()), pa.array(range(slices), pa.int64()), pa.nulls(slices, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.nulls(slices, pa.int64())], names=SURVEY)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * slices, pa.int32()), pa.nulls(slices, pa.int64()), pa.array(range(slices), pa.int64()), pa.nulls(slices, pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.nulls(slices, pa.int64())], names=SURVEY)
 
     return docs.select("doc_id", "text", row_key()).mapInArrow(run, "kind int, doc_id long, node long, n long, counts binary, key long")
 
@@ -92,7 +93,7 @@ def frequent_cells(survey: DataFrame, cells: int, total: int, slices: int = 64)
     limit = 2 * total // cells + 200
 
     def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        counts = sum((np.frombuffer(x.as_py(), np.uint16).astype(np.uint64) for x in rows["counts"]), np.zeros(cells // slices, np.uint64))
+        counts = sum((np.frombuffer(zlib.decompress(x.as_py()), np.uint16).astype(np.uint64) for x in rows["counts"]), np.zeros(cells // slices, np.uint64))
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(counts > limit).tobytes()], pa.binary())})
 
     got = survey.where("kind = 1").select(F.col("node").alias("slice"), "counts").groupBy("slice").applyInArrow(add, "slice long, bits binary").collect()

@@ -229,6 +229,11 @@ def by_bucket(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return order, bucket[at[:-1]], at
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """In as few bytes each as the largest needs."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint16 if counts.max() < 65536 else np.uint32)
+
+
 def gathered(blocks: DataFrame, buckets: int) -> DataFrame:
     """One pass over the documents.  Kind 0: a block's distinct words of one bucket, with their numbers in training rows.  Kind 1: a task's symbol counts of one slice of an order's table, those that aren't 0."""
     names = ["kind", "bucket", "block", "keys", "counts"]
@@ -266,7 +271,7 @@ def gathered(blocks: DataFrame, buckets: int) -> DataFrame:
         for k, table in enumerate(tables):
             for s, part in enumerate(table.reshape(-1, 256 * SLICE)):
                 if len(some := np.flatnonzero(part)):
-                    out.append({"kind": 1, "bucket": k, "block": s, "keys": some.astype(np.uint16).tobytes(), "counts": part[some].tobytes()})
+                    out.append({"kind": 1, "bucket": k, "block": s, "keys": some.astype(np.uint16).tobytes(), "counts": narrow(part[some]).tobytes()})
         yield pa.RecordBatch.from_pylist(out, pa.schema({"kind": pa.int32(), "bucket": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}))
 
     return blocks.mapInArrow(run, "kind int, bucket long, block long, keys binary, counts binary")
@@ -302,7 +307,8 @@ def symbol_counts(rows: DataFrame) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         total = np.zeros(256 * SLICE, np.uint64)
         for k, n in zip(rows["keys"], rows["counts"], strict=True):
-            total[np.frombuffer(k.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
+            keys, n = np.frombuffer(k.as_py(), np.uint16), n.as_py()
+            total[keys] += np.frombuffer(n, f"<u{len(n) // len(keys)}")
         return pa.table({"order": pa.array([key[0].as_py()]), "slice": pa.array([key[1].as_py()]), "counts": pa.array([total.tobytes()], pa.binary())})
 
     named = rows.where("kind = 1").select(F.col("bucket").alias("order"), F.col("block").alias("slice"), "keys", "counts")
