@@ -71,4 +71,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op1_decontamination": rf"""
+with d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+i as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[k + 1 : k + least(10, len(w))], ' ') as t from i, unnest(range(greatest(len(w) - 9, 1))) r(k) where len(w) > 0),
+pos as (select doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') as t from d, (select distinct n from win), unnest(range(greatest(len(w) - n + 1, 0))) r(k)),
+hit as (select doc_id, item_id, k, n from pos join win using (n, t)),
+covered as (select doc_id, count(distinct k + j) as n_hit from hit, unnest(range(n)) r(j) group by doc_id),
+named as (select doc_id, count(distinct item_id) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id, item_id::varchar as item from hit) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join covered using (doc_id) left join named using (doc_id)""",
+    "op3_ngram_jaccard": rf"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) as w from documents),
+g as (select distinct doc_id, array_to_string(w[k + 1 : k + 5], ' ') as t from d, unnest(range(greatest(len(w) - 4, 1))) r(k) where len(w) > 0),
+n as (select doc_id, count(*) as n from g group by doc_id),
+links as (select a.doc_id as a, b.doc_id as b from g a join g b on a.t = b.t and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id group by 1, 2, na.n, nb.n having 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join links l on l.a = r.b)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from (select a as doc_id, min(b) as component_id from reach group by a) left join n using (doc_id)""",
+}
