@@ -22,6 +22,26 @@ def condition_rows(statistics: DataFrame) -> DataFrame:
     return statistics.select(F.struct("phase", "cache", "concurrency", "metric").alias("place"), line.alias("line"))
 
 
+def layout_rows(layouts: DataFrame) -> DataFrame:
+    """(place, line) of object layouts (name, kind, size, parts, tiled, indexed, overview_bytes): what its kind is told by, and shares of overviews or indexes."""
+    share = F.when(F.col("size") > 0, F.format_string("%.1f %%", F.bround(100 * F.col("overview_bytes") / F.col("size"), 1))).otherwise(F.lit("-"))
+    what = (
+        F.when(F.col("kind") == "raster", F.when(F.col("tiled"), F.lit("tiled")).otherwise(F.lit("striped")))
+        .when(F.col("kind") == "columnar", F.format_string("%d row groups", "parts"))
+        .when(F.col("kind") == "indexed", F.when(F.col("indexed"), F.concat(F.lit("indexed, index "), share)).otherwise(F.lit("without index")))
+        .when(F.col("kind") == "octree", F.format_string("%d nodes", "parts"))
+        .when(F.col("kind") == "store", F.concat(F.format_string("%d shards, overviews ", "parts"), share))
+        .otherwise(F.lit("-"))
+    )
+    return layouts.select(F.struct("kind", "name").alias("place"), F.format_string("| %s | %s | %s | %s |", "name", "kind", format_bytes(F.col("size")), what).alias("line"))
+
+
+def artifact_rows(artifacts: DataFrame) -> DataFrame:
+    """(place, line) of artifacts (name, uri, reason): where each is, or why there is none."""
+    line = F.when(F.col("uri").isNotNull(), F.format_string("* %s: %s", "name", "uri")).otherwise(F.format_string("* %s: skipped (%s)", F.col("name"), F.coalesce("reason", F.lit("no reason given"))))
+    return artifacts.select("name", line.alias("line")).select(F.struct("name").alias("place"), "line")
+
+
 def markdown(rows: DataFrame, title: str, header: list[str]) -> DataFrame:
     """(line_no, line) of a section; rows are one each of products or conditions, not of objects."""
     from pyspark.sql import Window

@@ -50,6 +50,19 @@ def best_tiles(counted: DataFrame, targets: list[int]) -> DataFrame:
     return met.where(F.col("z") >= stop).groupBy("chunks").agg(F.min_by(F.struct("z", "x", "y", "interior"), order).alias("t")).select("chunks", "t.*")
 
 
+def by_resolution(spark: SparkSession, grid: dict, decimations: list[int], wanted: list[float], block: int = 512) -> DataFrame:
+    """(wanted, decimation, z, x, y, interior, chunks) for each wanted resolution: its level, its zoom, and the first tile there that is wholly inside, else the first that overlaps."""
+    out = None
+    for target in wanted:
+        zoom = native_zoom(target)
+        level = max([d for d in decimations if grid["pixel"] * d <= target], default=min(decimations))
+        over = tiles_at(spark, zoom).withColumn("w", pixel_window(grid)).where(F.col("w").isNotNull())
+        best = over.groupBy().agg(F.min_by(F.struct("z", "x", "y", "w"), F.struct(~F.col("w.interior"), "y", "x")).alias("t")).where(F.col("t").isNotNull())
+        one = best.select(F.lit(float(target)).alias("wanted"), F.lit(level).alias("decimation"), "t.z", "t.x", "t.y", F.col("t.w.interior").alias("interior"), chunk_count(F.col("t.w"), F.lit(block), F.lit(level)).alias("chunks"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def pan_zoom(spark: SparkSession, z: int, x: int, y: int, steps_in: int = 3, steps_out: int = 2) -> DataFrame:
     """(step, action, z, x, y): a start, zooms in on the first child, pans east, south, west and north, zooms out."""
     rows = [(0, "start", z, x, y)]
