@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow, encoder_of, small_batches, task_base, written
 
 LENGTH = 1024
-GROUP_ROWS = 4000
+GROUP_ROWS = 8000
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
