@@ -44,12 +44,12 @@ def repeat_words(words: Column) -> Column:
 
     def covered(windows: Column) -> Column:
         twice = F.filter(windows, lambda w, i: (F.get(windows, i - 1)["key"] == w["key"]) | (F.get(windows, i + 1)["key"] == w["key"]))
-        places = F.array_sort(F.transform(twice, lambda w: w["at"]))
+        places = F.sort_array(F.transform(twice, lambda w: w["at"]))
         return let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x))
 
     def sort(w: Column) -> Column:
         windows = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("key"), i.alias("at")))
-        return let(F.array_sort(windows), covered)
+        return let(F.sort_array(windows), covered)
 
     return let(words, sort)
 
@@ -92,7 +92,7 @@ def references(docs: DataFrame, common: int = COMMON, least_share: float = LEAST
     """References of all languages that have enough words, from all their documents."""
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     figures = rows.select("lang", *class_counts(), F.regexp_count("text", F.lit(SPACE)).alias("space"), F.length("text").alias("chars"), F.regexp_count("text", F.lit(f"{WORD}+")).alias("words"))
-    sums = figures.groupBy("lang").agg(*[F.sum(c).cast("double").alias(c) for c in figures.columns[1:]])
+    sums = figures.groupBy("lang").agg(*[F.sum(c).cast("double").alias(c) for c in figures.columns[1:]]).persist()
     every = sums.agg(F.sum("words")).first()[0] or 0
     sums = {r.lang: r for r in sums.where((F.col("words") > 0) & (F.col("words") >= least_share * every)).collect()}
     if not sums:
