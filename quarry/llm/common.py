@@ -61,6 +61,49 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b + 32 if 65 <= b <= 90 else b]), seed=7) for b in range(256)], np.uint64)
+_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, n of each at least."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), base, np.uint64)]))
+    return _POWERS
+
+
+def hashed_words(texts: list[str | None], part: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of ``lower_words`` of all texts side by side, and how many each text has.
+
+    A word's hash is a polynomial of its bytes, from prefix sums over a megabyte of texts at a time; no word becomes an object.
+    """
+    hashes, counts, held, size = [], [], [], 0
+
+    def flush():
+        data = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+        up, down = _powers(len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE.take(data) * up[: len(data)], dtype=np.uint64)])
+        blank = _BLANK.take(data)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).view(np.int8)))
+        first, last = edge[::2], edge[1::2]
+        hashes.append(mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        at = starts([len(x) + 1 for x in held])
+        counts.append(np.diff(np.searchsorted(first, at)))
+
+    for text in texts:
+        held.append(text.encode("utf-8", "surrogatepass") if text else b"")
+        size += len(held[-1])
+        if size >= part:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return (np.concatenate(hashes), np.concatenate(counts)) if counts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit words."""
     h = h ^ (h >> np.uint64(32))

@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHash, lower_words, shingles, small_batches, written
-from quarry.llm.components import components
+from quarry.llm.common import hashed_words, shingles, small_batches, starts, written
+from quarry.llm.components import components, names, nearer
 
 WIDTH, PERCENT = 5, 75
 BLOCK_ROWS = 250_000
-ROUNDS = 3
+ROUNDS, STEPS = 2, 2
 #: Node lists of at most so many rows (16 bytes each) are sent to all tasks; longer ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -54,12 +54,16 @@ def row_key():
     return F.xxhash64("doc_id", "text").alias("key")
 
 
-def sets_of(texts: list[str | None], width: int, hashes: WordHash) -> list[np.ndarray]:
+def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
+    words, n = hashed_words(texts)
+    at, whole = starts(n), shingles(words, width)
     out = []
-    for text in texts:
-        words = lower_words(text)
-        out.append(np.unique(shingles(hashes.of(words), min(width, len(words)))) if words else np.empty(0, np.uint64))
+    for k, m in enumerate(n.tolist()):
+        if m >= width:
+            out.append(np.unique(whole[at[k] : at[k] + m - width + 1]))
+        else:
+            out.append(shingles(words[at[k] : at[k] + m], m) if m else words[:0])
     return out
 
 
@@ -75,9 +79,9 @@ def surveyed(docs: DataFrame, width: int, cells: int, slices: int = 64) -> DataF
     """One pass: (kind 0) doc_id, node and set size of each document; (kind 1) each task's counts of n-grams by hash cell, in slices."""
 
     def run(batches):
-        hashes, counts = WordHash(), np.zeros(cells, np.uint32)
+        counts = np.zeros(cells, np.uint32)
         for batch in small_batches(batches):
-            grams = sets_of(batch.column("text").to_pylist(), width, hashes)
+            grams = sets_of(batch.column("text").to_pylist(), width)
             counts += np.bincount((np.concatenate(grams) % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.uint32)
             n = len(grams)
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array([node_of(g) if len(g) else None for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()), pa.nulls(n, pa.binary()), batch.column("key")], names=SURVEY)
@@ -107,11 +111,11 @@ def incidence(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, b
     cells = len(frequent)
 
     def run(batches):
-        hashes, late = WordHash(), np.unpackbits(sent.value)
+        late = np.unpackbits(sent.value)
         for batch in small_batches(batches, 12_000_000):
             seen: dict[int, None] = {}
             grams, nodes, sizes = [], [], []
-            for g in sets_of(batch.column("text").to_pylist(), width, hashes):
+            for g in sets_of(batch.column("text").to_pylist(), width):
                 node = node_of(g)
                 if not len(g) or node in seen:
                     continue
@@ -153,61 +157,89 @@ def shared_rows(packed: DataFrame) -> DataFrame:
     return packed.groupBy("block").applyInArrow(run, "block long, gram long, node long, n long")
 
 
+def _proposals(group, node, size, part, turn: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A few pairs for each row of a group.  Rows lie by (group, size, node); all groups are dealt with at once."""
+    n = len(group)
+    first = np.searchsorted(group, group)
+    if turn == 0:
+        # Neighbours by size and by hash, and the group's middle.
+        by = np.lexsort((node, group))
+        middle = first + (np.searchsorted(group, group, side="right") - first) // 2
+        ways = [(np.arange(n - 1), np.arange(1, n)), (by[:-1], by[1:]), (np.arange(n), middle)]
+        return [(i[group[i] == group[j]], j[group[i] == group[j]]) for i, j in ways]
+    # Those outside their group's largest component each try some of its members.
+    by = np.lexsort((part, group))
+    run = np.flatnonzero(np.append(True, (group[by][1:] != group[by][:-1]) | (part[by][1:] != part[by][:-1])))
+    length = np.diff(np.append(run, n))
+    largest = np.lexsort((length, group[by][run]))
+    largest = largest[np.append(np.flatnonzero(np.diff(group[by][run][largest])), len(largest) - 1)]
+    most = np.empty(int(group[-1]) + 1, part.dtype)
+    most[group[by][run][largest]] = part[by][run][largest]
+    within = part == most[group]
+    inside, outside = np.flatnonzero(within), np.flatnonzero(~within)
+    low, high = (np.searchsorted(group[inside], group[outside], side=x) for x in ("left", "right"))
+    near = np.searchsorted(inside, outside)
+    picks = [np.clip(near + k, low, high - 1) for k in (-1, 0)]
+    picks += [low + ((node[outside].view(np.uint64) >> np.uint64(3 + 7 * turn + 5 * k)) % (high - low).astype(np.uint64)).astype(np.int64) for k in range(4)]
+    return [(outside, inside[p]) for p in picks]
+
+
+def _every_pair(group, size, percent: int, most: int = 4_000_000):
+    """All pairs of each group whose sizes allow the similarity, some millions at a time."""
+    scale = int(size.max()) + 2
+    place = group * scale + size
+    last = np.searchsorted(place, group * scale + np.minimum(100 * size // percent, scale - 1), side="right")
+    count = last - np.arange(len(group)) - 1
+    at = np.concatenate([[0], np.cumsum(count)])
+    k = 0
+    while k < len(count):
+        end = max(k + 1, int(np.searchsorted(at, at[k] + most, side="right")) - 1)
+        i = np.repeat(np.arange(k, end), count[k:end])
+        yield i, i + 1 + np.arange(len(i)) - (at[i] - at[k])
+        k = end
+
+
 def _pairs(rows: DataFrame, percent: int, every: bool, turn: int) -> DataFrame:
     """(a, b, n_a, n_b, count) of pairs in different components, by block; ``every`` pair of a group, or few proposals."""
+    names = ("a", "b", "n_a", "n_b", "count")
 
-    def of_group(node, size, part, out):
-        m = len(node)
-        if every:
-            for i in range(m - 1):
-                j = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (100 * size[i] >= percent * size[i + 1 :]))
-                if len(j):
-                    out.append((np.full(len(j), i), j))
-            return
-        low = np.arange(m)
-        if turn == 0:
-            by = np.argsort(node, kind="stable")
-            ways = [(low[:-1], low[1:]), (by[:-1], by[1:]), (low, np.full(m, m // 2))]
-        else:
-            # Those outside the group's largest component each try some of its members.
-            names, counts = np.unique(part, return_counts=True)
-            inside = np.flatnonzero(part == names[counts.argmax()])
-            outside = np.flatnonzero(part != names[counts.argmax()])
-            if not len(outside):
-                return
-            near = np.searchsorted(size[inside], size[outside])
-            ways = [(outside, inside[np.clip(near + k, 0, len(inside) - 1)]) for k in (-1, 0)]
-            ways += [(outside, inside[((node[outside].view(np.uint64) >> np.uint64(3 + 7 * turn + 5 * k)) % np.uint64(len(inside))).astype(np.int64)]) for k in range(4)]
-        for i, j in ways:
-            ok = part[i] != part[j]
-            i, j = i[ok], j[ok]
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            ok = 100 * size[i] >= percent * size[j]
-            out.append((i[ok], j[ok]))
+    def counted(i, j, w):
+        order = np.lexsort((j, i))
+        i, j, w = i[order], j[order], w[order]
+        new = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        return i[new], j[new], np.add.reduceat(w, new)
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         g, node, size, part = (rows[c].to_numpy() for c in ("gram", "node", "n", "part"))
         order = np.lexsort((node, size, g))
         g, node, size, part = g[order], node[order], size[order], part[order]
-        at = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-        total: list[tuple] = []
-        for a, b in zip(at, at[1:], strict=False):
-            if (part[a:b] == part[a]).all():
-                continue
-            out: list[tuple] = []
-            of_group(node[a:b], size[a:b], part[a:b], out)
-            if out:
-                pairs = np.unique(np.concatenate([np.stack(x, 1) for x in out]) + a, axis=0)
-                total.append(pairs)
-        if not total:
-            return pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "n_a", "n_b", "count")})
-        pairs = np.concatenate(total)
-        i, j = pairs[:, 0], pairs[:, 1]
-        order = np.lexsort((node[j], node[i]))
-        i, j = i[order], j[order]
-        new = np.flatnonzero(np.append(True, (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])))
-        count = np.diff(np.append(new, len(i)))
-        return pa.table({"a": node[i[new]], "b": node[j[new]], "n_a": size[i[new]], "n_b": size[j[new]], "count": count})
+        # Groups of one component have nothing left to link.
+        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        open_ = np.repeat(np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin), np.diff(np.append(begin, len(g))))
+        g, node, size, part = g[open_], node[open_], size[open_], part[open_]
+        if not len(g):
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
+        group = np.cumsum(np.append(0, g[1:] != g[:-1]))
+        # Nodes are numbered within the block, so that a pair is two small numbers.
+        nodes, number = np.unique(node, return_inverse=True)
+        n_of = np.empty(len(nodes), np.int64)
+        n_of[number] = size
+        out = []
+        if every:
+            parts = _every_pair(group, size, percent)
+        else:
+            pairs = [np.stack([np.minimum(i, j), np.maximum(i, j)], 1) for i, j in _proposals(group, node, size, part, turn)]
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            parts = [(pairs[:, 0], pairs[:, 1])]
+        for i, j in parts:
+            ok = (part[i] != part[j]) & (100 * size[i] >= percent * size[j])
+            i, j = number[i[ok]], number[j[ok]]
+            if len(i):
+                out.append(counted(np.minimum(i, j), np.maximum(i, j), np.ones(len(i), np.int64)))
+        if not out:
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
+        i, j, count = counted(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        return pa.table(dict(zip(names, (nodes[i], nodes[j], n_of[i], n_of[j], count), strict=True)))
 
     return rows.groupBy("block").applyInArrow(run, "a long, b long, n_a long, n_b long, count long")
 
@@ -238,7 +270,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS, cells: int | None = None) -> DataFrame:
     """(doc_id, key, n_shingles, group) of each row; documents of one group are linked, and group is null without n-grams."""
-    spark = docs.sparkSession
     if cells is None:
         cells = 1 << min(26, max(18, math.ceil(math.log2(1 + 16 * docs.count()))))
     survey = written(surveyed(docs, width, cells), "survey")
@@ -248,33 +279,39 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds:
     blocks = max(1, total * (100 - percent) // 100 // BLOCK_ROWS)
     shared = written(shared_rows(incidence(docs, width, percent, frequent, blocks)), "shared")
 
-    # Whole sets of the nodes that share anything, from one document each.
-    nodes = known.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "n")).alias("d")).select("node", "d.doc_id")
-    nodes = written(nodes, "nodes")
-    wanted = nodes.select("doc_id").distinct()
-    if nodes.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    first = known.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("d")).select("node", F.col("d.key").alias("row"))
 
     def load(batches):
-        hashes = WordHash()
+        seen: set[int] = set()
         for batch in small_batches(batches):
-            grams = [g for g in sets_of(batch.column("text").to_pylist(), width, hashes) if len(g)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["node", "grams"])
-
-    picked = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    sets = written(picked.mapInArrow(load, "node long, grams binary").dropDuplicates(["node"]), "sets")
-
-    links = spark.createDataFrame([], "a long, b long")
-    parts = None
-    turn = 0
+            grams = {node_of(g): g for g in sets_of(batch.column("text").to_pylist(), width) if len(g)}
+            grams = {k: g for k, g in grams.items() if k not in seen}
+            seen.update(grams)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.int64()), pa.array([g.tobytes() for g in grams.values()], pa.binary())], names=["node", "grams"])
+
+    def whole_sets(pairs: DataFrame) -> DataFrame:
+        """Sets of the nodes of some pairs, each from one document."""
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("row"), "nodes")
+        wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+        picked = docs.select("doc_id", "text").join(wanted, F.xxhash64("doc_id", "text") == F.col("row"), "left_semi").select("text")
+        return written(picked.mapInArrow(load, "node long, grams binary"), "sets")
+
+    # Between rounds a few steps towards the components are enough: pairs of one name need no more work, all others are looked at again.
+    links, parts, turn = None, None, 0
     while turn <= rounds:
         rows = shared.withColumn("part", F.col("node")) if parts is None else shared.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        found = written(_verified(_bounded(_pairs(rows, percent, turn == rounds, turn), percent), sets, percent), "found")
-        more = not found.isEmpty()
+        likely = written(_bounded(_pairs(rows, percent, turn == rounds, turn), percent), "likely")
+        more = not likely.isEmpty()
+        if more:
+            found = written(_verified(likely, whole_sets(likely), percent), "found")
+            more = not found.isEmpty()
         if more:
-            links = links.unionByName(found)
-            parts = components(links)
+            links = found if links is None else links.unionByName(found)
+            if turn < rounds:
+                links = nearer(links, STEPS)
+                parts = names(links)
         turn = turn + 1 if more or turn == rounds else rounds
+    parts = None if links is None else components(links)
     if parts is None:
         return known.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("node").alias("group"))
     return known.join(parts, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("group"))
