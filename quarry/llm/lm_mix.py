@@ -27,11 +27,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHash, lower_words, starts, written
+from quarry.llm.common import hashed_words, starts, written
 
 #: Bits of the hashed context of each order; an order's table has a row of 256 symbols for each.  Orders: the bytes before, 1 to 4.
 CONTEXT_BITS = (8, 14, 15, 15)
@@ -44,8 +45,8 @@ WEIGHTS, TRUST = (0.10, 0.15, 0.30, 0.60), 0.4
 DOC_BLOCK, SEGMENT = 4_000_000, 800_000
 #: Contexts in a slice of an order's table.
 SLICE = 1 << 7
-#: The end of a text among the words: no word has a space.
-END_WORD = b" end "
+#: The end of a text among the hashes of words.
+END_WORD = xxhash.xxh3_64_intdigest(b" end ")
 BUCKET_WORDS = 400_000
 SCALE = 16.0
 
@@ -214,10 +215,12 @@ def doc_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", training().alias("trains"), "text").mapInArrow(run, "block long, at long, doc_id long, trains boolean, text string")
 
 
-def block_words(texts: list[str | None], hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of texts side by side, an end after each; words of each text."""
-    words = [[*lower_words(x), END_WORD] for x in texts]
-    return hashes.of([w for row in words for w in row]), np.array([len(x) for x in words], np.int64)
+def block_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts side by side, an end after each; words of each text, the end included."""
+    words, n = hashed_words(texts)
+    out = np.full(len(words) + len(n), END_WORD, np.uint64)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words
+    return out, n + 1
 
 
 def by_bucket(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -239,12 +242,12 @@ def gathered(blocks: DataFrame, buckets: int) -> DataFrame:
     names = ["kind", "bucket", "block", "keys", "counts"]
 
     def run(batches):
-        hashes, state = WordHash(), {"block": None, "texts": [], "trains": []}
+        state = {"block": None, "texts": [], "trains": []}
         tables = [np.zeros(256 << bits, np.uint32) for bits in CONTEXT_BITS]
 
         def flush():
             texts, trains = state["texts"], np.array(state["trains"], bool)
-            h, n = block_words(texts, hashes)
+            h, n = block_words(texts)
             distinct, where = np.unique(h, return_inverse=True)
             count = np.bincount(where[np.repeat(trains, n)], minlength=len(distinct)).astype(np.uint32)
             order, bucket, at = by_bucket(distinct, buckets)
@@ -348,7 +351,7 @@ def score(docs: DataFrame) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("at")
         texts = left["text"].to_pylist()
-        h, n = block_words(texts, WordHash())
+        h, n = block_words(texts)
         distinct, where = np.unique(h, return_inverse=True)
         order, _, _ = by_bucket(distinct, buckets)
         right = right.sort_by("bucket")

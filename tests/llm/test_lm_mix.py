@@ -52,7 +52,7 @@ def test_score(spark):
     docs = spark.createDataFrame([(k, t, "b", 1) for k, t in rows], "doc_id long, text string, block string, at int").repartition(3)
     got = L.score(docs).collect()
     out = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
-    tokens = lambda t: [*lower_words(t), L.END_WORD]
+    tokens = lambda t: [*lower_words(t), "end"]
     counts = Counter(w for k, t in rows if k is not None and not out(k) for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
     want = sorted(((k, out(k), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for k, t in rows), key=str)
