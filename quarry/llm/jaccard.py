@@ -296,22 +296,26 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds:
         picked = docs.select("doc_id", "text").join(wanted, F.xxhash64("doc_id", "text") == F.col("row"), "left_semi").select("text")
         return written(picked.mapInArrow(load, "node long, grams binary"), "sets")
 
-    # Between rounds a few steps towards the components are enough: pairs of one name need no more work, all others are looked at again.
+    # Between rounds a few steps towards the components are enough.  Before the last they are settled, so that of a large group only what is really apart is paired.
     links, parts, turn = None, None, 0
     while turn <= rounds:
+        last = turn == rounds
+        if last and links is not None:
+            parts = written(components(links), "parts")
         rows = shared.withColumn("part", F.col("node")) if parts is None else shared.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        likely = written(_bounded(_pairs(rows, percent, turn == rounds, turn), percent), "likely")
+        likely = written(_bounded(_pairs(rows, percent, last, turn), percent), "likely")
         more = not likely.isEmpty()
         if more:
             found = written(_verified(likely, whole_sets(likely), percent), "found")
             more = not found.isEmpty()
         if more:
             links = found if links is None else links.unionByName(found)
-            if turn < rounds:
+            if last:
+                parts = components(links)
+            else:
                 links = nearer(links, STEPS)
                 parts = names(links)
-        turn = turn + 1 if more or turn == rounds else rounds
-    parts = None if links is None else components(links)
+        turn = turn + 1 if more or last else rounds
     if parts is None:
         return known.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("node").alias("group"))
     return known.join(parts, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("group"))
