@@ -166,6 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without a hit, all columns kept."""
-    hit = decontaminate(docs, items, **options).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The documents without a hit, all columns kept.  A row is known by its id and text, so rows with a null or repeated doc_id go or stay by their own text."""
+    keys = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    hit = decontaminate(keys, items, **options).where("n_hit > 0").select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == hit["key"], "left_anti")

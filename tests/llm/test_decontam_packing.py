@@ -57,6 +57,13 @@ def test_decontamination(spark, prune):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
 
 
+def test_clean_rows_of_null_and_repeated_ids_stay(spark):
+    rows = [(None, "short item"), (None, "clean words"), (7, "a short item"), (7, "other clean words"), (7, None), (8, "fine")]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = decontam.clean_documents(documents(spark, rows), items)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], *rows[3:]], key=str)
+
+
 def test_decontamination_of_nothing(spark):
     docs, items = documents(spark, ROWS[:3]), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.decontaminate(docs.limit(0), items).count() == 0
