@@ -36,15 +36,20 @@ PER_CLASS, LONGEST, EPOCHS = 2000, 20_000, 8
 LEAST_STEPS = 200
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+|\d+")
+#: A longer word (a run of a script without spaces, words joined) is cut into pieces of so many characters, one every so many; each is a word of the windows.
+PIECE, PIECE_STRIDE = 24, 12
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    words = WORD.findall(text.lower()) if text else []
+    if all(len(x) <= PIECE for x in words):
+        return words
+    return [x[k : k + PIECE] for x in words for k in range(0, max(1, len(x) - PIECE + PIECE_STRIDE), PIECE_STRIDE)]
 
 
 def char_rows(word: str) -> list[int]:
-    """Rows of the word's beginnings and character trigrams, ends marked; of its first 24 characters where it is longer than any plain word."""
-    w = f"<{word[:24]}>"
+    """Rows of the word's beginnings and character trigrams, ends marked."""
+    w = f"<{word}>"
     parts = [w[: k + 1] for k in range(2, min(7, len(w) - 1))] + [w[k : k + 3] for k in range(len(w) - 2)]
     return [xxhash.xxh3_64_intdigest(x) % CHAR_ROWS for x in parts]
 

@@ -26,6 +26,20 @@ def test_windows_cover_all_words():
         assert seen == set(range(n)) and (size <= T.WINDOW).all() and (size > 0).all()
 
 
+def test_long_words_count_to_their_end():
+    assert T.words_of("a" * 24 + " b") == ["a" * 24, "b"]
+    for n in range(25, 100):
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        pieces = T.words_of(run)
+        assert max(map(len, pieces)) <= T.PIECE
+        assert all(any(run[k : k + 12] in x for x in pieces) for k in range(n - 11))
+    rows = prose(np.random.default_rng(2), 600, ["vilewretch"])
+    network = T.train([t for _, t, _ in rows], [y for _, _, y in rows])
+    run = "thatwasforthetoinandofisit" * 2
+    clean, toxic = network.score([run + "forthewas", run + "vilewretch"])
+    assert toxic > clean + 0.1
+
+
 def test_recurrence_gradient():
     rng = np.random.default_rng(0)
     x, u, g = rng.normal(size=(4, 2, 24)), rng.normal(size=(8, 24)), rng.normal(size=(4, 2, 8))
