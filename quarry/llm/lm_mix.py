@@ -1,8 +1,8 @@
 """Operator 8: language-model scoring by online logistic context mixing, beside a unigram base score.
 
 The corpus gives two things, both from all training documents and nothing else:
-counts of words (for the base score), and counts of symbols after hashed contexts
-(for the model).  A text's lower-cased bytes are symbols; each is coded as the
+counts of words (for the base score), and counts of symbols after contexts of up to
+six bytes (for the model); both grow with the corpus.  A text's lower-cased bytes are symbols; each is coded as the
 binary decisions of a Huffman code made from the corpus, so a frequent byte is a few
 decisions.  Every context order predicts each decision from its counts; the
 predictions, as logits, are weighted by a gate (how much the context has been seen,
@@ -12,7 +12,8 @@ probabilities is the text's, end symbol included.
 
 Word counts take a shuffle of one packed row per block of documents and bucket of
 words; the counts come back to the blocks the same way, so a word that a third of all
-rows have costs one entry a block.
+rows have costs one entry a block.  So it is with the pairs of context and symbol, which are told apart
+exactly: a block gets back the logits along the codes of its own pairs, and no task holds the model.
 
 Nulls and edge cases: a null text is empty; an empty text is its end alone; a null
 doc_id isn't held out but no training row either; repeated rows give and count a row each; without
@@ -32,19 +33,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hashed_words, starts, written
+from quarry.llm.common import hashed_words, mixed, starts, written
 
-#: Bits of the hashed context of each order; an order's table has a row of 256 symbols for each.  Orders: the bytes before, 1 to 4.
+#: Orders of the model: so many bytes before.
+ORDERS = (1, 2, 3, 4, 6)
+#: For a `Mixer` with tables in memory.  Bits of the hashed context of each order; an order's table has a row of 256 symbols for each.  Orders: the bytes before, 1 to 4.
 CONTEXT_BITS = (8, 14, 15, 15)
 END = 0  # the byte that ends a text; a zero byte of a text itself is coded alike
 BLOCK = 128
 RATE = 0.01
 #: Start of the gates: weight of an order's logit, and how many sightings of a context make it half trusted.
-WEIGHTS, TRUST = (0.10, 0.15, 0.30, 0.60), 0.4
-#: Bytes of text of a block of documents, and of the part of one that is scored at a time; longer texts are scored in segments that begin afresh.
+WEIGHTS, TRUST = (0.10, 0.15, 0.30, 0.60, 0.30), 0.4
+#: Bytes of text of a block of documents, and of the part of one that is scored at a time; the segments of a longer text carry context and weights on.
 DOC_BLOCK, SEGMENT = 4_000_000, 800_000
-#: Contexts in a slice of an order's table.
-SLICE = 1 << 7
 #: The end of a text among the hashes of words.
 END_WORD = xxhash.xxh3_64_intdigest(b" end ")
 BUCKET_WORDS = 400_000
@@ -77,6 +78,53 @@ def text_bytes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.uint8), first, at
 
 
+def pair_keys(parts: list[bytes], before: list[bytes]) -> np.ndarray:
+    """Key of each byte of the parts by order, [order, byte]: the order's number, the bytes before and the byte itself.  ``before`` is what a part's text has right before it; ahead of a text all bytes are 0."""
+    data, first, at = text_bytes([x + y for x, y in zip(before, parts, strict=True)])
+    n, begin, longest = len(data), np.flatnonzero(first), max(ORDERS)
+    keys, context = np.empty((len(ORDERS), n), np.uint64), np.zeros(n, np.uint64)
+    for k in range(1, longest + 1):
+        back = np.zeros(n, np.uint64)
+        back[k:] = data[:-k]
+        for j in range(k):
+            back[begin[begin + j < n] + j] = 0
+        context |= back << np.uint64(8 * k)
+        if k in ORDERS:
+            which = ORDERS.index(k)
+            keys[which] = context | data | np.uint64(which << 56)
+    if not any(before):
+        return keys
+    own = np.ones(n, bool)
+    for a, x in zip(at.tolist(), before, strict=False):
+        own[a : a + len(x)] = False
+    return keys[:, own]
+
+
+def pieces(texts: list[str | None]):
+    """(numbers of the texts, parts, bytes before the parts) of about SEGMENT bytes each; segments of a longer text come alone and in order."""
+    owner, parts, held = [], [], 0
+    for k, text in enumerate(texts):
+        whole = symbols(text)
+        if owner and held + len(whole) > SEGMENT:
+            yield owner, parts, [b""] * len(parts)
+            owner, parts, held = [], [], 0
+        if len(whole) <= SEGMENT:
+            owner.append(k)
+            parts.append(whole)
+            held += len(whole)
+        else:
+            for at in range(0, len(whole), SEGMENT):
+                yield [k], [whole[at : at + SEGMENT]], [whole[max(0, at - max(ORDERS)) : at]]
+    if owner:
+        yield owner, parts, [b""] * len(parts)
+
+
+def encoded_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in any order, and each key's number among them."""
+    got = pa.array(keys.ravel()).dictionary_encode()
+    return got.dictionary.to_numpy(), got.indices.to_numpy().reshape(keys.shape)
+
+
 def symbols(text: str | None) -> bytes:
     """A lower-cased text's bytes and its end."""
     return (text or "").encode("utf-8", "surrogatepass").lower() + bytes([END])
@@ -123,73 +171,97 @@ def gated_logits(counts: np.ndarray, code, order: int) -> np.ndarray:
 
 
 class Mixer:
-    """Tables of gated logits by order, and the code."""
+    """Tables of gated logits by order, and the code; for models that fit in memory."""
 
     def __init__(self, code, tables: list[np.ndarray]):
         self.code, self.tables = code, tables
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """log2 probability of each text."""
-        out = np.zeros(len(texts), np.float64)
-        data, owner, held = [], [], 0
-        for k, text in enumerate(texts):
-            whole = symbols(text)
-            for at in range(0, len(whole), SEGMENT):
-                data.append(whole[at : at + SEGMENT])
-                owner.append(k)
-                held += len(data[-1])
-                if held >= SEGMENT:
-                    np.add.at(out, owner, self._score(data))
-                    data, owner, held = [], [], 0
-        if data:
-            np.add.at(out, owner, self._score(data))
-        return out
+        return self._score([symbols(x) for x in texts])
 
     def _score(self, parts: list[bytes]) -> np.ndarray:
-        data, first, at = text_bytes(parts)
-        length, nodes, bits = self.code
-        # Signs of the bits; 0 beyond a code's end, and the last column is beyond all of them.
-        width = nodes.shape[1] + 1
-        signs = np.where(np.arange(width) < length[:, None], np.pad(bits, ((0, 0), (0, 1))) * 2 - 1, 0).astype(np.int8).ravel()
-        nodes = np.pad(nodes, ((0, 0), (0, 1))).ravel()
-        steps = length[data]
-        per_text = np.add.reduceat(steps, at[:-1])
-        blocks = -(-per_text // BLOCK)
-        begin = np.cumsum(blocks) - blocks
-        # Each text's decisions fill whole blocks: its last symbol has as many empty ones as are needed.
-        empty = blocks * BLOCK - per_text
-        steps[at[1:] - 1] += empty
-        of = np.repeat(np.arange(len(data), dtype=np.int32), steps)
-        path = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(steps) - steps).astype(np.int32), steps)
-        np.minimum(path, width - 1, out=path)
-        path += (data.astype(np.int32) * width).take(of)
-        node, sign = nodes.take(path), signs.take(path).reshape(-1, BLOCK)
-        x = np.empty((len(self.tables), len(of)), np.int8)
-        for k, (table, context) in enumerate(zip(self.tables, contexts(data, first), strict=True)):
-            index = (context << 8).take(of)
-            index += node
-            table.take(index, out=x[k], mode="clip")
-        x = x.reshape(len(self.tables), -1, BLOCK)
-        # Texts side by side, longest first, a block of each at a time.
-        order = np.argsort(-blocks, kind="stable")
-        live = np.searchsorted(-blocks[order], -np.arange(blocks.max()), side="left")
-        weights = np.full((len(parts), len(self.tables)), 1 / SCALE, np.float32)
-        rate, out = np.float32(RATE / SCALE / SCALE), empty.astype(np.float64)
-        for t in range(int(blocks.max())):
-            who = order[: live[t]]
-            rows = begin[who] + t
-            inputs, s, w = x[:, rows].astype(np.float32), sign[rows].astype(np.float32), weights[who]
-            m = inputs[0] * w[:, :1]
-            for k in range(1, len(inputs)):
-                m += inputs[k] * w[:, k : k + 1]
-            m *= s
-            e = np.exp(-np.abs(m))
-            q = 1 / (1 + e)
-            # log2 of sigmoid(m); an empty decision has m = 0 and is taken off as one bit before.
-            out[who] += (np.log(q) + np.minimum(m, 0)).sum(1, dtype=np.float64) / math.log(2)
-            s *= np.where(m > 0, e * q, q)
-            weights[who] = w + rate * np.einsum("kmb,mb->mk", inputs, s)
-        return out
+        data, first, _ = text_bytes(parts)
+
+        def inputs_of(of, node, depth):
+            x = np.empty((len(self.tables), len(of)), np.int8)
+            for k, (table, context) in enumerate(zip(self.tables, contexts(data, first), strict=True)):
+                index = (context << 8).take(of)
+                index += node
+                table.take(index, out=x[k], mode="clip")
+            return x
+
+        return mixed_bits(self.code, parts, inputs_of, len(self.tables))[0]
+
+
+def pairs_of(texts: list[str | None]) -> np.ndarray:
+    """Sorted distinct keys of the texts."""
+    return np.unique(np.concatenate([encoded_keys(pair_keys(parts, before))[0] for _, parts, before in pieces(texts)]))
+
+
+def pair_score(code, texts: list[str | None], pairs: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    """log2 probability of each text by the logits along the codes of its ``pairs``, side by side in ``logits``."""
+    at = starts(code[0][(pairs & np.uint64(255)).astype(np.int64)])
+    out, last, weights = np.zeros(len(texts), np.float64), None, None
+    for owner, parts, before in pieces(texts):
+        distinct, number = encoded_keys(pair_keys(parts, before))
+        begin = at[np.searchsorted(pairs, distinct)]
+
+        def inputs_of(of, node, depth, begin=begin, number=number):
+            x = np.empty((len(number), len(of)), np.int8)
+            for k, row in enumerate(number):
+                logits.take(begin.take(row).take(of) + depth, out=x[k], mode="clip")
+            return x
+
+        carried = weights if len(owner) == 1 and owner[0] == last else None
+        bits, weights = mixed_bits(code, parts, inputs_of, len(ORDERS), carried)
+        np.add.at(out, owner, bits)
+        last = owner[-1]
+    return out
+
+
+def mixed_bits(code, parts: list[bytes], inputs_of, orders: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """log2 probability of each part, and its weights after it.  ``inputs_of(of, node, depth)`` gives the logits [order, decision] at bytes ``of``."""
+    data, first, at = text_bytes(parts)
+    length, nodes, bits = code
+    # Signs of the bits; 0 beyond a code's end, and the last column is beyond all of them.
+    width = nodes.shape[1] + 1
+    signs = np.where(np.arange(width) < length[:, None], np.pad(bits, ((0, 0), (0, 1))) * 2 - 1, 0).astype(np.int8).ravel()
+    nodes = np.pad(nodes, ((0, 0), (0, 1))).ravel()
+    steps = length[data]
+    per_text = np.add.reduceat(steps, at[:-1])
+    blocks = -(-per_text // BLOCK)
+    begin = np.cumsum(blocks) - blocks
+    # Each text's decisions fill whole blocks: its last symbol has as many empty ones as are needed.
+    empty = blocks * BLOCK - per_text
+    steps[at[1:] - 1] += empty
+    of = np.repeat(np.arange(len(data), dtype=np.int32), steps)
+    path = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(steps) - steps).astype(np.int32), steps)
+    np.minimum(path, width - 1, out=path)
+    depth = path.copy()
+    path += (data.astype(np.int32) * width).take(of)
+    node, sign = nodes.take(path), signs.take(path).reshape(-1, BLOCK)
+    x = inputs_of(of, node, depth).reshape(orders, -1, BLOCK)
+    # Texts side by side, longest first, a block of each at a time.
+    order = np.argsort(-blocks, kind="stable")
+    live = np.searchsorted(-blocks[order], -np.arange(blocks.max()), side="left")
+    weights = np.full((len(parts), orders), 1 / SCALE, np.float32) if weights is None else weights.copy()
+    rate, out = np.float32(RATE / SCALE / SCALE), empty.astype(np.float64)
+    for t in range(int(blocks.max())):
+        who = order[: live[t]]
+        rows = begin[who] + t
+        inputs, s, w = x[:, rows].astype(np.float32), sign[rows].astype(np.float32), weights[who]
+        m = inputs[0] * w[:, :1]
+        for k in range(1, len(inputs)):
+            m += inputs[k] * w[:, k : k + 1]
+        m *= s
+        e = np.exp(-np.abs(m))
+        q = 1 / (1 + e)
+        # log2 of sigmoid(m); an empty decision has m = 0 and is taken off as one bit before.
+        out[who] += (np.log(q) + np.minimum(m, 0)).sum(1, dtype=np.float64) / math.log(2)
+        s *= np.where(m > 0, e * q, q)
+        weights[who] = w + rate * np.einsum("kmb,mb->mk", inputs, s)
+    return out, weights
 
 
 def training():
@@ -223,59 +295,58 @@ def block_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, n + 1
 
 
-def by_bucket(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Order of sorted hashes by bucket; the buckets that have any, and where each begins."""
-    bucket = (distinct >> np.uint64(17)).astype(np.int64) % buckets
+def by_bucket(distinct: np.ndarray, buckets: int, rest: int = 0) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Order of sorted hashes by bucket; the buckets that have any, and where each begins.  With ``rest``, keys that differ in so many last bits only share a bucket."""
+    hashes = mixed(distinct >> np.uint64(rest)) if rest else distinct
+    bucket = (hashes >> np.uint64(17)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     at = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     return order, bucket[at[:-1]], at
 
 
-def narrow(counts: np.ndarray) -> np.ndarray:
-    """In as few bytes each as the largest needs."""
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint16 if counts.max() < 65536 else np.uint32)
-
-
-def gathered(blocks: DataFrame, buckets: int) -> DataFrame:
-    """One pass over the documents.  Kind 0: a block's distinct words of one bucket, with their numbers in training rows.  Kind 1: a task's symbol counts of one slice of an order's table, those that aren't 0."""
+def gathered(blocks: DataFrame, buckets: int, pair_buckets: int) -> DataFrame:
+    """One pass over the documents.  Kind 0: a block's distinct words of one bucket, with their numbers in training rows; kind 1: the same of its pairs of context and symbol.  Kind 2: a task's symbol counts in training rows."""
     names = ["kind", "bucket", "block", "keys", "counts"]
 
     def run(batches):
         state = {"block": None, "texts": [], "trains": []}
-        tables = [np.zeros(256 << bits, np.uint32) for bits in CONTEXT_BITS]
+        plain = np.zeros(256, np.uint64)
 
         def flush():
             texts, trains = state["texts"], np.array(state["trains"], bool)
             h, n = block_words(texts)
             distinct, where = np.unique(h, return_inverse=True)
             count = np.bincount(where[np.repeat(trains, n)], minlength=len(distinct)).astype(np.uint32)
-            order, bucket, at = by_bucket(distinct, buckets)
-            cut = lambda x: pa.array([x[order][a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            yield packed(0, distinct, count, by_bucket(distinct, buckets))
+            keys, counts = [], []
+            for owner, parts, before in pieces(texts):
+                key, number = encoded_keys(pair_keys(parts, before))
+                learn = np.repeat(trains[owner], [len(x) for x in parts])
+                keys.append(key)
+                counts.append(np.bincount(number[:, learn].ravel(), minlength=len(key)))
+                plain[:] += np.bincount(np.frombuffer(b"".join(parts), np.uint8)[learn], minlength=256).astype(np.uint64)
+            distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+            count = np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.uint32)
+            yield packed(1, distinct, count, by_bucket(distinct, pair_buckets, 8))
+
+        def packed(kind, distinct, count, cut_at):
+            order, bucket, at = cut_at
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
             m = len(bucket)
-            learn = [symbols(x) for x, t in zip(texts, trains.tolist(), strict=True) if t]
-            if learn:
-                data, first, _ = text_bytes(learn)
-                for table, context in zip(tables, contexts(data, first), strict=True):
-                    np.add(table, np.bincount((context << 8) + data, minlength=len(table)).astype(np.uint32), out=table)
-            return pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array(bucket), pa.array([state["block"]] * m, pa.int64()), cut(distinct), cut(count)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array(bucket), pa.array([state["block"]] * m, pa.int64()), cut(distinct[order]), cut(count[order])], names=names)
 
         for batch in batches:
             for block, trains, text in zip(*(batch.column(c).to_pylist() for c in ("block", "trains", "text")), strict=True):
                 if block != state["block"]:
                     if state["texts"]:
-                        yield flush()
+                        yield from flush()
                     state |= {"block": block, "texts": [], "trains": []}
                 state["texts"].append(text)
                 state["trains"].append(trains)
         if state["texts"]:
-            yield flush()
-        out = []
-        for k, table in enumerate(tables):
-            for s, part in enumerate(table.reshape(-1, 256 * SLICE)):
-                if len(some := np.flatnonzero(part)):
-                    out.append({"kind": 1, "bucket": k, "block": s, "keys": some.astype(np.uint16).tobytes(), "counts": narrow(part[some]).tobytes()})
-        yield pa.RecordBatch.from_pylist(out, pa.schema({"kind": pa.int32(), "bucket": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}))
+            yield from flush()
+        yield pa.RecordBatch.from_pylist([{"kind": 2, "bucket": 0, "block": 0, "keys": b"", "counts": plain.tobytes()}], pa.schema({"kind": pa.int32(), "bucket": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}))
 
     return blocks.mapInArrow(run, "kind int, bucket long, block long, keys binary, counts binary")
 
@@ -304,36 +375,51 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 0").select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(run, "block long, bucket long, counts binary, tokens long, kinds long")
 
 
-def symbol_counts(rows: DataFrame) -> DataFrame:
-    """(order, slice, counts): symbol counts after each context, added up over all tasks."""
+def symbol_counts(rows: DataFrame) -> np.ndarray:
+    """Numbers of the 256 symbols in training rows."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        total = np.zeros(256 * SLICE, np.uint64)
-        for k, n in zip(rows["keys"], rows["counts"], strict=True):
-            keys, n = np.frombuffer(k.as_py(), np.uint16), n.as_py()
-            total[keys] += np.frombuffer(n, f"<u{len(n) // len(keys)}")
-        return pa.table({"order": pa.array([key[0].as_py()]), "slice": pa.array([key[1].as_py()]), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum((np.frombuffer(x.as_py(), np.uint64) for x in rows["counts"]), np.zeros(256, np.uint64))
+        return pa.table({"counts": pa.array([total.tobytes()], pa.binary())})
 
-    named = rows.where("kind = 1").select(F.col("bucket").alias("order"), F.col("block").alias("slice"), "keys", "counts")
-    return named.groupBy("order", "slice").applyInArrow(run, "order long, slice long, counts binary")
+    got = rows.where("kind = 2").select("bucket", "counts").groupBy("bucket").applyInArrow(run, "counts binary").collect()
+    return sum((np.frombuffer(bytes(r.counts), np.uint64) for r in got), np.zeros(256, np.uint64))
 
 
-def fit(counts: DataFrame) -> Mixer:
-    """The model of summed symbol counts; its tables have a fixed size, so they can go to the driver and to all tasks."""
-    plain = np.zeros(256, np.uint64)
-    for r in counts.where("order = 0").select("counts").collect():
-        plain += np.frombuffer(bytes(r.counts), np.uint64).reshape(-1, 256).sum(0)
-    code = huffman(plain)
+def path_logits(keys: np.ndarray, counts: np.ndarray, code) -> np.ndarray:
+    """Of sorted distinct pairs and their counts: gated logits of bit 1 at the nodes along each pair's code, side by side, as int8 of 1/SCALE.  A context's pairs must all be there."""
+    length, nodes, bits = code
+    symbol = (keys & np.uint64(255)).astype(np.int64)
+    steps = length[symbol]
+    of = np.repeat(np.arange(len(keys)), steps)
+    depth = np.arange(len(of)) - np.repeat(np.cumsum(steps) - steps, steps)
+    context = np.cumsum(np.append(0, (keys[1:] >> np.uint64(8)) != (keys[:-1] >> np.uint64(8))))
+    _, place = np.unique((context[of] << 8) + nodes[symbol[of], depth], return_inverse=True)
+    n = counts.astype(np.float64)[of]
+    total = np.bincount(place, n)[place]
+    ones = np.bincount(place, n * bits[symbol[of], depth])[place]
+    p = (ones + 0.4) / (total + 0.8)
+    gate = np.array(WEIGHTS)[(keys >> np.uint64(56)).astype(np.int64)][of] * total / (total + TRUST)
+    return np.clip(np.rint(SCALE * gate * 2 * np.log(p / (1 - p))), -127, 127).astype(np.int8)
 
-    def run(batches):
-        for batch in batches:
-            out = [gated_logits(np.frombuffer(c, np.uint64).reshape(-1, 256).astype(np.float32), code, k).tobytes() for k, c in zip(batch.column("order").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("slice"), pa.array(out, pa.binary())], names=["order", "slice", "logits"])
 
-    tables = [np.zeros(256 << bits, np.int8) for bits in CONTEXT_BITS]
-    for r in counts.mapInArrow(run, "order long, slice long, logits binary").collect():
-        tables[r.order][r.slice * 256 * SLICE : (r.slice + 1) * 256 * SLICE] = np.frombuffer(bytes(r.logits), np.int8)
-    return Mixer(code, tables)
+def pair_logits(rows: DataFrame, code) -> DataFrame:
+    """Back to every block: the logits along the codes of its pairs of a bucket, in its own order."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x.as_py(), np.uint64) for x in rows["keys"]]
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows["counts"]])
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        logits = path_logits(distinct, np.bincount(where, counts, len(distinct)), code)
+        steps = code[0][(distinct & np.uint64(255)).astype(np.int64)]
+        begin, at, out = starts(steps), starts([len(x) for x in keys]), []
+        for a, b in zip(at, at[1:], strict=False):
+            mine = where[a:b]
+            n = steps[mine]
+            out.append(logits[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+        return pa.table({"block": rows["block"], "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "counts": pa.array(out, pa.binary())})
+
+    return rows.where("kind = 1").select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(run, "block long, bucket long, counts binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -341,12 +427,13 @@ def score(docs: DataFrame) -> DataFrame:
     blocks = written(doc_blocks(docs), "blocks")
     size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, size // (20 * BUCKET_WORDS))
-    rows = written(gathered(blocks, buckets), "gathered")
+    pair_buckets = max(1, size // (2 * BUCKET_WORDS))
+    rows = written(gathered(blocks, buckets, pair_buckets), "gathered")
     counts = written(word_counts(rows), "counts")
     tokens, kinds = counts.where("block is null").agg(F.sum("tokens"), F.sum("kinds")).first()
     tokens, kinds = tokens or 0, kinds or 0
-    mixer = fit(written(symbol_counts(rows), "symbols"))
-    sent = docs.sparkSession.sparkContext.broadcast((mixer.code, mixer.tables))
+    code = huffman(symbol_counts(rows))
+    logits = written(pair_logits(rows, code), "logits")
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("at")
@@ -355,14 +442,24 @@ def score(docs: DataFrame) -> DataFrame:
         distinct, where = np.unique(h, return_inverse=True)
         order, _, _ = by_bucket(distinct, buckets)
         right = right.sort_by("bucket")
+        right, paths = (right.filter(pc.equal(right["kind"], k)) for k in (0, 1))
         c = np.empty(len(distinct), np.int64)
         c[order] = np.frombuffer(b"".join(x.as_py() for x in right["counts"]), np.uint64)
         c, at = c[where], starts(n)[:-1]
         base = np.add.reduceat(np.log10(c + 1.0), at) - n * math.log10(tokens + kinds + 1)
-        bits = Mixer(*sent.value).score(texts)
+        pairs = pairs_of(texts)
+        order, _, _ = by_bucket(pairs, pair_buckets, 8)
+        # Paths come by bucket, and are put in the order of the pairs.
+        steps = code[0][(pairs & np.uint64(255)).astype(np.int64)]
+        came = np.empty(len(pairs), np.int64)
+        came[order] = starts(steps[order])[:-1]
+        paths = np.frombuffer(b"".join(x.as_py() for x in paths["counts"]), np.int8)
+        paths = paths[np.repeat(came - (np.cumsum(steps) - steps), steps) + np.arange(len(paths))]
+        bits = pair_score(code, texts, pairs, paths)
         size = np.array([len(symbols(x)) for x in texts])
         return pa.table({"doc_id": left["doc_id"], "n_tokens": n, "n_known": np.add.reduceat((c > 0).astype(np.int64), at), "base_score": base, "score": bits * math.log10(2), "bits_per_byte": -bits / size})
 
-    both = blocks.select("block", "at", "doc_id", "text").groupBy("block").cogroup(counts.where("block is not null").select("block", "bucket", "counts").groupBy("block"))
+    back = counts.where("block is not null").select("block", "bucket", "counts", F.lit(0).alias("kind")).unionByName(logits.select("block", "bucket", "counts", F.lit(1).alias("kind")))
+    both = blocks.select("block", "at", "doc_id", "text").groupBy("block").cogroup(back.groupBy("block"))
     got = both.applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return got.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

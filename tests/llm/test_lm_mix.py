@@ -63,3 +63,42 @@ def test_score(spark):
     assert L.score(docs.limit(0)).count() == 0
     none = L.score(docs.where("doc_id is null")).first()
     assert (none.train_tokens, none.n_known, none.base_score) == (0, 0, 0)
+
+
+def made_of(texts):
+    code = L.huffman(np.bincount(np.frombuffer(b"".join(map(L.symbols, texts)), np.uint8), minlength=256))
+    keys = np.concatenate([L.pair_keys(parts, before).ravel() for _, parts, before in L.pieces(texts)])
+    pairs, counts = np.unique(keys, return_counts=True)
+    return code, pairs, L.path_logits(pairs, counts, code)
+
+
+def test_pairs_are_exact():
+    texts = ["ab", "", None, "the cat sat on the mat", "aé" * 30]
+    got = np.concatenate([L.pair_keys(parts, before) for _, parts, before in L.pieces(texts)], 1)
+    want = []
+    for which, order in enumerate(L.ORDERS):
+        row = []
+        for x in map(L.symbols, texts):
+            padded = bytes(6) + x
+            row += [which << 56 | int.from_bytes(padded[k + 6 - order : k + 7][::-1], "little") for k in range(len(x))]
+        want.append(row)
+    assert got.tolist() == [[which << 56 | sum(b << 8 * j for j, b in enumerate(k.to_bytes(8, "little")[:7])) for k in row] for which, row in enumerate(want)]
+
+
+def test_segments_carry_on(monkeypatch):
+    text = "some words to learn from, again and again, in a text of some length; " * 60
+    code, pairs, logits = made_of([text])
+    whole = L.pair_score(code, [text, "again"], pairs, logits)
+    assert whole == pytest.approx([L.pair_score(code, [x], pairs, logits)[0] for x in (text, "again")], rel=1e-5)
+    monkeypatch.setattr(L, "SEGMENT", 1000)
+    assert sum(len(p) for _, parts, _ in L.pieces([text]) for p in parts) == len(L.symbols(text))
+    assert L.pair_score(code, [text], pairs, logits)[0] == pytest.approx(whole[0], rel=0.02)
+
+
+def test_model_grows_with_the_corpus(spark):
+    # 140,000 contexts of four bytes: as hashed into 2**15 slots they gave more bits a byte.
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + k) for k in w) for w in rng.integers(0, 26, (20_000, 7))]
+    rows = [(k, " ".join(rng.choice(words, 60))) for k in range(2_000)]
+    got = L.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("held_out").collect()
+    assert np.mean([r.bits_per_byte for r in got]) < 2.45
