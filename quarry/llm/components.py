@@ -28,30 +28,23 @@ def linked(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def nearer(links: DataFrame, steps: int) -> DataFrame:
-    """Links that join the same components, after some steps towards stars."""
-    edges = linked(links)
-    for _ in range(steps):
-        edges, _ = _step(edges)
-    return edges
-
-
 def names(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node is linked with directly, or itself.  Nodes of one name are connected; of settled links all connected nodes have one."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")))
     return both.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def components(links: DataFrame, most_steps: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in links (a, b); a component's name is its smallest node.
 
     A step is a grouped minimum and a join back; no node's neighbours are ever
-    gathered.  Each step's links are written, so lineage stays short.
+    gathered.  Each step's links are written, so lineage stays short.  Steps end
+    when one changes nothing, after a number that grows with the logarithm of the
+    longest path.
     """
     edges, before = linked(links), None
-    for _ in range(most_steps):
+    while True:
         edges, now = _step(edges)
         if now == before:
             return names(edges)
         before = now
-    raise RuntimeError(f"components haven't settled after {most_steps} steps")

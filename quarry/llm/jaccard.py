@@ -1,22 +1,30 @@
 """Operator 3: n-gram Jaccard join as a blocked sparse matrix product of document by n-gram incidence.
 
-Documents with one and the same set are one node.  Of each node's n-grams, in an
-order that all share (frequent ones last, by a sketch over the whole corpus),
-only the first ``n - ceil(t * n) + 1`` enter the product: two sets that reach the
-similarity ``t`` have one of these in common.  The incidence is cut into blocks
-of n-grams; a block's rows are packed arrays and its product is made in one task.
-Overlap counts of a pair are added up over the blocks, and pairs below the bound
-that follows from their sizes are discarded:
+Documents with one and the same set are one node.  The n-grams of all nodes are
+brought together by block (a range of hashes), which gives each n-gram's document
+frequency.  An n-gram that one node alone has makes no product, so a node needs only
+its shared n-grams, rarest first, and how many others come before them.  Of that order
+the first ``n - ceil(t * n) + 1`` enter the product: two sets that reach the similarity
+``t`` have one of these in common.
 
-    overlap <= count + max(n_a - p_a, n_b - p_b),  overlap >= t / (1 + t) * (n_a + n_b)
+The product of a block is a join of the incidence with itself on the n-gram; overlap
+counts of a pair are added up over the blocks, and pairs are discarded by the bounds
+that follow from their sizes and from the places of what they share:
 
-with p the number of n-grams that entered.  What is left is counted exactly on the
-whole sets.
+    need = ceil(t / (1 + t) * (n_a + n_b))
+    at one n-gram:   min(n_a - place_a, n_b - place_b) >= need
+    over all blocks: count + min(n_a - 1 - last_a, n_b - 1 - last_b) >= need
 
-A group of nodes that share an n-gram isn't expanded into all its pairs at once.
-Rounds of few proposals (neighbours in order of size, and partners by hash) link
-most of a large group; then all pairs of the group that are still in different
-components follow, so no link that joins two components is lost.
+What is left is counted exactly on the shared n-grams (as 64-bit hashes) of both sets.
+
+A group of nodes that share an n-gram isn't expanded into all its pairs.  First each
+node is paired with the group's hub, the node with the fewest rarer n-grams; that
+links most copies, and components are settled.  Then, in groups of which some nodes
+are still apart, those outside the group's largest component meet all nodes of other
+components, so no link that joins two components is lost.
+
+Nodes that share an n-gram ``CROWD`` times or more in one batch are sent as one list
+for that n-gram, which goes to any task; its block gets their number alone.
 
 Nulls and edge cases: a null or empty text, or one without words, has no n-grams and is
 linked with nothing; fewer words than ``width`` are one n-gram; a null doc_id
@@ -27,26 +35,37 @@ other columns are ignored by ``join`` and kept by ``one_of_each``.
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import hashed_words, shingles, small_batches, starts, written
-from quarry.llm.components import components, names, nearer
+from quarry.llm.components import components
 
 WIDTH, PERCENT = 5, 75
-BLOCK_ROWS = 250_000
-ROUNDS, STEPS = 2, 2
-#: Node lists of at most so many rows (16 bytes each) are sent to all tasks; longer ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Entries of the incidence that a block has on average.
+BLOCK_ENTRIES = 1_000_000
+#: So many nodes of a batch that share an n-gram are sent apart from its block.
+CROWD = 8
+SURVEY = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "key": pa.int64(), "node": pa.int64(), "n": pa.int64(), "grams": pa.binary(), "owners": pa.binary(), "nodes": pa.binary()}
+MET = {"kind": pa.int32(), "doc_id": pa.int64(), "key": pa.int64(), "node": pa.int64(), "n": pa.int64(), "gram": pa.int64(), "df": pa.int64(), "nodes": pa.binary()}
+#: Kinds of rows: a document, entries of a block, the nodes of one crowded n-gram, numbers of crowded n-grams.
+DOC, ENTRIES, LIST, NUMBER = range(4)
+
 
+def ddl(kinds: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {'int' if t == pa.int32() else 'binary' if t == pa.binary() else 'long'}" for c, t in kinds.items())
 
-SURVEY = ["kind", "doc_id", "node", "n", "counts", "key"]
+
+def filled(kinds: dict[str, pa.DataType], rows: int, **columns) -> pa.RecordBatch:
+    """A batch of so many rows; columns that aren't given are null, and a number stands for all rows."""
+    made = [pa.nulls(rows, t) if c not in columns else pa.array(np.full(rows, columns[c])).cast(t) if isinstance(columns[c], int) else pa.array(columns[c]).cast(t) for c, t in kinds.items()]
+    return pa.RecordBatch.from_arrays(made, names=list(kinds))
 
 
 def row_key():
@@ -67,258 +86,182 @@ def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
-
-
 def node_of(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def surveyed(docs: DataFrame, width: int, cells: int, slices: int = 64) -> DataFrame:
-    """One pass: (kind 0) doc_id, node and set size of each document; (kind 1) each task's counts of n-grams by hash cell, in slices."""
-
-    def run(batches):
-        counts = np.zeros(cells, np.uint32)
-        for batch in small_batches(batches):
-            grams = sets_of(batch.column("text").to_pylist(), width)
-            counts += np.bincount((np.concatenate(grams) % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.uint32)
-            n = len(grams)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array([node_of(g) if len(g) else None for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()), pa.nulls(n, pa.binary()), batch.column("key")], names=SURVEY)
-        if counts.any():
-            parts = np.split(np.minimum(counts, 65535).astype(np.uint16), slices)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * slices, pa.int32()), pa.nulls(slices, pa.int64()), pa.array(range(slices), pa.int64()), pa.nulls(slices, pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.nulls(slices, pa.int64())], names=SURVEY)
-
-    return docs.select("doc_id", "text", row_key()).mapInArrow(run, "kind int, doc_id long, node long, n long, counts binary, key long")
-
-
-def frequent_cells(survey: DataFrame, cells: int, total: int, slices: int = 64) -> np.ndarray:
-    """Of each hash cell: whether it holds far more than its share.  One bit a cell goes to the driver, whatever the input."""
-    limit = 2 * total // cells + 200
+def block_of(grams: np.ndarray, blocks: int) -> np.ndarray:
+    return ((grams >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
 
-    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        counts = sum((np.frombuffer(zlib.decompress(x.as_py()), np.uint16).astype(np.uint64) for x in rows["counts"]), np.zeros(cells // slices, np.uint64))
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(counts > limit).tobytes()], pa.binary())})
 
-    got = survey.where("kind = 1").select(F.col("node").alias("slice"), "counts").groupBy("slice").applyInArrow(add, "slice long, bits binary").collect()
-    bits = {r.slice: bytes(r.bits) for r in got}
-    return np.unpackbits(np.frombuffer(b"".join(bits.get(k, bytes(cells // slices // 8)) for k in range(slices)), np.uint8)).astype(bool)
+def edges_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end."""
+    return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]]) if len(sorted_keys) else np.zeros(1, np.int64)
 
 
-def incidence(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, blocks: int) -> DataFrame:
-    """Rows of the incidence matrix that enter the product, packed by block of n-grams: (block, grams, nodes, sizes)."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
-    cells = len(frequent)
+def surveyed(docs: DataFrame, width: int, blocks: int, crowd: int) -> DataFrame:
+    """One pass over the texts: a row per document, and the incidence of each batch packed by block."""
 
     def run(batches):
-        late = np.unpackbits(sent.value)
-        for batch in small_batches(batches, 12_000_000):
-            seen: dict[int, None] = {}
-            grams, nodes, sizes = [], [], []
-            for g in sets_of(batch.column("text").to_pylist(), width):
-                node = node_of(g)
-                if not len(g) or node in seen:
-                    continue
-                seen[node] = None
-                last = late[(g % np.uint64(cells)).astype(np.int64)]
-                p = prefix_length(len(g), percent)
-                grams.append(g[np.argsort(last, kind="stable")[:p]] if last.any() else g[:p])
-                nodes.append(node)
-                sizes.append(len(g))
-            if not grams:
+        for batch in small_batches(batches, 8_000_000):
+            sets = sets_of(batch.column("text").to_pylist(), width)
+            names = [node_of(g) if len(g) else None for g in sets]
+            key = batch.column("key")
+            yield filled(SURVEY, len(sets), kind=DOC, block=pc.bit_wise_and(key, (1 << 30) - 1).to_numpy() % blocks, doc_id=batch.column("doc_id"), key=key, node=pa.array(names, pa.int64()), n=[len(g) for g in sets])
+            # A text that the batch holds many times enters once.
+            own = {name: g for name, g in zip(names, sets, strict=True) if name is not None}
+            if not own:
                 continue
-            lengths = [len(g) for g in grams]
-            g, node, size = np.concatenate(grams), np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.uint32), lengths)
-            block = ((g >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            g, node, size, block = g[order], node[order], size[order], block[order]
-            at = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), cut(g), cut(node), cut(size)], names=["block", "grams", "nodes", "sizes"])
+            nodes, sets = np.array(list(own), np.int64), list(own.values())
+            grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+            order = np.argsort(grams, kind="stable")
+            at = edges_of(grams[order])
+            length = np.diff(at)
+            many = np.flatnonzero(length >= crowd)
+            alone = np.ones(len(grams), bool)
+            if len(many):
+                among = [order[at[k] : at[k + 1]] for k in many.tolist()]
+                alone[np.concatenate(among)] = False
+                which = grams[order[at[many]]]
+                yield filled(SURVEY, len(many), kind=LIST, block=block_of(which + nodes[:1].view(np.uint64), blocks), node=which.view(np.int64), nodes=[nodes[owner[x]].tobytes() for x in among])
+                block = block_of(which, blocks)
+                by = np.argsort(block, kind="stable")
+                cut = edges_of(block[by])
+                number = length[many].astype(np.uint32)
+                yield filled(SURVEY, len(cut) - 1, kind=NUMBER, block=block[by][cut[:-1]], grams=[which[by[a:b]].tobytes() for a, b in zip(cut, cut[1:], strict=False)], owners=[number[by[a:b]].tobytes() for a, b in zip(cut, cut[1:], strict=False)])
+            grams, owner = grams[alone], owner[alone]
+            block = block_of(grams, blocks)
+            by = np.argsort(block.astype(np.uint16) if blocks < 1 << 16 else block, kind="stable")
+            grams, owner, block = grams[by], owner[by], block[by]
+            rows = []
+            for a, b in zip(cut := edges_of(block).tolist(), cut[1:], strict=False):
+                # Entries of a block lie by node, so the numbers of nodes are small steps.
+                here, count = np.unique(owner[a:b], return_counts=True)
+                rows.append((int(block[a]), grams[a:b].tobytes(), zlib.compress(count.astype(np.uint32).tobytes(), 1), nodes[here].tobytes()))
+            if rows:
+                number, packed, owners, names = zip(*rows, strict=True)
+                yield filled(SURVEY, len(rows), kind=ENTRIES, block=list(number), grams=list(packed), owners=list(owners), nodes=list(names))
+
+    return docs.select("doc_id", "text", row_key()).mapInArrow(run, ddl(SURVEY))
+
+
+def met(survey: DataFrame) -> DataFrame:
+    """By block: (node, gram, df) of n-grams that two nodes or more have, df of crowded n-grams; documents and lists go through."""
 
-    return docs.select("text").mapInArrow(run, "block long, grams binary, nodes binary, sizes binary")
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        of = lambda kind: rows.filter(pc.equal(rows["kind"], kind))
+        read = lambda part, name, kind: np.frombuffer(b"".join(x.as_py() for x in part[name]), kind)
+        docs, entries, lists, numbers = (of(k) for k in (DOC, ENTRIES, LIST, NUMBER))
+        out = [filled(MET, docs.num_rows, kind=DOC, **{c: docs[c].combine_chunks() for c in ("doc_id", "key", "node", "n")})]
+        out.append(filled(MET, lists.num_rows, kind=LIST, gram=lists["node"].combine_chunks(), nodes=lists["nodes"].combine_chunks()))
+        count = np.frombuffer(b"".join(zlib.decompress(x.as_py()) for x in entries["owners"]), np.uint32)
+        grams, nodes = read(entries, "grams", np.uint64), np.repeat(read(entries, "nodes", np.int64), count)
+        order = np.argsort(grams, kind="stable")
+        grams, nodes = grams[order], nodes[order]
+        # Copies of a text in several batches: few, since only n-grams found twice or more are put in order.
+        same = grams[1:] == grams[:-1]
+        crowded, add = read(numbers, "grams", np.uint64), read(numbers, "owners", np.uint32)
+        twice = np.append(same, False) | np.append(False, same) if len(grams) else np.zeros(0, bool)
+        if len(crowded):
+            crowded, where = np.unique(crowded, return_inverse=True)
+            add = np.bincount(where, add, len(crowded)).astype(np.int64)
+            twice |= np.isin(grams, crowded)
+        grams, nodes = grams[twice], nodes[twice]
+        order = np.lexsort((nodes, grams))
+        grams, nodes = grams[order], nodes[order]
+        once = np.append(True, (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1]))[: len(grams)]
+        grams, nodes = grams[once], nodes[once]
+        at = edges_of(grams)
+        df, kinds = np.diff(at), grams[at[:-1]]
+        if len(crowded):
+            place = np.searchsorted(crowded, kinds)
+            known = (place < len(crowded)) & (crowded[np.minimum(place, len(crowded) - 1)] == kinds)
+            df[known] += add[place[known]]
+            add[place[known]] = df[known]
+            out.append(filled(MET, len(crowded), kind=NUMBER, gram=crowded.view(np.int64), df=add))
+        df = np.repeat(df, np.diff(at))
+        keep = df > 1
+        out.append(filled(MET, int(keep.sum()), kind=ENTRIES, node=nodes[keep], gram=grams[keep].view(np.int64), df=df[keep]))
+        return pa.Table.from_batches(out)
+
+    return survey.groupBy("block").applyInArrow(run, ddl(MET))
+
+
+def shared_sets(rows: DataFrame) -> DataFrame:
+    """(node, n, grams): of each node that shares any, the number of all its n-grams, and its shared ones, rarest first."""
+
+    def each(batches):
+        for batch in batches:
+            for gram, df, nodes in zip(*(batch.column(c).to_pylist() for c in ("gram", "df", "nodes")), strict=True):
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.frombuffer(nodes, np.int64)), "gram": pa.array(np.full(len(nodes) // 8, gram)), "df": pa.array(np.full(len(nodes) // 8, df))})
 
+    entries = rows.where(F.col("kind") == ENTRIES).select("node", "gram", "df")
+    numbers = rows.where(F.col("kind") == NUMBER).select("gram", "df")
+    lists = rows.where(F.col("kind") == LIST).select("gram", "nodes").join(numbers, "gram").select("gram", "df", "nodes").mapInArrow(each, "node long, gram long, df long")
+    sizes = rows.where((F.col("kind") == DOC) & F.col("node").isNotNull()).select("node", "n").distinct()
+    null = F.lit(None).cast("long")
+    both = entries.unionByName(lists).select("node", null.alias("n"), F.struct("df", "gram").alias("g")).unionByName(sizes.select("node", "n", F.lit(None).cast("struct<df:long,gram:long>").alias("g")))
+    grouped = both.groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("g")).alias("g")).where(F.size("g") > 0)
+    return grouped.select("node", "n", F.col("g.gram").alias("grams"))
 
-def shared_rows(packed: DataFrame) -> DataFrame:
-    """(block, gram, node, n) of the n-grams that two nodes or more have: alone these make products."""
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows[name]])
-        g, node, size = read("grams", np.uint64), read("nodes", np.int64), read("sizes", np.uint32)
-        order = np.lexsort((node, g))
-        g, node, size = g[order], node[order], size[order]
-        once = np.append(True, (g[1:] != g[:-1]) | (node[1:] != node[:-1]))
-        g, node, size = g[once], node[once], size[once]
-        same = g[1:] == g[:-1]
-        keep = np.append(same, False) | np.append(False, same)
-        n = int(keep.sum())
-        return pa.table({"block": pa.array(np.full(n, key[0].as_py())), "gram": pa.array(g[keep].view(np.int64)), "node": pa.array(node[keep]), "n": pa.array(size[keep].astype(np.int64))})
-
-    return packed.groupBy("block").applyInArrow(run, "block long, gram long, node long, n long")
-
-
-def _proposals(group, node, size, part, turn: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A few pairs for each row of a group.  Rows lie by (group, size, node); all groups are dealt with at once."""
-    n = len(group)
-    first = np.searchsorted(group, group)
-    if turn == 0:
-        # Neighbours by size and by hash, and the group's middle.
-        by = np.lexsort((node, group))
-        middle = first + (np.searchsorted(group, group, side="right") - first) // 2
-        ways = [(np.arange(n - 1), np.arange(1, n)), (by[:-1], by[1:]), (np.arange(n), middle)]
-        return [(i[group[i] == group[j]], j[group[i] == group[j]]) for i, j in ways]
-    # Those outside their group's largest component each try some of its members.
-    by = np.lexsort((part, group))
-    run = np.flatnonzero(np.append(True, (group[by][1:] != group[by][:-1]) | (part[by][1:] != part[by][:-1])))
-    length = np.diff(np.append(run, n))
-    largest = np.lexsort((length, group[by][run]))
-    largest = largest[np.append(np.flatnonzero(np.diff(group[by][run][largest])), len(largest) - 1)]
-    most = np.empty(int(group[-1]) + 1, part.dtype)
-    most[group[by][run][largest]] = part[by][run][largest]
-    within = part == most[group]
-    inside, outside = np.flatnonzero(within), np.flatnonzero(~within)
-    low, high = (np.searchsorted(group[inside], group[outside], side=x) for x in ("left", "right"))
-    near = np.searchsorted(inside, outside)
-    picks = [np.clip(near + k, low, high - 1) for k in (-1, 0)]
-    picks += [low + ((node[outside].view(np.uint64) >> np.uint64(3 + 7 * turn + 5 * k)) % (high - low).astype(np.uint64)).astype(np.int64) for k in range(4)]
-    return [(outside, inside[p]) for p in picks]
-
-
-def _every_pair(group, size, percent: int, most: int = 4_000_000):
-    """All pairs of each group whose sizes allow the similarity, some millions at a time."""
-    scale = int(size.max()) + 2
-    place = group * scale + size
-    last = np.searchsorted(place, group * scale + np.minimum(100 * size // percent, scale - 1), side="right")
-    count = last - np.arange(len(group)) - 1
-    at = np.concatenate([[0], np.cumsum(count)])
-    k = 0
-    while k < len(count):
-        end = max(k + 1, int(np.searchsorted(at, at[k] + most, side="right")) - 1)
-        i = np.repeat(np.arange(k, end), count[k:end])
-        yield i, i + 1 + np.arange(len(i)) - (at[i] - at[k])
-        k = end
-
-
-def _pairs(rows: DataFrame, percent: int, every: bool, turn: int) -> DataFrame:
-    """(a, b, n_a, n_b, count) of pairs in different components, by block; ``every`` pair of a group, or few proposals."""
-    names = ("a", "b", "n_a", "n_b", "count")
-
-    def counted(i, j, w):
-        order = np.lexsort((j, i))
-        i, j, w = i[order], j[order], w[order]
-        new = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        return i[new], j[new], np.add.reduceat(w, new)
+def need(a: Column, b: Column, percent: int) -> Column:
+    """The least overlap of two sets of these sizes that reach the similarity."""
+    return F.ceil((percent * (a + b)) / F.lit(100.0 + percent) - 1e-9)
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        g, node, size, part = (rows[c].to_numpy() for c in ("gram", "node", "n", "part"))
-        order = np.lexsort((node, size, g))
-        g, node, size, part = g[order], node[order], size[order], part[order]
-        # Groups of one component have nothing left to link.
-        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        open_ = np.repeat(np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin), np.diff(np.append(begin, len(g))))
-        g, node, size, part = g[open_], node[open_], size[open_], part[open_]
-        if not len(g):
-            return pa.table({c: pa.array([], pa.int64()) for c in names})
-        group = np.cumsum(np.append(0, g[1:] != g[:-1]))
-        # Nodes are numbered within the block, so that a pair is two small numbers.
-        nodes, number = np.unique(node, return_inverse=True)
-        n_of = np.empty(len(nodes), np.int64)
-        n_of[number] = size
-        out = []
-        if every:
-            parts = _every_pair(group, size, percent)
-        else:
-            pairs = [np.stack([np.minimum(i, j), np.maximum(i, j)], 1) for i, j in _proposals(group, node, size, part, turn)]
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            parts = [(pairs[:, 0], pairs[:, 1])]
-        for i, j in parts:
-            ok = (part[i] != part[j]) & (100 * size[i] >= percent * size[j])
-            i, j = number[i[ok]], number[j[ok]]
-            if len(i):
-                out.append(counted(np.minimum(i, j), np.maximum(i, j), np.ones(len(i), np.int64)))
-        if not out:
-            return pa.table({c: pa.array([], pa.int64()) for c in names})
-        i, j, count = counted(*(np.concatenate(x) for x in zip(*out, strict=True)))
-        return pa.table(dict(zip(names, (nodes[i], nodes[j], n_of[i], n_of[j], count), strict=True)))
-
-    return rows.groupBy("block").applyInArrow(run, "a long, b long, n_a long, n_b long, count long")
-
-
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Overlap counts added up over the blocks, and pairs below the bound discarded."""
-    after = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")
-    need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
-    added = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("count").alias("count"))
-    return added.where(F.col("count") + F.greatest(after("n_a"), after("n_b")) >= need).select("a", "b")
 
+def incidence(sets: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, place) of the n-grams that enter the product; ``place`` is among all of the node's, those of its own first."""
+    own = F.col("n") - F.size("grams")
+    enter = F.expr(f"n - ({percent} * n + 99) div 100 + 1") - own
+    rows = sets.select("node", "n", own.alias("own"), F.posexplode(F.slice("grams", 1, F.greatest(enter, F.lit(0)).cast("int"))).alias("k", "gram"))
+    return rows.select("gram", "node", "n", (F.col("own") + F.col("k")).alias("place"))
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the similarity, counted on whole sets."""
 
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * o >= percent * (len(x) + len(y) - o))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _product(left: DataFrame, right: DataFrame, percent: int, apart) -> DataFrame:
+    """(a, b, n_a, n_b) of pairs of rows that share n-grams: overlap counts added up, pairs below the bounds discarded."""
+    x, y = left.select("gram", F.struct(*[c for c in left.columns if c != "gram"]).alias("x")), right.select("gram", F.struct(*[c for c in right.columns if c != "gram"]).alias("y"))
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    met_ = x.join(y, (x["gram"] == y["gram"]) & apart & (room >= need(F.col("x.n"), F.col("y.n"), percent)))
+    first = F.col("x.node") < F.col("y.node")
+    side = lambda c, low: F.when(first if low else ~first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+    pairs = met_.select(side("node", True).alias("a"), side("node", False).alias("b"), side("n", True).alias("n_a"), side("n", False).alias("n_b"), side("place", True).alias("p_a"), side("place", False).alias("p_b"))
+    added = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("count"), F.max("p_a").alias("p_a"), F.max("p_b").alias("p_b"))
+    more = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1
+    return added.where(F.col("count") + more >= need(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
 
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return left.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that reach the similarity, counted on all shared n-grams."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+    overlap = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("o", overlap).where(F.expr(f"100 * o >= {percent} * (n_a + n_b - o)")).select("a", "b")
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS, cells: int | None = None) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_entries: int = BLOCK_ENTRIES, crowd: int = CROWD) -> DataFrame:
     """(doc_id, key, n_shingles, group) of each row; documents of one group are linked, and group is null without n-grams."""
-    if cells is None:
-        cells = 1 << min(26, max(18, math.ceil(math.log2(1 + 16 * docs.count()))))
-    survey = written(surveyed(docs, width, cells), "survey")
-    known = survey.where("kind = 0").select("doc_id", "key", "node", "n")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    frequent = frequent_cells(survey, cells, total)
-    blocks = max(1, total * (100 - percent) // 100 // BLOCK_ROWS)
-    shared = written(shared_rows(incidence(docs, width, percent, frequent, blocks)), "shared")
-
-    first = known.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("d")).select("node", F.col("d.key").alias("row"))
-
-    def load(batches):
-        seen: set[int] = set()
-        for batch in small_batches(batches):
-            grams = {node_of(g): g for g in sets_of(batch.column("text").to_pylist(), width) if len(g)}
-            grams = {k: g for k, g in grams.items() if k not in seen}
-            seen.update(grams)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.int64()), pa.array([g.tobytes() for g in grams.values()], pa.binary())], names=["node", "grams"])
-
-    def whole_sets(pairs: DataFrame) -> DataFrame:
-        """Sets of the nodes of some pairs, each from one document."""
-        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("row"), "nodes")
-        wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-        picked = docs.select("doc_id", "text").join(wanted, F.xxhash64("doc_id", "text") == F.col("row"), "left_semi").select("text")
-        return written(picked.mapInArrow(load, "node long, grams binary"), "sets")
-
-    # Between rounds a few steps towards the components are enough.  Before the last they are settled, so that of a large group only what is really apart is paired.
-    links, parts, turn = None, None, 0
-    while turn <= rounds:
-        last = turn == rounds
-        if last and links is not None:
-            parts = written(components(links), "parts")
-        rows = shared.withColumn("part", F.col("node")) if parts is None else shared.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        likely = written(_bounded(_pairs(rows, percent, last, turn), percent), "likely")
-        more = not likely.isEmpty()
-        if more:
-            found = written(_verified(likely, whole_sets(likely), percent), "found")
-            more = not found.isEmpty()
-        if more:
-            links = found if links is None else links.unionByName(found)
-            if last:
-                parts = components(links)
-            else:
-                links = nearer(links, STEPS)
-                parts = names(links)
-        turn = turn + 1 if more or last else rounds
-    if parts is None:
-        return known.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("node").alias("group"))
-    return known.join(parts, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("group"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, size // (7 * block_entries))
+    rows = written(met(surveyed(docs, width, blocks, crowd)), "met")
+    known = rows.where(F.col("kind") == DOC).select("doc_id", "key", F.col("n").alias("n_shingles"), "node")
+    sets = written(shared_sets(rows), "sets")
+    entries = written(incidence(sets, percent), "incidence")
+
+    # Every node with its group's hub.
+    hubs = entries.groupBy("gram").agg(F.min(F.struct("place", "n", "node")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("gram", "hub.*")
+    links = written(_verified(_product(entries, hubs, percent, F.col("x.node") != F.col("y.node")), sets, percent), "links")
+    parts = components(links)
+
+    # What is still apart.
+    placed = written(entries.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "placed")
+    main = placed.groupBy("gram", "part").agg(F.count("*").alias("m")).groupBy("gram").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = placed.join(main.select("gram", "main"), "gram").withColumn("outside", F.col("part") != F.col("main")).drop("main")
+    apart = (F.col("x.part") != F.col("y.part")) & (~F.col("y.outside") | (F.col("x.node") < F.col("y.node")))
+    more = written(_verified(_product(open_.where("outside"), open_, percent, apart), sets, percent), "links")
+    if not more.isEmpty():
+        parts = components(links.unionByName(more))
+    group = F.coalesce("component", "node").alias("group")
+    return known.join(parts, "node", "left").select("doc_id", "key", "n_shingles", group)
 
 
 def join(docs: DataFrame, **options) -> DataFrame:

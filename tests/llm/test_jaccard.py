@@ -61,7 +61,7 @@ def made_up(seed):
 def test_join(spark, seed):
     rows = made_up(seed)
     docs = spark.createDataFrame([(k, t, "n", 0) for k, t in rows], "doc_id long, text string, node string, part int").repartition(3)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, rounds=seed, cells=1 << 12).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, block_entries=500 * seed, crowd=2 * seed).collect()), key=str)
     assert got == brute(rows)
     if seed == 1:
         kept = jaccard.one_of_each(docs)
@@ -82,3 +82,20 @@ def test_components(spark):
     for a, b in links:
         assert a == b or got[a] == got[b]
     assert got[120] == 1 and got[25] == 21 and got[60] == 41
+
+
+def test_hot_groups(spark):
+    """One n-gram in every document, one text in every batch, and a template of 0.67 that links nothing."""
+    rng = random.Random(9)
+    template, common, copy = prose(rng, 60), prose(rng, 5), " ".join(prose(rng, 30))
+    rows = []
+    for k in range(300):
+        if k % 3 == 0:
+            own = list(template)
+            own[2 + k % 9 : 5 + k % 9] = [f"own{k}", f"mine{k}", f"self{k}"]
+            rows.append((k, " ".join(own)))
+        else:
+            rows.append((k, copy if k % 3 == 1 else " ".join(common + prose(rng, 40))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, block_entries=400).collect()), key=str)
+    assert got == brute(rows)
