@@ -2,7 +2,7 @@
 
 A cut lies wherever the gear hash of the last 32 bytes has its top bits all zero,
 so cuts depend on content near them alone and shift along with an insertion.
-Chunks are told apart by digest and length.  Each chunk's first occurrence, by
+Chunks are told apart by a digest of 128 bits.  Each chunk's first occurrence, by
 (doc_id, place), stays; a document loses the runs of later occurrences that are at
 least ``least_words`` words long together.  Runs below that stay, so common short
 strings aren't touched.
@@ -13,8 +13,9 @@ many documents share reaches its bucket once a batch.  Buckets send back the
 places of later occurrences only.  One pass over the documents follows, which cuts.
 
 Nulls and edge cases: a null text stays null and an empty one empty; a text
-without a cut is one chunk; repeated rows have the same doc_id and text, and all but
-the first lose their text if it is long enough; a null doc_id comes last in the order;
+without a cut is one chunk; of repeated rows (the same doc_id and text) one, the first
+as rows were written, is the earliest, and all chunks of the others are later ones; a
+null doc_id comes last in the order, and rows of one doc_id go by a hash of their text;
 empty tables give no rows; other columns are kept.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import small_batches, starts
+from quarry.llm.common import small_batches, starts, written
 
 #: Top bits that must be zero at a cut: chunks are 2**BITS bytes long on average.
 BITS = 5
@@ -61,12 +62,13 @@ def cuts(data: bytes) -> np.ndarray:
 
 def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(ends, digests) of a text's chunks."""
-    ends = cuts(data)
-    digest, at, out = xxhash.xxh3_64_intdigest, 0, []
-    for e in ends.tolist():
-        out.append(digest(data[at:e]))
-        at = e
-    return ends, np.array(out, np.uint64)
+    return all_chunks([data])[0]
+
+
+def digests(text: bytes, ends: list[int]) -> np.ndarray:
+    """128-bit digests of the chunks that end there, as rows of two words."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(text[a:b]) for a, b in zip([0, *ends], ends, strict=False)]), np.uint64).reshape(-1, 2)
 
 
 def all_chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -74,16 +76,15 @@ def all_chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     at = starts([len(x) for x in texts])
     joined = b"".join(texts)
     if not joined:
-        return [(np.empty(0, np.int64), np.empty(0, np.uint64)) for _ in texts]
+        return [(np.empty(0, np.int64), np.empty((0, 2), np.uint64)) for _ in texts]
     found = np.flatnonzero(gear_hash(np.frombuffer(joined, np.uint8)) >> np.uint32(32 - BITS) == 0) + 1
-    digest, out = xxhash.xxh3_64_intdigest, []
+    out = []
     low, high = np.searchsorted(found, at[:-1] + SPAN), np.searchsorted(found, at[1:], side="right")
     for k, text in enumerate(texts):
         ends = found[low[k] : high[k]] - at[k] if high[k] > low[k] else found[:0]
         if text and (not len(ends) or ends[-1] != len(text)):
             ends = np.append(ends, len(text))
-        e = ends.tolist()
-        out.append((ends, np.array([digest(text[a:b]) for a, b in zip([0, *e], e, strict=False)], np.uint64)))
+        out.append((ends, digests(text, ends.tolist())))
     return out
 
 
@@ -111,7 +112,7 @@ def packed_chunks(docs: DataFrame, buckets: int) -> DataFrame:
             place = np.concatenate([np.arange(k, dtype=np.uint32) for k in n])
             rank, key = (np.repeat(np.array(batch.column(c).to_pylist(), np.int64), n) for c in ("rank", "key"))
             digest, rank, key, place, later = in_order(digest, rank, key, place)
-            yield packed((digest[~later] >> np.uint64(11)).astype(np.int64) % buckets, 0, digest[~later], rank[~later], key[~later], place[~later])
+            yield packed((digest[~later, 0] >> np.uint64(11)).astype(np.int64) % buckets, 0, digest[~later], rank[~later], key[~later], place[~later])
             yield packed((key[later] >> 7) % buckets, 1, digest[later], rank[later], key[later], place[later])
 
     return docs.select("rank", "key", "text").mapInArrow(run, "bucket long, kind int, digests binary, ranks binary, keys binary, places binary")
@@ -119,9 +120,9 @@ def packed_chunks(docs: DataFrame, buckets: int) -> DataFrame:
 
 def in_order(digest, rank, key, place):
     """Occurrences by (digest, rank, key, place), each once, and whether another of the digest comes before."""
-    order = np.lexsort((place, key, rank, digest))
+    order = np.lexsort((place, key, rank, digest[:, 1], digest[:, 0]))
     digest, rank, key, place = digest[order], rank[order], key[order], place[order]
-    later = np.append(False, digest[1:] == digest[:-1])[: len(digest)]
+    later = np.append(False, (digest[1:] == digest[:-1]).all(1))[: len(digest)]
     once = ~(later & np.append(False, (key[1:] == key[:-1]) & (place[1:] == place[:-1]))[: len(digest)])
     return digest[once], rank[once], key[once], place[once], later[once]
 
@@ -135,9 +136,10 @@ def later_places(packed: DataFrame) -> DataFrame:
             return [np.frombuffer(b"".join(x.as_py() for x in part[c]), t) for c, t in (("digests", np.uint64), ("ranks", np.int64), ("keys", np.int64), ("places", np.uint32))]
 
         digest, rank, key, place = read(0)
-        # Only digests that occur twice are put in order.
-        order = np.argsort(digest, kind="stable")
-        same = digest[order][1:] == digest[order][:-1]
+        digest = digest.reshape(-1, 2)
+        # Only digests of which the first word occurs twice are put in order.
+        order = np.argsort(digest[:, 0], kind="stable")
+        same = digest[order, 0][1:] == digest[order, 0][:-1]
         order = order[(np.append(same, False) | np.append(False, same))[: len(order)]]
         _, _, key, place, later = in_order(digest[order], rank[order], key[order], place[order])
         known = read(1)
@@ -166,32 +168,52 @@ def runs_to_drop(data: bytes, ends: np.ndarray, later: np.ndarray, least_words:
     return out
 
 
+def row_key():
+    """A row by its id and text: repeated rows share it."""
+    return F.xxhash64("doc_id", "text")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """(rank, key, text): the doc_id, null last, and a key that repeated rows share."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    """(rank, key, text): the doc_id, null last, and the row's key."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), row_key().alias("key"), "text")
+
+
+def free(name: str, docs: DataFrame) -> str:
+    """A column name that the documents don't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents with the columns n_chunks, n_later, dropped (byte spans of the old text) added (columns of these names give way), and text without the dropped spans."""
     names = ["n_chunks", "n_later", "dropped"]
     docs = docs.drop(*names)
-    own = docs.columns
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, (size >> BITS) // BUCKET_ROWS)
-    later = later_places(packed_chunks(keyed(docs), buckets)).groupBy("key").agg(F.collect_list("places").alias("_places"))
-    later = later.withColumnRenamed("key", "_key")
-    both = docs.join(later, F.xxhash64(docs["doc_id"], docs["text"]) == later["_key"], "left").drop("_key")
+    own, fields = docs.columns, docs.schema.fields
+    size, rows, keys = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.count_distinct(row_key())).first()
+    buckets = max(1, ((size or 0) >> BITS) // BUCKET_ROWS)
+    row, key, places, first = (free(x, docs) for x in ("row", "key", "places", "first"))
+    # Repeated rows get numbers, which are written so that all who read them see the same.
+    docs = docs.withColumn(row, F.monotonically_increasing_id() if rows != keys else F.lit(None).cast("long"))
+    docs = written(docs, "numbered") if rows != keys else docs
+    marks = later_places(packed_chunks(keyed(docs), buckets)).select("key", "places", F.lit(None).cast("long").alias("first"))
+    if rows != keys:
+        repeated = docs.groupBy(row_key().alias("key")).agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+        marks = marks.unionByName(repeated.select("key", F.lit(None).cast("binary").alias("places"), "first"))
+    marks = marks.groupBy(F.col("key").alias(key)).agg(F.collect_list("places").alias(places), F.max("first").alias(first))
+    both = docs.join(marks, F.xxhash64(docs["doc_id"], docs["text"]) == marks[key], "left").drop(key)
     schema = pa.list_(pa.struct({"begin": pa.int64(), "end": pa.int64()}))
 
     def run(batches):
         for batch in small_batches(batches, 8_000_000):
             data = encoded(batch.column("text").to_pylist())
             texts, count, n_later, dropped = [], [], [], []
-            for text, old, found, (ends, _) in zip(data, batch.column("text").to_pylist(), batch.column("_places").to_pylist(), all_chunks(data), strict=True):
-                flags = np.zeros(len(ends), bool)
+            marked = (batch.column(c).to_pylist() for c in ("text", places, row, first))
+            for text, (ends, _), old, found, mine, one in zip(data, all_chunks(data), *marked, strict=True):
+                flags = np.full(len(ends), one is not None and mine != one)
                 for x in found or ():
                     flags[np.frombuffer(x, np.uint32)] = True
-                spans = runs_to_drop(text, ends, flags, least_words) if found else []
+                spans = runs_to_drop(text, ends, flags, least_words) if flags.any() else []
                 at, kept = 0, []
                 for a, b in spans:
                     kept.append(text[at:a])
@@ -204,7 +226,7 @@ def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(count, pa.int64()), pa.array(n_later, pa.int64()), pa.array(dropped, schema)], names=[*columns, *names])
 
     added = StructType.fromDDL("n_chunks long, n_later long, dropped array<struct<begin:long,end:long>>")
-    return both.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
+    return both.mapInArrow(run, StructType([*fields, *added.fields]))
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
