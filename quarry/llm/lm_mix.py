@@ -1,23 +1,36 @@
 """Operator 8: language-model scoring by online logistic context mixing, beside a unigram base score.
 
 The corpus gives two things, both from all training documents and nothing else:
-counts of words (for the base score), and counts of symbols after contexts of up to
-six bytes (for the model); both grow with the corpus.  A text's lower-cased bytes are symbols; each is coded as the
-binary decisions of a Huffman code made from the corpus, so a frequent byte is a few
-decisions.  Every context order predicts each decision from its counts; the
-predictions, as logits, are weighted by a gate (how much the context has been seen,
-and its order) and added up; in each text the gates' weights are refined as it is read, a
-block of decisions at a time, from the blocks before.  The sum of the decisions' log
-probabilities is the text's, end symbol included.
-
-Word counts take a shuffle of one packed row per block of documents and bucket of
-words; the counts come back to the blocks the same way, so a word that a third of all
-rows have costs one entry a block.  So it is with the pairs of context and symbol, which are told apart
-exactly: a block gets back the logits along the codes of its own pairs, and no task holds the model.
+counts of words (for the base score), and counts of symbols after contexts of three and
+of five bytes (for the model; the code itself holds those after one byte); both grow with the corpus.  A text's lower-cased bytes are
+symbols, and so is its end, a byte that UTF-8 never has; each is coded as the binary
+decisions of a Huffman code of what follows the byte before, made from the corpus, so
+a likely byte is a few decisions.
+
+* Predictors.  Every order's context predicts each decision from the corpus' counts of
+  that context alone (contexts are dealt to tasks by hash and told apart exactly).  One
+  more moves while the text is read: what followed the last time that the text had the
+  same ``MATCH`` bytes, trusted the more the longer it has been right.
+* Mixing.  Predictions, as logits gated by how much their context has been seen, are
+  weighted and added up; each text refines the weights as it is read, a block of
+  decisions at a time, from the blocks before.
+* Refinement.  Each text counts how often the likelier bit came, by the mixed logit's
+  size and by how long matches have been right; half of the final probability is from
+  these counts, which begin with what the mixer says.
+
+The sum of the decisions' log probabilities is the text's.  A text of more than
+``SEGMENT`` bytes is read in segments of that length from its begin, which hand on
+context, weights and counts; matches are sought within a segment.
+
+Documents are dealt to blocks of about ``DOC_BLOCK`` bytes.  A block sends each of its
+distinct words, and pairs of context and symbol, once to the bucket of its hash, and
+gets back the corpus' counts of its words and the logits along the codes of its pairs.
+So a word that a third of all rows have costs one entry a block, and no task holds the
+model.
 
 Nulls and edge cases: a null text is empty; an empty text is its end alone; a null
 doc_id isn't held out but no training row either; repeated rows give and count a row each; without
-training rows all counts are 0 and the model gives each decision one half; other columns are ignored.
+training rows all counts are 0 and the first decisions have one half; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,47 +42,34 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hashed_words, mixed, starts, written
+from quarry.llm.common import hashed_words, mixed, small_batches, starts, written
 
 #: Orders of the model: so many bytes before.
-ORDERS = (1, 2, 3, 4, 6)
-#: For a `Mixer` with tables in memory.  Bits of the hashed context of each order; an order's table has a row of 256 symbols for each.  Orders: the bytes before, 1 to 4.
-CONTEXT_BITS = (8, 14, 15, 15)
-END = 0  # the byte that ends a text; a zero byte of a text itself is coded alike
+ORDERS = (3, 5)
+#: The byte that ends a text.
+END = 255
 BLOCK = 128
-RATE = 0.01
-#: Start of the gates: weight of an order's logit, and how many sightings of a context make it half trusted.
-WEIGHTS, TRUST = (0.10, 0.15, 0.30, 0.60, 0.30), 0.4
-#: Bytes of text of a block of documents, and of the part of one that is scored at a time; the segments of a longer text carry context and weights on.
-DOC_BLOCK, SEGMENT = 4_000_000, 800_000
+RATE = 0.015
+#: Start of the gates: weight of an order's logit, and how many sightings of a context make it half trusted; last, the match's weight.
+WEIGHTS, TRUST, MATCH_WEIGHT = (0.5, 0.6), 0.4, 0.4
+#: Bytes of context that make a match, and its logit by how many guesses in a row were right.
+MATCH, STRENGTH = 6, (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
+#: Cells of the refinement: sizes of the mixed logit by kinds of match; how many sightings what the mixer says is worth.
+SIZES, STEP, KINDS, WORTH = 12, 0.5, 3, 24.0
+#: Bytes of text of a block of documents, and of a segment.
+DOC_BLOCK, SEGMENT = 8_000_000, 1 << 19
+#: Bits of a place in a piece, which holds a segment and one more text of a segment at most.
+PLACE_BITS = 21
 #: The end of a text among the hashes of words.
 END_WORD = xxhash.xxh3_64_intdigest(b" end ")
-BUCKET_WORDS = 400_000
+#: Bytes of text for each bucket of words, and of pairs.
+WORD_BUCKET, PAIR_BUCKET = 20_000_000, 4_000_000
 SCALE = 16.0
 
 
-def contexts(data: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Hashed context of every byte by order; ``first`` marks where texts begin, and nothing before that counts."""
-    n = len(data)
-    begin = np.flatnonzero(first)
-    back = np.zeros((4, n), np.uint32)
-    for k in range(1, 5):
-        back[k - 1, k:] = data[:-k]
-        for j in range(k):
-            back[k - 1, begin[begin + j < n] + j] = 0
-    # Texts shorter than four bytes: what lies before their begin doesn't reach the next text either.
-    one = back[0]
-    two = one | back[1] << np.uint32(8)
-    three = two | back[2] << np.uint32(16)
-    four = three ^ (back[3] + np.uint32(1)) * np.uint32(0x85EBCA6B)
-    spread = lambda h, bits: ((h ^ h >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.int32)
-    return [one.astype(np.int32), spread(two, CONTEXT_BITS[1]), spread(three, CONTEXT_BITS[2]), spread(four, CONTEXT_BITS[3])]
-
-
 def text_bytes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of texts side by side; where texts begin; their offsets."""
     at = starts([len(x) for x in data])
@@ -79,15 +79,15 @@ def text_bytes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_keys(parts: list[bytes], before: list[bytes]) -> np.ndarray:
-    """Key of each byte of the parts by order, [order, byte]: the order's number, the bytes before and the byte itself.  ``before`` is what a part's text has right before it; ahead of a text all bytes are 0."""
+    """Key of each byte of the parts by order, [order, byte]: the order's number, the bytes before and the byte itself.  ``before`` is what a part's text has right before it; ahead of a text all bytes are END."""
     data, first, at = text_bytes([x + y for x, y in zip(before, parts, strict=True)])
     n, begin, longest = len(data), np.flatnonzero(first), max(ORDERS)
     keys, context = np.empty((len(ORDERS), n), np.uint64), np.zeros(n, np.uint64)
     for k in range(1, longest + 1):
-        back = np.zeros(n, np.uint64)
+        back = np.full(n, END, np.uint64)
         back[k:] = data[:-k]
         for j in range(k):
-            back[begin[begin + j < n] + j] = 0
+            back[begin[begin + j < n] + j] = END
         context |= back << np.uint64(8 * k)
         if k in ORDERS:
             which = ORDERS.index(k)
@@ -130,105 +130,103 @@ def symbols(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower() + bytes([END])
 
 
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code of the 256 symbols: (length, nodes[symbol, depth], bits[symbol, depth]); inner nodes are 0 to 254, the root last."""
-    heap = [(int(c) + 1, k) for k, c in enumerate(counts)]
+def huffman(counts: np.ndarray) -> list[list]:
+    """Paths of the 256 symbols of a code, as lists of (node, bit) from the root; inner nodes are 0 to 254, the root last."""
+    heap = [(int(c), k) for k, c in enumerate(counts)]
     heapq.heapify(heap)
-    child = np.zeros((255, 2), np.int64)
+    child = []
     for node in range(255):
         (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        child[node] = x, y
+        child.append((x, y))
         heapq.heappush(heap, (a + b, 256 + node))
-    paths: dict[int, list] = {}
+    paths: list[list] = [[] for _ in range(256)]
     stack = [(254, [])]
     while stack:
         node, path = stack.pop()
-        for bit in (0, 1):
-            x, more = int(child[node, bit]), [*path, (node, bit)]
+        for bit, x in enumerate(child[node]):
             if x < 256:
-                paths[x] = more
+                paths[x] = [*path, (node, bit)]
             else:
-                stack.append((x - 256, more))
-    length = np.array([len(paths[k]) for k in range(256)])
-    nodes, bits = np.zeros((256, length.max()), np.int32), np.zeros((256, length.max()), np.int8)
-    for k, path in paths.items():
-        nodes[k, : len(path)], bits[k, : len(path)] = zip(*path, strict=True)
-    return length, nodes, bits
-
-
-def gated_logits(counts: np.ndarray, code, order: int) -> np.ndarray:
-    """Of rows of symbol counts [contexts, 256]: the gated logit of bit 1 at each node, as int8 of 1/SCALE."""
-    length, nodes, bits = code
-    ones, total = np.zeros(counts.shape, np.float32), np.zeros(counts.shape, np.float32)
-    for s in np.flatnonzero(counts.any(0)):
-        for d in range(length[s]):
-            total[:, nodes[s, d]] += counts[:, s]
-            if bits[s, d]:
-                ones[:, nodes[s, d]] += counts[:, s]
-    p = (ones + 0.4) / (total + 0.8)
-    gate = WEIGHTS[order] * total / (total + TRUST)
-    return np.clip(np.rint(SCALE * gate * 2 * np.log(p / (1 - p))), -127, 127).astype(np.int8)
-
-
-class Mixer:
-    """Tables of gated logits by order, and the code; for models that fit in memory."""
-
-    def __init__(self, code, tables: list[np.ndarray]):
-        self.code, self.tables = code, tables
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """log2 probability of each text."""
-        return self._score([symbols(x) for x in texts])
-
-    def _score(self, parts: list[bytes]) -> np.ndarray:
-        data, first, _ = text_bytes(parts)
-
-        def inputs_of(of, node, depth):
-            x = np.empty((len(self.tables), len(of)), np.int8)
-            for k, (table, context) in enumerate(zip(self.tables, contexts(data, first), strict=True)):
-                index = (context << 8).take(of)
-                index += node
-                table.take(index, out=x[k], mode="clip")
-            return x
-
-        return mixed_bits(self.code, parts, inputs_of, len(self.tables))[0]
-
-
-def pairs_of(texts: list[str | None]) -> np.ndarray:
-    """Sorted distinct keys of the texts."""
-    return np.unique(np.concatenate([encoded_keys(pair_keys(parts, before))[0] for _, parts, before in pieces(texts)]))
-
-
-def pair_score(code, texts: list[str | None], pairs: np.ndarray, logits: np.ndarray) -> np.ndarray:
+                stack.append((x - 256, [*path, (node, bit)]))
+    return paths
+
+
+def codes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A code of the symbols after each byte, from counts [byte before, symbol]: (length, nodes[, depth], signs of the bits[, depth]) of byte before * 256 + symbol."""
+    plain = counts.sum(0) + 1
+    every = huffman(plain)
+    # Rare symbols have a floor, so codes stay below some 30 decisions.
+    paths = [path for row in counts for path in (huffman(np.maximum(row, 1 + row.sum() // (1 << 18)) * 256 + plain * 256 // plain.sum()) if row.any() else every)]
+    length = np.array([len(x) for x in paths])
+    # One column more than the longest code has; beyond a code's end there is no node, and a sign of 0.
+    nodes, signs = np.full((1 << 16, length.max() + 1), -1, np.int16), np.zeros((1 << 16, length.max() + 1), np.int8)
+    for k, path in enumerate(paths):
+        nodes[k, : len(path)], signs[k, : len(path)] = zip(*path, strict=True)
+    return length, nodes, np.where(nodes < 0, 0, 2 * signs - 1).astype(np.int8)
+
+
+def guesses(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte: what followed when its part last had the same ``MATCH`` bytes before (-1: never), and how many guesses in a row were right just before."""
+    data, first, at = text_bytes(parts)
+    n, owner = len(data), np.repeat(np.arange(len(parts)), np.diff(at))
+    key = np.zeros(n, np.uint64)
+    for k in range(1, MATCH + 1):
+        key[k:] |= data[:-k].astype(np.uint64) << np.uint64(8 * (k - 1))
+    full = np.flatnonzero(np.arange(n) - at[owner] >= MATCH)
+    # A context's hash above the place, so that places with one context lie together in order.
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    key = np.sort(mixed(key[full] * np.uint64(0x9E3779B97F4A7C15) + owner[full].astype(np.uint64)) & ~low | full.astype(np.uint64))
+    place, same = (key & low).astype(np.int64), key[1:] >> np.uint64(PLACE_BITS) == key[:-1] >> np.uint64(PLACE_BITS)
+    before, after = place[:-1][same], place[1:][same]
+    mine = owner[before] == owner[after]
+    guess = np.full(n, -1, np.int16)
+    guess[after[mine]] = data[before[mine]]
+    right = guess == data
+    # Guesses in a row that were right: places since the last that wasn't, or since the text's begin.
+    wrong = np.maximum.accumulate(np.where(~right, np.arange(n), -1))
+    run = np.zeros(n, np.int64)
+    run[1:] = np.arange(n - 1) - np.maximum(wrong[:-1], at[owner[1:]] - 1)
+    run[first] = 0
+    return guess, np.minimum(run, len(STRENGTH) - 1).astype(np.int8)
+
+
+def encoded_pieces(texts: list[str | None]) -> tuple[list[tuple], np.ndarray]:
+    """Pieces with their bytes' numbers among the piece's distinct pairs; the sorted distinct pairs of all."""
+    made = [(owner, parts, before, *encoded_keys(pair_keys(parts, before))) for owner, parts, before in pieces(texts)]
+    return made, np.unique(np.concatenate([x[3] for x in made]))
+
+
+def pair_score(code, made: list[tuple], n_texts: int, pairs: np.ndarray, logits: np.ndarray) -> np.ndarray:
     """log2 probability of each text by the logits along the codes of its ``pairs``, side by side in ``logits``."""
-    at = starts(code[0][(pairs & np.uint64(255)).astype(np.int64)])
-    out, last, weights = np.zeros(len(texts), np.float64), None, None
-    for owner, parts, before in pieces(texts):
-        distinct, number = encoded_keys(pair_keys(parts, before))
-        begin = at[np.searchsorted(pairs, distinct)]
-
-        def inputs_of(of, node, depth, begin=begin, number=number):
-            x = np.empty((len(number), len(of)), np.int8)
+    at = starts(code[0][(pairs & np.uint64(0xFFFF)).astype(np.int64)])
+    out, last, state = np.zeros(n_texts, np.float64), None, None
+    for owner, parts, before, distinct, number in made:
+        begin = at[np.searchsorted(pairs, distinct)].astype(np.int32)
+
+        def inputs_of(of, depth, begin=begin, number=number):
+            x = np.empty((len(number) + 1, len(of)), np.int8)
             for k, row in enumerate(number):
                 logits.take(begin.take(row).take(of) + depth, out=x[k], mode="clip")
             return x
 
-        carried = weights if len(owner) == 1 and owner[0] == last else None
-        bits, weights = mixed_bits(code, parts, inputs_of, len(ORDERS), carried)
+        carried = state if len(owner) == 1 and owner[0] == last else None
+        bits, state = mixed_bits(code, parts, before, inputs_of, carried)
         np.add.at(out, owner, bits)
         last = owner[-1]
     return out
 
 
-def mixed_bits(code, parts: list[bytes], inputs_of, orders: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """log2 probability of each part, and its weights after it.  ``inputs_of(of, node, depth)`` gives the logits [order, decision] at bytes ``of``."""
+def mixed_bits(code, parts: list[bytes], before: list[bytes], inputs_of, state=None) -> tuple[np.ndarray, tuple]:
+    """log2 probability of each part, and its weights and counts after it.  ``inputs_of(of, depth)`` gives the logits [order, decision] at bytes ``of``, with a row to spare for the match."""
     data, first, at = text_bytes(parts)
-    length, nodes, bits = code
-    # Signs of the bits; 0 beyond a code's end, and the last column is beyond all of them.
-    width = nodes.shape[1] + 1
-    signs = np.where(np.arange(width) < length[:, None], np.pad(bits, ((0, 0), (0, 1))) * 2 - 1, 0).astype(np.int8).ravel()
-    nodes = np.pad(nodes, ((0, 0), (0, 1))).ravel()
-    steps = length[data]
+    length, nodes, signs = code
+    width = nodes.shape[1]
+    signs, nodes = signs.ravel(), nodes.ravel()
+    last = np.empty(len(data), np.int32)
+    last[1:] = data[:-1]
+    last[at[:-1]] = [x[-1] if x else END for x in before]
+    last <<= 8
+    steps = length[last + data]
     per_text = np.add.reduceat(steps, at[:-1])
     blocks = -(-per_text // BLOCK)
     begin = np.cumsum(blocks) - blocks
@@ -236,32 +234,59 @@ def mixed_bits(code, parts: list[bytes], inputs_of, orders: int, weights: np.nda
     empty = blocks * BLOCK - per_text
     steps[at[1:] - 1] += empty
     of = np.repeat(np.arange(len(data), dtype=np.int32), steps)
-    path = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(steps) - steps).astype(np.int32), steps)
-    np.minimum(path, width - 1, out=path)
-    depth = path.copy()
-    path += (data.astype(np.int32) * width).take(of)
+    depth = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(steps) - steps).astype(np.int32), steps)
+    np.minimum(depth, width - 1, out=depth)
+    path = depth + ((last + data) * width).take(of)
     node, sign = nodes.take(path), signs.take(path).reshape(-1, BLOCK)
-    x = inputs_of(of, node, depth).reshape(orders, -1, BLOCK)
+    x = inputs_of(of, depth)
+    # The match speaks as long as the guess's code has gone the same way.
+    guess, run = guesses(parts)
+    path = depth + np.where(guess < 0, -width, (last + guess) * width).astype(np.int32).take(of)
+    agrees = (nodes.take(path, mode="clip") == node) & (path >= 0) & (node >= 0)
+    strong = np.rint(SCALE * np.array(STRENGTH)).astype(np.int8)
+    x[-1] = np.where(agrees, strong[run].take(of) * signs.take(path, mode="clip"), 0)
+    kind = (np.where(guess < 0, 0, np.where(run < 3, 1, 2)) * SIZES).astype(np.int16).take(of).reshape(-1, BLOCK)
+    orders = len(x)
+    x = x.reshape(orders, -1, BLOCK)
     # Texts side by side, longest first, a block of each at a time.
     order = np.argsort(-blocks, kind="stable")
     live = np.searchsorted(-blocks[order], -np.arange(blocks.max()), side="left")
-    weights = np.full((len(parts), orders), 1 / SCALE, np.float32) if weights is None else weights.copy()
-    rate, out = np.float32(RATE / SCALE / SCALE), empty.astype(np.float64)
+    if state is None:
+        weights = np.full((len(parts), orders), 1 / SCALE, np.float32)
+        weights[:, -1] *= MATCH_WEIGHT
+        says = 1 / (1 + np.exp(-STEP * (np.arange(KINDS * SIZES) % SIZES + 0.5)))
+        state = weights, np.tile((WORTH * says).astype(np.float32), (len(parts), 1)), np.full((len(parts), KINDS * SIZES), WORTH, np.float32)
+    weights, came, seen = (v.copy() for v in state)
+    rate, out, cells = np.float32(RATE / SCALE / SCALE), empty.astype(np.float64), KINDS * SIZES
     for t in range(int(blocks.max())):
         who = order[: live[t]]
         rows = begin[who] + t
         inputs, s, w = x[:, rows].astype(np.float32), sign[rows].astype(np.float32), weights[who]
         m = inputs[0] * w[:, :1]
-        for k in range(1, len(inputs)):
+        for k in range(1, orders):
             m += inputs[k] * w[:, k : k + 1]
         m *= s
-        e = np.exp(-np.abs(m))
-        q = 1 / (1 + e)
-        # log2 of sigmoid(m); an empty decision has m = 0 and is taken off as one bit before.
-        out[who] += (np.log(q) + np.minimum(m, 0)).sum(1, dtype=np.float64) / math.log(2)
-        s *= np.where(m > 0, e * q, q)
+        far = np.abs(m)
+        q = 1 / (1 + np.exp(-far))
+        likely = m > 0
+        # The refinement, of the likelier bit.
+        cell = np.minimum(far * np.float32(1 / STEP), SIZES - 1).astype(np.intp)
+        cell += kind[rows]
+        cell += np.arange(len(who))[:, None] * cells
+        refined = (came[who] / seen[who]).ravel().take(cell, mode="clip")
+        refined += q
+        p = np.where(likely, refined, 2 - refined)
+        # Twice the probability; an empty decision counts as one bit, which was put in before.
+        p[s == 0] = 1
+        out[who] += np.log(p).sum(1) / math.log(2) - BLOCK
+        cell *= 2
+        cell += likely
+        both = np.bincount(cell.ravel(), minlength=2 * cells * len(who)).reshape(len(who), cells, 2)
+        came[who] += both[:, :, 1]
+        seen[who] += both.sum(2)
+        s *= np.where(likely, 1 - q, q)
         weights[who] = w + rate * np.einsum("kmb,mb->mk", inputs, s)
-    return out, weights
+    return out, (weights, came, seen)
 
 
 def training():
@@ -269,24 +294,6 @@ def training():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(False))
 
 
-def doc_blocks(docs: DataFrame) -> DataFrame:
-    """Documents with the block they belong to and their place there; a block has a bounded size."""
-
-    def run(batches):
-        base, n, place, size = TaskContext.get().partitionId() << 32, 0, 0, 0
-        for batch in batches:
-            block, at = [], []
-            for length in pc.binary_length(batch.column("text")).to_pylist():
-                if size >= DOC_BLOCK:
-                    n, place, size = n + 1, 0, 0
-                block.append(base + n)
-                at.append(place)
-                place, size = place + 1, size + (length or 0) + 64
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(at, pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("trains"), batch.column("text")], names=["block", "at", "doc_id", "trains", "text"])
-
-    return docs.select("doc_id", training().alias("trains"), "text").mapInArrow(run, "block long, at long, doc_id long, trains boolean, text string")
-
-
 def block_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts side by side, an end after each; words of each text, the end included."""
     words, n = hashed_words(texts)
@@ -305,91 +312,10 @@ def by_bucket(distinct: np.ndarray, buckets: int, rest: int = 0) -> tuple[np.nda
     return order, bucket[at[:-1]], at
 
 
-def gathered(blocks: DataFrame, buckets: int, pair_buckets: int) -> DataFrame:
-    """One pass over the documents.  Kind 0: a block's distinct words of one bucket, with their numbers in training rows; kind 1: the same of its pairs of context and symbol.  Kind 2: a task's symbol counts in training rows."""
-    names = ["kind", "bucket", "block", "keys", "counts"]
-
-    def run(batches):
-        state = {"block": None, "texts": [], "trains": []}
-        plain = np.zeros(256, np.uint64)
-
-        def flush():
-            texts, trains = state["texts"], np.array(state["trains"], bool)
-            h, n = block_words(texts)
-            distinct, where = np.unique(h, return_inverse=True)
-            count = np.bincount(where[np.repeat(trains, n)], minlength=len(distinct)).astype(np.uint32)
-            yield packed(0, distinct, count, by_bucket(distinct, buckets))
-            keys, counts = [], []
-            for owner, parts, before in pieces(texts):
-                key, number = encoded_keys(pair_keys(parts, before))
-                learn = np.repeat(trains[owner], [len(x) for x in parts])
-                keys.append(key)
-                counts.append(np.bincount(number[:, learn].ravel(), minlength=len(key)))
-                plain[:] += np.bincount(np.frombuffer(b"".join(parts), np.uint8)[learn], minlength=256).astype(np.uint64)
-            distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.uint32)
-            yield packed(1, distinct, count, by_bucket(distinct, pair_buckets, 8))
-
-        def packed(kind, distinct, count, cut_at):
-            order, bucket, at = cut_at
-            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
-            m = len(bucket)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array(bucket), pa.array([state["block"]] * m, pa.int64()), cut(distinct[order]), cut(count[order])], names=names)
-
-        for batch in batches:
-            for block, trains, text in zip(*(batch.column(c).to_pylist() for c in ("block", "trains", "text")), strict=True):
-                if block != state["block"]:
-                    if state["texts"]:
-                        yield from flush()
-                    state |= {"block": block, "texts": [], "trains": []}
-                state["texts"].append(text)
-                state["trains"].append(trains)
-        if state["texts"]:
-            yield from flush()
-        yield pa.RecordBatch.from_pylist([{"kind": 2, "bucket": 0, "block": 0, "keys": b"", "counts": plain.tobytes()}], pa.schema({"kind": pa.int32(), "bucket": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}))
-
-    return blocks.mapInArrow(run, "kind int, bucket long, block long, keys binary, counts binary")
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Back to every block: the corpus counts of its words of a bucket, in its own order; and a row (block null) of the bucket's tokens and distinct training words."""
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in rows["keys"]]
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows["counts"]])
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, counts, len(distinct)).astype(np.uint64)
-        at = starts([len(x) for x in keys])
-        back = total[where]
-        n = rows.num_rows
-        return pa.table(
-            {
-                "block": pa.array([*rows["block"].to_pylist(), None], pa.int64()),
-                "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int64()),
-                "counts": pa.array([*(back[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)), None], pa.binary()),
-                "tokens": pa.array([*[None] * n, int(total.sum())], pa.int64()),
-                "kinds": pa.array([*[None] * n, int((total > 0).sum())], pa.int64()),
-            }
-        )
-
-    return rows.where("kind = 0").select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(run, "block long, bucket long, counts binary, tokens long, kinds long")
-
-
-def symbol_counts(rows: DataFrame) -> np.ndarray:
-    """Numbers of the 256 symbols in training rows."""
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x.as_py(), np.uint64) for x in rows["counts"]), np.zeros(256, np.uint64))
-        return pa.table({"counts": pa.array([total.tobytes()], pa.binary())})
-
-    got = rows.where("kind = 2").select("bucket", "counts").groupBy("bucket").applyInArrow(run, "counts binary").collect()
-    return sum((np.frombuffer(bytes(r.counts), np.uint64) for r in got), np.zeros(256, np.uint64))
-
-
 def path_logits(keys: np.ndarray, counts: np.ndarray, code) -> np.ndarray:
     """Of sorted distinct pairs and their counts: gated logits of bit 1 at the nodes along each pair's code, side by side, as int8 of 1/SCALE.  A context's pairs must all be there."""
-    length, nodes, bits = code
-    symbol = (keys & np.uint64(255)).astype(np.int64)
+    length, nodes, signs = code
+    symbol = (keys & np.uint64(0xFFFF)).astype(np.int64)
     steps = length[symbol]
     of = np.repeat(np.arange(len(keys)), steps)
     depth = np.arange(len(of)) - np.repeat(np.cumsum(steps) - steps, steps)
@@ -397,69 +323,149 @@ def path_logits(keys: np.ndarray, counts: np.ndarray, code) -> np.ndarray:
     _, place = np.unique((context[of] << 8) + nodes[symbol[of], depth], return_inverse=True)
     n = counts.astype(np.float64)[of]
     total = np.bincount(place, n)[place]
-    ones = np.bincount(place, n * bits[symbol[of], depth])[place]
+    ones = np.bincount(place, n * (signs[symbol[of], depth] > 0))[place]
     p = (ones + 0.4) / (total + 0.8)
     gate = np.array(WEIGHTS)[(keys >> np.uint64(56)).astype(np.int64)][of] * total / (total + TRUST)
     return np.clip(np.rint(SCALE * gate * 2 * np.log(p / (1 - p))), -127, 127).astype(np.int8)
 
 
-def pair_logits(rows: DataFrame, code) -> DataFrame:
-    """Back to every block: the logits along the codes of its pairs of a bucket, in its own order."""
+def narrow(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)
+
+
+def symbol_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Numbers of the symbols after each byte in training rows, and the bytes of all rows."""
+
+    def run(batches):
+        counts, size = np.zeros(1 << 16, np.int64), 0
+        for batch in small_batches(batches):
+            size += batch.num_rows + (pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0)
+            texts = batch.filter(batch.column("trains")).column("text").cast(pa.binary()).fill_null(b"")
+            if len(texts):
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), bytes([END]))[0].as_py()
+                data = LOWER.take(np.frombuffer(bytes([END]) + joined + bytes([END]), np.uint8))
+                counts += np.bincount(data[:-1] << 8 | data[1:], minlength=1 << 16)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(np.append(some, -1)), "n": pa.array(np.append(counts[some], size))})
+
+    got = docs.select("text", training().alias("trains")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts, size = np.zeros(1 << 16, np.int64), 0
+    for r in got:
+        if r.pair < 0:
+            size = r.n
+        else:
+            counts[r.pair] = r.n
+    return counts.reshape(256, 256), size
+
+
+#: Bytes with A-Z lower-cased.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.int32)
+GATHERED = "bucket long, block long, keys binary, counts binary"
+
+
+def gathered(blocks: DataFrame, word_buckets: int, pair_buckets: int) -> DataFrame:
+    """A block's distinct words of a bucket with their numbers in training rows, and the same of its pairs of context and symbol, whose buckets come after those of words."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at")
+        texts, trains = rows["text"].to_pylist(), np.array(rows["trains"].to_pylist(), bool)
+        out: list[tuple] = []
+
+        def packed(distinct, count, base, cut_at):
+            order, bucket, at = cut_at
+            out.extend((base + b, distinct[order[i:j]].tobytes(), narrow(count[order[i:j]])) for b, i, j in zip(bucket.tolist(), at, at[1:], strict=False))
+
+        h, n = block_words(texts)
+        distinct, where = np.unique(h, return_inverse=True)
+        packed(distinct, np.bincount(where[np.repeat(trains, n)], minlength=len(distinct)), 0, by_bucket(distinct, word_buckets))
+        del h, where
+        keys, counts = [], []
+        for owner, parts, before in pieces(texts):
+            # The last bit tells whether the row trains.
+            marked = pair_keys(parts, before) << np.uint64(1) | np.repeat(trains[owner], [len(x) for x in parts])
+            got, number = np.unique(marked, return_counts=True)
+            keys.append(got >> np.uint64(1))
+            counts.append(np.where(got & np.uint64(1), number, 0))
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        packed(distinct, np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.int64), word_buckets, by_bucket(distinct, pair_buckets, 8))
+        bucket, keys, counts = zip(*out, strict=True)
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "block": pa.array([key[0].as_py()] * len(bucket), pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    return blocks.groupBy("block").applyInArrow(run, GATHERED)
+
+
+def answered(rows: DataFrame, word_buckets: int, sent) -> DataFrame:
+    """Back to every block, in its own order of a bucket: the corpus counts of its words, or the logits along the codes of its pairs; and to block -1 the tokens and distinct training words of a bucket."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        bucket, code = key[0].as_py(), sent.value
         keys = [np.frombuffer(x.as_py(), np.uint64) for x in rows["keys"]]
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows["counts"]])
+        counts = np.concatenate([wide(x.as_py()) for x in rows["counts"]])
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        logits = path_logits(distinct, np.bincount(where, counts, len(distinct)), code)
-        steps = code[0][(distinct & np.uint64(255)).astype(np.int64)]
-        begin, at, out = starts(steps), starts([len(x) for x in keys]), []
-        for a, b in zip(at, at[1:], strict=False):
-            mine = where[a:b]
-            n = steps[mine]
-            out.append(logits[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
-        return pa.table({"block": rows["block"], "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "counts": pa.array(out, pa.binary())})
+        total = np.bincount(where, counts, len(distinct)).astype(np.int64)
+        at, blocks = starts([len(x) for x in keys]), rows["block"].to_pylist()
+        if bucket < word_buckets:
+            out = [narrow(total[where[a:b]]) for a, b in zip(at, at[1:], strict=False)]
+            blocks, out = [*blocks, -1], [*out, narrow(np.array([total.sum(), (total > 0).sum()]))]
+        else:
+            logits, steps, out = path_logits(distinct, total, code), code[0][(distinct & np.uint64(0xFFFF)).astype(np.int64)], []
+            begin = starts(steps)
+            for a, b in zip(at, at[1:], strict=False):
+                n = steps[where[a:b]]
+                out.append(logits[np.repeat(begin[where[a:b]] - starts(n)[:-1], n) + np.arange(n.sum())].tobytes())
+        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()), "answer": pa.array(out, pa.binary())})
 
-    return rows.where("kind = 1").select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(run, "block long, bucket long, counts binary")
+    return rows.groupBy("bucket").applyInArrow(run, "block long, bucket long, answer binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row."""
-    blocks = written(doc_blocks(docs), "blocks")
-    size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, size // (20 * BUCKET_WORDS))
-    pair_buckets = max(1, size // (2 * BUCKET_WORDS))
-    rows = written(gathered(blocks, buckets, pair_buckets), "gathered")
-    counts = written(word_counts(rows), "counts")
-    tokens, kinds = counts.where("block is null").agg(F.sum("tokens"), F.sum("kinds")).first()
-    tokens, kinds = tokens or 0, kinds or 0
-    code = huffman(symbol_counts(rows))
-    logits = written(pair_logits(rows, code), "logits")
+    plain, size = symbol_counts(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(codes(plain))
+    n_blocks, word_buckets, pair_buckets = (max(1, -(-size // x)) for x in (DOC_BLOCK, WORD_BUCKET, PAIR_BUCKET))
+    # Rows are dealt by number too, so that repeated ones don't meet in one block.
+    at = F.monotonically_increasing_id()
+    blocks = docs.select("doc_id", training().alias("trains"), "text", at.alias("at")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text", "at"), F.lit(n_blocks)))
+    answers = answered(gathered(blocks, word_buckets, pair_buckets), word_buckets, sent)
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("at")
+        if not left.num_rows:
+            tokens, kinds = np.sum([wide(x.as_py()) for x in right["answer"]], axis=0).tolist()
+            return pa.table({"doc_id": pa.array([None], pa.int64()), "n_tokens": [tokens], "n_known": [kinds], "base": [0.0], "score": [0.0], "size": pa.array([-1], pa.int64())})
+        left, right = left.sort_by("at"), right.sort_by("bucket")
         texts = left["text"].to_pylist()
+        words, paths = right.filter(pc.less(right["bucket"], word_buckets)), right.filter(pc.greater_equal(right["bucket"], word_buckets))
         h, n = block_words(texts)
         distinct, where = np.unique(h, return_inverse=True)
-        order, _, _ = by_bucket(distinct, buckets)
-        right = right.sort_by("bucket")
-        right, paths = (right.filter(pc.equal(right["kind"], k)) for k in (0, 1))
         c = np.empty(len(distinct), np.int64)
-        c[order] = np.frombuffer(b"".join(x.as_py() for x in right["counts"]), np.uint64)
+        c[by_bucket(distinct, word_buckets)[0]] = np.concatenate([wide(x.as_py()) for x in words["answer"]])
         c, at = c[where], starts(n)[:-1]
-        base = np.add.reduceat(np.log10(c + 1.0), at) - n * math.log10(tokens + kinds + 1)
-        pairs = pairs_of(texts)
-        order, _, _ = by_bucket(pairs, pair_buckets, 8)
+        base, known = np.add.reduceat(np.log10(c + 1.0), at), np.add.reduceat((c > 0).astype(np.int64), at)
+        del h, where, c, distinct
+        code = sent.value
+        made, pairs = encoded_pieces(texts)
+        order = by_bucket(pairs, pair_buckets, 8)[0]
         # Paths come by bucket, and are put in the order of the pairs.
-        steps = code[0][(pairs & np.uint64(255)).astype(np.int64)]
+        steps = code[0][(pairs & np.uint64(0xFFFF)).astype(np.int64)]
         came = np.empty(len(pairs), np.int64)
         came[order] = starts(steps[order])[:-1]
-        paths = np.frombuffer(b"".join(x.as_py() for x in paths["counts"]), np.int8)
-        paths = paths[np.repeat(came - (np.cumsum(steps) - steps), steps) + np.arange(len(paths))]
-        bits = pair_score(code, texts, pairs, paths)
-        size = np.array([len(symbols(x)) for x in texts])
-        return pa.table({"doc_id": left["doc_id"], "n_tokens": n, "n_known": np.add.reduceat((c > 0).astype(np.int64), at), "base_score": base, "score": bits * math.log10(2), "bits_per_byte": -bits / size})
-
-    back = counts.where("block is not null").select("block", "bucket", "counts", F.lit(0).alias("kind")).unionByName(logits.select("block", "bucket", "counts", F.lit(1).alias("kind")))
-    both = blocks.select("block", "at", "doc_id", "text").groupBy("block").cogroup(back.groupBy("block"))
-    got = both.applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
-    return got.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+        paths = np.frombuffer(b"".join(x.as_py() for x in paths["answer"]), np.int8)
+        if len(paths) != steps.sum():
+            raise ValueError("a block's rows aren't those that were gathered")
+        paths = paths[np.repeat(came - starts(steps)[:-1], steps) + np.arange(len(paths))]
+        bits = pair_score(code, made, len(texts), pairs, paths)
+        return pa.table({"doc_id": left["doc_id"].cast(pa.int64()), "n_tokens": n, "n_known": known, "base": base, "score": bits * math.log10(2), "size": pa.array([len(symbols(x)) for x in texts], pa.int64())})
+
+    both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    got = written(both.applyInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, size long"), "scored")
+    total = got.where("size < 0").first()
+    tokens, kinds = (total.n_tokens, total.n_known) if total else (0, 0)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out")
+    base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(tokens + kinds + 1))
+    return got.where("size >= 0").select("doc_id", held_out, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") / F.lit(math.log10(2)) / F.col("size")).alias("bits_per_byte"))
