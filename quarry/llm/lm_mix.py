@@ -103,8 +103,9 @@ def pair_keys(parts: list[bytes], before: list[bytes]) -> np.ndarray:
 def pieces(texts: list[str | None]):
     """(numbers of the texts, parts, bytes before the parts) of about SEGMENT bytes each; segments of a longer text come alone and in order."""
     owner, parts, held = [], [], 0
-    for k, text in enumerate(texts):
-        whole = symbols(text)
+    # Texts of like length are read side by side.
+    for k in sorted(range(len(texts)), key=lambda k: len(texts[k] or "")):
+        whole = symbols(texts[k])
         if owner and held + len(whole) > SEGMENT:
             yield owner, parts, [b""] * len(parts)
             owner, parts, held = [], [], 0
