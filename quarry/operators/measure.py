@@ -16,8 +16,9 @@ def throughput(amount: Column, seconds: Column) -> Column:
 
 
 def write_rollup(writes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sums over components; bytes_in is null where no component has it."""
-    out = writes.groupBy(*by).agg(F.sum("elapsed").alias("elapsed"), F.sum("bytes_out").alias("bytes_out"), F.sum("bytes_in").alias("bytes_in"), F.count("*").alias("components"))
+    """Sums over components; bytes_in is null where no component has it.  Sums are made in decimals, so they don't depend on the order of the rows."""
+    exact = lambda c: F.sum(F.col(c).cast("decimal(28,9)")).cast("double").alias(c)
+    out = writes.groupBy(*by).agg(exact("elapsed"), exact("bytes_out"), exact("bytes_in"), F.count("*").alias("components"))
     return out.withColumn("throughput", throughput(F.col("bytes_out"), F.col("elapsed")))
 
 

@@ -48,23 +48,25 @@ def octree(points: DataFrame, span: int = 128, most_depth: int = MOST_DEPTH, che
     points = finite(points).select("pid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
     x0, y0, z0, side = root_cube(points)
     cut = checkpoint or (lambda df, name: df.checkpoint())
-    left, out, size = points.select("*", F.lit(0).cast("long").alias("nx"), F.lit(0).cast("long").alias("ny"), F.lit(0).cast("long").alias("nz")), None, side
-    key = ["nx", "ny", "nz"]
+    # Points are told apart by a number, so several of one pid stay several.
+    left = cut(points.withColumn("row", F.monotonically_increasing_id()), "octree-points").select("*", *[F.lit(0).cast("long").alias(n) for n in ("nx", "ny", "nz")])
+    out, size, key = None, side, ["nx", "ny", "nz"]
     for depth in range(most_depth + 1):
-        counts = left.groupBy(*key).agg(F.count("*").alias("n"))
-        big = counts.where(F.col("n") > span**3) if depth < most_depth else counts.limit(0)
         cell = lambda c, n, low, s=size: F.least(F.floor((F.col(c) - (F.lit(low) + F.col(n) * s)) / s * span), F.lit(span - 1)).cast("long")
-        in_big = left.join(big.select(*key), key, "left_semi").withColumn("cell", (cell("x", "nx", x0) * span + cell("y", "ny", y0)) * span + cell("z", "nz", z0))
-        kept = in_big.groupBy(*key, "cell").agg(F.min("pid").alias("pid")).select("pid", *key)
-        leaf = left.join(big.select(*key), key, "left_anti").select("pid", *key)
-        level = leaf.unionByName(kept).select("pid", F.lit(depth).alias("depth"), F.concat_ws("-", F.lit(depth), *key).alias("node"))
+        left = left.withColumn("cell", (cell("x", "nx", x0) * span + cell("y", "ny", y0)) * span + cell("z", "nz", z0))
+        # The first point of each voxel and the number of its points; a node's points are the sum over its voxels.
+        first = left.groupBy(*key, "cell").agg(F.min(F.struct("pid", "row")).alias("first"), F.count("*").alias("n"))
+        nodes = first.groupBy(*key).agg(F.sum("n").alias("in_node"))
+        marks = first.join(nodes, key).select(*key, "cell", "first.row", "in_node").withColumnRenamed("row", "first_row")
+        whole = F.col("in_node") <= span**3 if depth < most_depth else F.lit(True)
+        marked = cut(left.join(marks, [*key, "cell"]).withColumn("kept", whole | (F.col("row") == F.col("first_row"))).drop("cell", "first_row", "in_node"), f"octree-{depth}")
+        level = marked.where("kept").select("pid", F.lit(depth).alias("depth"), F.concat_ws("-", F.lit(depth), *key).alias("node"))
         out = level if out is None else out.unionByName(level)
-        half = size / 2
-        child = lambda c, n, low, s=size, h=half: (2 * F.col(n) + (F.col(c) >= F.lit(low) + F.col(n) * s + h).cast("long")).alias(n)
-        rest = in_big.join(kept.select("pid"), "pid", "left_anti").select("pid", "x", "y", "z", child("x", "nx", x0), child("y", "ny", y0), child("z", "nz", z0))
-        left, size = cut(rest, f"octree-{depth + 1}"), half
-        if left.isEmpty():
+        rest, half = marked.where("not kept").drop("kept"), size / 2
+        if rest.isEmpty():
             break
+        child = lambda c, n, low, s=size, h=half: (2 * F.col(n) + (F.col(c) >= F.lit(low) + F.col(n) * s + h).cast("long")).alias(n)
+        left, size = rest.select("pid", "x", "y", "z", "row", child("x", "nx", x0), child("y", "ny", y0), child("z", "nz", z0)), half
     return out
 
 

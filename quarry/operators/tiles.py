@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.grid import WORLD, blocks_spanned, tile_bounds
 
 
-def tiles_at(spark: SparkSession, zoom: int) -> DataFrame:
-    """(z, x, y) of all tiles of a zoom, made in parallel."""
-    n = 1 << zoom
-    return spark.range(n * n).select(F.lit(zoom).alias("z"), (F.col("id") % n).alias("x"), F.expr(f"id div {n}").alias("y"))
+def tiles_over(spark: SparkSession, zoom: int, grid: dict) -> DataFrame:
+    """(z, x, y) of the tiles of a zoom that a north-up Mercator grid {xmin, ymax, pixel, rows, cols} reaches, made in parallel."""
+    n, side = 1 << zoom, 2 * WORLD / (1 << zoom)
+    within = lambda v: min(n - 1, max(0, math.floor(v / side)))
+    x0, x1 = within(grid["xmin"] + WORLD), within(grid["xmin"] + grid["cols"] * grid["pixel"] + WORLD)
+    y0, y1 = within(WORLD - grid["ymax"]), within(WORLD - grid["ymax"] + grid["rows"] * grid["pixel"])
+    wide = x1 - x0 + 1
+    return spark.range(wide * (y1 - y0 + 1)).select(F.lit(zoom).alias("z"), (F.col("id") % wide + x0).alias("x"), (F.expr(f"id div {wide}") + y0).alias("y"))
 
 
 def pixel_window(grid: dict, tile: Column | None = None) -> Column:
@@ -36,18 +42,30 @@ def chunk_count(window: Column, block: Column, decimation: Column) -> Column:
     return F.when(window.isNull(), F.lit(0).cast("long")).otherwise(span("c0", "c1") * span("r0", "r1"))
 
 
-def best_tiles(counted: DataFrame, targets: list[int]) -> DataFrame:
-    """The tile for each target number of chunks: the finest zoom first, interior tiles before others, then by place; the scan stops at the first zoom with which all targets are met."""
-    met = counted.where(F.col("chunks").isin(targets))
-    by_zoom = met.groupBy("z").agg(F.collect_set("chunks").alias("have")).orderBy(F.desc("z")).collect()
+def best_tiles(counted: DataFrame, targets: list[int], open_from: int = 9) -> DataFrame:
+    """(target, chunks, z, x, y, interior, approximate): a tile for each target number of chunks.
+
+    A target from ``open_from`` on that no tile has is served by the smallest larger
+    number.  Zooms are looked through from the finest on, and no further than where all
+    targets are served; of the tiles of one number the first that is wholly inside goes
+    first, else the first, by zoom and then by column and row.
+    """
+    by_zoom = counted.groupBy("z").agg(F.collect_set("chunks").alias("have")).orderBy(F.desc("z")).collect()
+
+    def serve(have: set[int]) -> dict[int, int]:
+        larger = {t: min((c for c in have if c >= t), default=None) if t >= open_from else None for t in targets}
+        return {t: c for t in targets if (c := t if t in have else larger[t]) is not None}
+
     seen, stop = set(), 0
     for r in by_zoom:
         seen |= set(r.have)
         stop = r.z
-        if seen >= set(targets):
+        if len(serve(seen)) == len(targets):
             break
-    order = F.struct(~F.col("interior"), -F.col("z"), "y", "x")
-    return met.where(F.col("z") >= stop).groupBy("chunks").agg(F.min_by(F.struct("z", "x", "y", "interior"), order).alias("t")).select("chunks", "t.*")
+    order = F.struct(~F.col("interior"), -F.col("z"), "x", "y")
+    served = counted.sparkSession.createDataFrame(list(serve(seen).items()), "target int, chunks long")
+    best = counted.where((F.col("z") >= stop) & F.col("chunks").isin(list(serve(seen).values()))).groupBy("chunks").agg(F.min_by(F.struct("z", "x", "y", "interior"), order).alias("t"))
+    return best.join(F.broadcast(served), "chunks").select("target", "chunks", "t.*", (F.col("chunks") != F.col("target")).alias("approximate"))
 
 
 def by_resolution(spark: SparkSession, grid: dict, decimations: list[int], wanted: list[float], block: int = 512) -> DataFrame:
@@ -56,7 +74,7 @@ def by_resolution(spark: SparkSession, grid: dict, decimations: list[int], wante
     for target in wanted:
         zoom = native_zoom(target)
         level = max([d for d in decimations if grid["pixel"] * d <= target], default=min(decimations))
-        over = tiles_at(spark, zoom).withColumn("w", pixel_window(grid)).where(F.col("w").isNotNull())
+        over = tiles_over(spark, zoom, grid).withColumn("w", pixel_window(grid)).where(F.col("w").isNotNull())
         best = over.groupBy().agg(F.min_by(F.struct("z", "x", "y", "w"), F.struct(~F.col("w.interior"), "y", "x")).alias("t")).where(F.col("t").isNotNull())
         one = best.select(F.lit(float(target)).alias("wanted"), F.lit(level).alias("decimation"), "t.z", "t.x", "t.y", F.col("t.w.interior").alias("interior"), chunk_count(F.col("t.w"), F.lit(block), F.lit(level)).alias("chunks"))
         out = one if out is None else out.unionByName(one)

@@ -176,7 +176,13 @@ def test_listing_sources(spark, tmp_path):
     keys = lambda **o: [r.key for r in listing.select_objects(rows, **o).collect()]
     assert keys() == ["4.tif", "a/b/1.tif", "a/b/2.txt", "a/bc/3.tif"]
     assert keys(prefix="a/b") == ["a/b/1.tif", "a/b/2.txt"] and keys(suffix=".tif", pattern="b", limit=1) == ["a/b/1.tif"] and keys(limit=0) == []
-    assert listing.alternation_prefixes("^(2015|2016)/07") == ["2015", "2016"] and listing.alternation_prefixes("a(b|c)") is None
+    assert keys(prefix="a/b", whole_parts=False) == ["a/b/1.tif", "a/b/2.txt", "a/bc/3.tif"]
+    again = tmp_path / "t" / str(tmp_path / "t")[1:] / "in"
+    again.mkdir(parents=True)
+    (again / "x y.txt").write_bytes(b"abc")
+    assert f"{str(tmp_path / 't')[1:]}/in/x y.txt" in {r.key for r in listing.list_objects(spark, f"{tmp_path}/t").collect()}
+    assert [r.key for r in listing.list_objects(spark, f"{tmp_path}/t", str(again)[len(str(tmp_path / 't')) + 1 :]).collect()] == [f"{str(tmp_path / 't')[1:]}/in/x y.txt"]
+    assert listing.object_size(spark, f"{again}/x y.txt") == 3 and listing.object_size(spark, f"{again}/none") is None and listing.object_size(spark, f"{tmp_path}/no/folder") is None
     (tmp_path / "l.json").write_text('[5, {"name": "n", "size": 7}]')
     assert [tuple(r) for r in listing.json_listing(spark, f"{tmp_path}/l.json").collect()] == [("#0", 5), ("n", 7)]
     (tmp_path / "bad.json").write_text('[5, {"name": "n"}]')
@@ -211,10 +217,40 @@ def test_bundles_and_registry(spark):
 
 
 def test_best_tiles_in_order(spark):
-    rows = [(3, 0, 0, 1, False), (3, 1, 0, 1, True), (3, 2, 0, 1, True), (2, 0, 0, 4, False), (2, 1, 0, 1, True), (1, 0, 0, 4, True), (1, 0, 0, 2, True)]
+    rows = [(3, 0, 0, 1, False), (3, 1, 0, 1, True), (3, 2, 0, 1, True), (3, 1, 5, 1, True), (2, 0, 0, 4, False), (2, 1, 0, 1, True), (1, 0, 0, 4, True), (1, 0, 0, 2, True)]
     df = spark.createDataFrame(rows, "z int, x long, y long, chunks long, interior boolean")
-    got = {r.chunks: (r.z, r.x, r.interior) for r in tiles.best_tiles(df, [1, 4]).collect()}
-    assert got == {1: (3, 1, True), 4: (2, 0, False)}
+    got = {r.target: (r.chunks, r.z, r.x, r.y, r.interior) for r in tiles.best_tiles(df, [1, 4]).collect()}
+    assert got == {1: (1, 3, 1, 0, True), 4: (4, 2, 0, 0, False)}
+    # Nine or more: the smallest larger number of what the scan has met by then.
+    more = df.unionByName(spark.createDataFrame([(2, 0, 0, 20, True), (1, 0, 0, 12, True), (0, 0, 0, 9, True)], df.schema))
+    served = lambda *t: {r.target: (r.chunks, r.approximate) for r in tiles.best_tiles(more, list(t)).collect()}
+    assert served(1, 9) == {1: (1, False), 9: (20, True)}
+    assert served(2, 9) == {2: (2, False), 9: (12, True)}
+    assert served(1, 3) == {1: (1, False)}
+
+
+def test_tiles_over_a_grid(spark):
+    g = {"xmin": -1500000.0, "ymax": 7000000.0, "pixel": 100.0, "rows": 24000, "cols": 32000}
+    for zoom in (0, 4, 7):
+        n = 1 << zoom
+        every = spark.range(n * n).select(F.lit(zoom).alias("z"), (F.col("id") % n).alias("x"), F.expr(f"id div {n}").alias("y"))
+        reached = lambda df: {(r.x, r.y) for r in df.withColumn("w", tiles.pixel_window(g)).where("w is not null").collect()}
+        assert reached(tiles.tiles_over(spark, zoom, g)) == reached(every)
+
+
+def test_octree_keeps_points_of_one_pid(spark):
+    rows = [(1, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0), (2, 1.0, 1.0, 1.0), (3, 0.1, 0.1, 0.1)]
+    from quarry.plans.tables import written
+
+    got = points.octree(spark.createDataFrame(rows, "pid long, x double, y double, z double"), span=1, checkpoint=written)
+    assert sorted(r.pid for r in got.collect()) == [1, 1, 2, 3]
+
+
+def test_free_name(spark):
+    from quarry.functions.names import free_name
+
+    df = spark.createDataFrame([(1, 2)], "Flag int, flag_ int")
+    assert free_name(df, "flag") == "flag__" and free_name(df, "other") == "other"
 
 
 def test_report(spark):
