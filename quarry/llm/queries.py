@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, jaccard, lm_mix, packing, quality, substring, token_counts, token_output, toxicity, url_filter
-from quarry.llm.common import table
+from quarry.llm.common import shared_dir, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record of the shards."""
-    got = token_output.records(token_output.shards(table(spark, sf_dir, "documents")))
+    """One row per record, read back from the written shards."""
+    path = f"{shared_dir(spark)}/quarry/shards-{uuid.uuid4().hex}"
+    token_output.write_shards(token_output.shards(table(spark, sf_dir, "documents")), path)
+    got = token_output.read_shards(spark, path)
     return got.select("slot", "shard", "byte", "n_tokens", "ids_crc32", F.size("spans").cast("long").alias("n_spans"), F.element_at("spans", 1)["doc_id"].alias("doc_id"), F.element_at("spans", 1)["start"].alias("start"))
 
 

@@ -109,7 +109,7 @@ def placed(rows: DataFrame, key: int = KEY) -> DataFrame:
 
 def shards(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END, ranks: str | None = None) -> DataFrame:
     """(shard, first_slot, n, stride, payload, n_tokens, spans): a row per shard; the last two have an entry per record."""
-    rows = written(sequences(docs, length, end_id, ranks), "sequences")
+    rows = written(sequences(docs, length, end_id, ranks), "sequences", "zstd")
     stride = 2 * length
 
     def run(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -135,8 +135,8 @@ def records(shards: DataFrame, from_slot: int = 0) -> DataFrame:
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    """One row per shard, in files by range of shards."""
-    shards.repartitionByRange("shard").sortWithinPartitions("shard").write.parquet(path)
+    """One row per shard: each file has some whole shards, which are shuffled by number when they are made and aren't moved again."""
+    shards.sortWithinPartitions("shard").write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
