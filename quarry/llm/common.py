@@ -73,14 +73,14 @@ def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, n of each at least."""
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _POWERS[k] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), base, np.uint64)]))
+            _POWERS[k] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 19), base, np.uint64)]))
     return _POWERS
 
 
-def hashed_words(texts: list[str | None], part: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[str | None], part: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``lower_words`` of all texts side by side, and how many each text has.
 
-    A word's hash is a polynomial of its bytes, from prefix sums over a megabyte of texts at a time; no word becomes an object.
+    A word's hash is a polynomial of its bytes, from prefix sums over a quarter of a megabyte of texts at a time; no word becomes an object.
     """
     hashes, counts, held, size = [], [], [], 0
 

@@ -174,7 +174,7 @@ class Network:
         gate[:HIDDEN] = 40
         return np.concatenate([gate, gate])[None]
 
-    def score(self, texts: list[str | None], most: int = 150_000) -> np.ndarray:
+    def score(self, texts: list[str | None], most: int = 80_000) -> np.ndarray:
         """Worst window's probability of each text; 0 where there are no words."""
         words = [words_of(x) for x in texts]
         flat = [w for row in words for w in row]
