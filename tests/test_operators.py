@@ -246,6 +246,21 @@ def test_octree_keeps_points_of_one_pid(spark):
     assert sorted(r.pid for r in got.collect()) == [1, 1, 2, 3]
 
 
+def test_null_policy(spark):
+    schema = "id int, lon double, lat double, xmin double, ymin double, xmax double, ymax double"
+    whole = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0)], schema)
+    some = whole.unionByName(spark.createDataFrame([(2, 5.0, 6.0, None, None, None, None)], schema))
+    assert spatial.with_null_policy(whole).count() == 1
+    with pytest.raises(ValueError, match="1 features"):
+        spatial.with_null_policy(some)
+    assert [r.id for r in spatial.with_null_policy(some, "drop").collect()] == [1]
+    assert {r.id: (r.xmin, r.null_geometry) for r in spatial.with_null_policy(some, "point_from", "lon", "lat").collect()} == {1: (0.0, False), 2: (5.0, True)}
+    assert {r.id: r.xmin for r in spatial.with_null_policy(some, "sentinel").collect()}[2] < 0
+    for bad in ("point_from", "other"):
+        with pytest.raises(ValueError):
+            spatial.with_null_policy(some, bad)
+
+
 def test_free_name(spark):
     from quarry.functions.names import free_name
 
