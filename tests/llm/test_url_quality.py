@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,24 +68,74 @@ def jensen_shannon(p, q):
     return math.sqrt(max(0.0, sum(f(x, y) + f(y, x) for x, y in zip(p, q, strict=True)) / 2))
 
 
+def histograms(text, common):
+    """Shares of the character classes and of the common words, each with what is left."""
+    n, words = len(text), [w.lower() for w in re.findall("[^\x20\x09-\x0d]+", text)]
+    kinds = [str.isupper, "0123456789".__contains__, ".,;:'-".__contains__, "!?\"()".__contains__, "#*$%&|<>+=_/\\@~^[]{}".__contains__, " \t\n\x0b\x0c\r".__contains__]
+    classes = [sum(map(kind, text)) / n for kind in kinds]
+    shares = [words.count(w) / len(words) for w in common]
+    return [*classes, 1 - sum(classes)], [*shares, 1 - sum(shares)]
+
+
 def test_quality(spark):
     docs = spark.createDataFrame([(*t, "x") for t in TEXTS], "doc_id long, text string, lang string, words string")
-    refs = quality.references(docs)
-    got = quality.judge(docs).collect()
+    refs = {r.lang: r for r in quality.references(quality.base(docs), least_reference=1).collect()}
+    joined = {}
+    for _, t, lang in TEXTS:
+        joined.setdefault(lang or "", []).append(t or "")
+    assert set(refs) == {lang for lang, texts in joined.items() if any(x.split() for x in texts)}
+    for lang, r in refs.items():
+        words = Counter(w.lower() for t in joined[lang] for w in re.findall("[^\x20\x09-\x0d]+", t))
+        first = sorted(words, key=lambda w: (-words[w], w.encode()))[: quality.COMMON]
+        assert [w.word for w in r.words] == first and r.n_words == words.total()
+        classes, shares = histograms("".join(joined[lang]), [])[0], [words[w] / words.total() for w in first]
+        assert r.classes == pytest.approx(classes) and [w.share for w in r.words] == pytest.approx(shares)
+    got = quality.judge(docs, least_reference=1).collect()
     want = sorted(((k, *base(t)) for k, t, _ in TEXTS), key=str)
     assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got), key=str) == want
     for r in got:
-        text = next(t for k, t, _ in TEXTS if k == r.doc_id) or ""
-        words = [w.lower() for w in re.findall("[^\x20\x09-\x0d]+", text)]
-        if len(words) < quality.LEAST_WORDS:
-            assert r.class_distance is None and r.kept == (not r.base_failed)
+        text, lang = next((t, lang or "") for k, t, lang in TEXTS if k == r.doc_id)
+        if r.n_words < quality.LEAST_WORDS:
+            assert r.class_distance is None and r.word_distance is None and r.kept == (not r.base_failed)
             continue
-        best = min(jensen_shannon([*(words.count(w) / len(words) for w in ref.words), 1 - sum(words.count(w) for w in ref.words) / len(words)], [*ref.words.values(), 1 - sum(ref.words.values())]) for ref in refs)
-        assert r.word_distance == pytest.approx(best, abs=1e-6)
-        assert 0 <= r.class_distance <= 1
+
+        def measured(ref, text=text):
+            classes, shares = histograms(text, [w.word for w in ref.words])
+            mine = [w.share for w in ref.words]
+            return jensen_shannon(classes, ref.classes), jensen_shannon(shares, [*mine, 1 - sum(mine)])
+
+        far = lambda c, w: c > quality.FAR_CLASSES or (c > quality.FAR_BOTH[0] and w > quality.FAR_BOTH[1])
+        want = measured(refs[lang])
+        if far(*want):
+            want = tuple(min(x) for x in zip(*map(measured, refs.values()), strict=True))
+        assert (r.class_distance, r.word_distance) == pytest.approx(want, abs=1e-6)
+        assert r.kept == (not r.base_failed and not far(*want))
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_rare_languages(spark):
+    """A small language has its own reference beside a large one; one below the guard is measured against the others; without any reference all keep their place."""
+    rng = np.random.default_rng(1)
+    text = lambda kinds, own: " ".join(rng.choice([*kinds.split(), *(f"{own}{j}" for j in range(40))], 90))
+    rows = [(k, text("the of and to in is", "word"), "en") for k in range(300)]
+    rows += [(1000 + k, "".join(f"{x}: " for x in text("ja-ja ne-ne so-so", "Ün").split()), "xx") for k in range(12)]
+    rows += [(2000, rows[0][1].replace("the", "of"), "yy"), (2001, rows[301][1], "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.judge(docs).where("not kept").collect()} == set()
+    assert {r.lang for r in quality.references(quality.base(docs)).collect()} == {"en", "xx"}
+    alone = quality.judge(docs, tried=0).where("doc_id >= 2000").collect()
+    assert [(r.kept, r.class_distance) for r in alone] == [(True, None)] * 2
+    none = quality.judge(docs, least_reference=10**9).collect()
+    assert all(r.kept and r.class_distance is None for r in none) and len(none) == len(rows)
+
+
+def test_common_words_of_any_length(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    docs = spark.createDataFrame([(1, f"{long} und " * 600, "de")], "doc_id long, text string, lang string")
+    (ref,) = quality.references(quality.base(docs)).collect()
+    assert [(w.word, w.share) for w in ref.words] == [(long, 0.5), ("und", 0.5)]
+
+
 def test_odd_text_is_dropped(spark):
     rng = np.random.default_rng(0)
     good = [(k, " ".join(rng.choice([*"the of and to in is".split(), *(f"word{j}" for j in range(40))], 90)), "en") for k in range(40)]
@@ -95,7 +146,6 @@ def test_odd_text_is_dropped(spark):
 def test_features_by_hand(spark):
     """Every lexical feature against plain Python."""
     import math
-    from collections import Counter
     from urllib.parse import urlsplit
 
     urls = ["http://a-b.example.com/x/y1/?q=1&r=22#end", "https://www.net", "ftp://h.org//z//", "no scheme 123", "", None, "x://UP-per.Case.De/A?b", "https://" + "long-host." * 400 + "org/" + "p/" * 3000]
