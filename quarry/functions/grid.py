@@ -126,3 +126,13 @@ def tile_bounds(z: Column, x: Column, y: Column) -> Column:
     """Web-Mercator bounds of a tile."""
     side = F.lit(2 * WORLD) / F.pow(F.lit(2.0), z)
     return F.struct((x * side - WORLD).alias("xmin"), (F.lit(WORLD) - (y + 1) * side).alias("ymin"), ((x + 1) * side - WORLD).alias("xmax"), (F.lit(WORLD) - y * side).alias("ymax"))
+
+
+def is_projected(wkt: Column) -> Column:
+    return wkt.contains("PROJCRS") | wkt.contains("PROJCS")
+
+
+def cell_centres(gt: Column, rows: Column, cols: Column) -> Column:
+    """(axis, place, centre) of each column and row of a grid; null where it is rotated, since no axis says where its cells are then."""
+    along = lambda axis, first, step, n: F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda k: F.struct(F.lit(axis).alias("axis"), k.alias("place"), (first + (k + 0.5) * step).alias("centre")))
+    return F.when((gt[2] == 0) & (gt[4] == 0) & (rows > 0) & (cols > 0), F.concat(along("x", gt[0], gt[1], cols), along("y", gt[3], gt[5], rows)))

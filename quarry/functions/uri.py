@@ -74,3 +74,23 @@ def format_bytes(n: Column) -> Column:
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
         out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / float(1024**power), 1))).otherwise(out)
     return out
+
+
+#: Scheme of addresses of groups of points in a granule, and the group that stands where none is named.
+CLOUD, MAIN_GROUP = "PIXC:", "pixel_cloud"
+
+
+def cloud_address(granule: Column, group: Column, include: Column, exclude: Column) -> Column:
+    """``PIXC:<granule>::<group>?include=a,b&exclude=c``: the columns to carry (null: all, an empty list: none), and those to leave out, if any."""
+    asked = F.concat_ws("&", F.when(include.isNotNull(), F.concat(F.lit("include="), F.array_join(include, ","))), F.when(F.size(exclude) > 0, F.concat(F.lit("exclude="), F.array_join(exclude, ","))))
+    return F.concat(F.lit(CLOUD), granule, F.lit("::"), group, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""))
+
+
+def parse_cloud_address(address: Column) -> Column:
+    """(granule, group, include, exclude) of such an address: include is null where it isn't given."""
+    rest = F.substring(address, F.lit(len(CLOUD) + 1), F.length(address))
+    base, query = F.substring_index(rest, "?", 1), F.regexp_extract(rest, r"\?(.*)$", 1)
+    given = lambda k: F.filter(F.split(F.regexp_extract(query, f"(?:^|&){k}=([^&]*)", 1), ","), lambda x: x != "")
+    group = F.substring_index(base, "::", -1)
+    granule = F.substring(base, F.lit(1), F.length(base) - F.length(group) - 2)
+    return F.struct(granule.alias("granule"), F.when(group == "", MAIN_GROUP).otherwise(group).alias("group"), F.when(F.regexp_like(query, F.lit("(^|&)include=")), given("include")).alias("include"), given("exclude").alias("exclude"))

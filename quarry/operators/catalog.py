@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.uri import base_name, stem_without
+from quarry.functions.uri import base_name, cloud_address, stem_without
 from quarry.sources.registry import readers
 
 
@@ -57,6 +57,20 @@ def dated_granules(listing: DataFrame, suffix: str = ".tif") -> DataFrame:
     return listing.where(F.col("uri").endswith(suffix)).select("uri", stem.alias("product"), F.coalesce(F.nullif(F.regexp_extract(stem, r"(\d{8})", 1), F.lit("")), stem).alias("component"))
 
 
+@readers.register("cloud-groups")
+def cloud_groups(listing: DataFrame, groups: Sequence[str] = ("pixel_cloud",), include: Sequence[str] | None = None, exclude: Sequence[str] = (), suffix: str = ".nc") -> DataFrame:
+    """One component for each granule and group of points, with an address that says which columns travel."""
+    named = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    out = listing.where(F.col("uri").endswith(suffix)).select("uri", stem_without(F.col("uri"), suffix).alias("product"), F.posexplode(named(groups)).alias("place", "component"))
+    carried = F.lit(None).cast("array<string>") if include is None else named(include)
+    return out.withColumn("address", cloud_address(F.col("uri"), F.col("component"), carried, named(exclude))).orderBy("product", "place")
+
+
+def viewer_bands(variables: Sequence[str], schema: Sequence[str] = ()) -> list[str]:
+    """Variables that a viewer shows: those asked for, or, where ``all`` is, every one of a granule's schema."""
+    return list(schema) if "all" in variables else list(variables)
+
+
 def realisable(components: DataFrame, composites: dict[str, Sequence[str]]) -> DataFrame:
     """(product, composite) where a product has all of a composite's bands.  Composites are few and named, so a product's bands are looked at once."""
     have = components.where(F.col("component").isin(sorted({b for x in composites.values() for b in x}))).groupBy("product").agg(F.collect_set("component").alias("have"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.order import numbered
+
 CONDITION = ("phase", "cache", "concurrency")
 
 
@@ -45,8 +47,7 @@ def replicate_statistics(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def pool_conditions(merged: DataFrame, condition: Sequence[str], metric: str, product: str, replicate: str) -> DataFrame:
     """Replicates of all products numbered anew from 0 within a condition and metric; statistics over the pool follow from these rows."""
-    place = F.row_number().over(Window.partitionBy(*condition, metric).orderBy(product, replicate)) - 1
-    return merged.withColumn("pooled_replicate", place)
+    return numbered(merged, [product, replicate], [*condition, metric], "pooled_replicate")
 
 
 def latency_summary(reads: DataFrame, by: Sequence[str], seconds: str, amount: str) -> DataFrame:

@@ -85,3 +85,34 @@ def in_box(points: DataFrame, boxes: list[tuple[int, float, float, float, float]
 def write_octree(points: DataFrame, path: str, **options) -> None:
     """Points with their nodes, a folder for each depth."""
     points.join(octree(points, **options), "pid").repartitionByRange("depth", "node").sortWithinPartitions("depth", "node", "pid").write.partitionBy("depth").mode("overwrite").parquet(path)
+
+
+def in_cube(points: DataFrame, cubes: list[tuple[int, float, float, float, float, float, float]]) -> DataFrame:
+    """Points in each of few boxes (query, x0, y0, z0, x1, y1, z1), borders included."""
+    hits = [F.when(F.col("x").between(b[1], b[4]) & F.col("y").between(b[2], b[5]) & F.col("z").between(b[3], b[6]), F.lit(b[0])) for b in cubes]
+    return points.withColumn("query", F.explode(F.filter(F.array(*hits), lambda q: q.isNotNull())))
+
+
+def pick_column(points: DataFrame, names: list[str]) -> str:
+    """The table's column for the first of several names that it has in any case."""
+    have = {c.lower(): c for c in points.columns}
+    found = [have[n.lower()] for n in names if n.lower() in have]
+    if not found:
+        raise KeyError(f"none of {names} is a column; there are {points.columns}")
+    return found[0]
+
+
+def carried(points: DataFrame, geometry: list[str], include: list[str] | None = None, exclude: list[str] = ()) -> list[str]:
+    """Columns that travel with the points: all but the geometry, or those of a list that exist, in its order; less the excluded ones."""
+    own = [c for c in points.columns if c not in geometry]
+    return [c for c in (own if include is None else include) if c in own and c not in exclude]
+
+
+def short_names(names: list[str], longest: int = 32) -> dict[str, str]:
+    """Names cut to a length that a format allows; where two would be equal, a number takes the last places."""
+    out, taken = {}, set()
+    for name in names:
+        tried = (name[:longest] if not k else f"{name[: longest - len(str(k)) - 1]}_{k}" for k in range(len(names)))
+        out[name] = next(x for x in tried if x not in taken)
+        taken.add(out[name])
+    return out

@@ -95,3 +95,9 @@ def capabilities(spark: SparkSession) -> DataFrame:
     for name in ("pyarrow", "pandas", "numpy", "yaml"):
         rows.append((name, importlib.util.find_spec(name) is not None, ""))
     return spark.createDataFrame(rows, "capability string, present boolean, detail string")
+
+
+def random_cubes(extent: tuple[float, float, float, float, float, float], count: int, seed: int) -> list[tuple[int, float, float, float, float, float, float]]:
+    """Boxes (number, x0, y0, z0, x1, y1, z1) over the full height of an extent (x0, y0, z0, x1, y1, z1), at the places of ``random_boxes``."""
+    flat = random_boxes((extent[0], extent[1], extent[3], extent[4]), count, seed)
+    return [(k, x0, y0, extent[2], x1, y1, extent[5]) for k, x0, y0, x1, y1 in flat]

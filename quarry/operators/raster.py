@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.order import numbered
+
 
 def in_window(row: int, col: int, height: int, width: int) -> Column:
     """Half-open window; a plain predicate, so it is pushed to the scan."""
@@ -95,8 +97,5 @@ def write_store(levels: DataFrame, path: str, side: int) -> None:
 
 def group_grids(grids: DataFrame, *keys: str, order: str = "ordinal") -> DataFrame:
     """Members of one and the same grid: (keys, members, grid id by first appearance)."""
-    from pyspark.sql import Window
-
     grouped = grids.groupBy(*keys).agg(F.min(order).alias("first"), F.count("*").alias("members"))
-    # As many rows as there are grids.
-    return grouped.withColumn("grid", F.concat(F.lit("grid"), F.dense_rank().over(Window.orderBy("first")) - 1))
+    return numbered(grouped, ["first", *keys], name="_grid").withColumn("grid", F.concat(F.lit("grid"), "_grid")).drop("_grid")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.uri import format_bytes
+from quarry.operators.profile import tiers_fit
 
 
 def product_rows(profiles: DataFrame) -> DataFrame:
@@ -42,6 +43,39 @@ def artifact_rows(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("name", line.alias("line")).select(F.struct("name").alias("place"), "line")
 
 
+def metric_rows(metrics: DataFrame) -> DataFrame:
+    """(place, line) of metrics (metric, value, unit)."""
+    return metrics.select(F.struct("metric").alias("place"), F.format_string("| %s | %.6g | %s |", F.col("metric"), F.col("value"), F.coalesce("unit", F.lit(""))).alias("line"))
+
+
+def profile_rows(profile: DataFrame) -> DataFrame:
+    """(place, line) of one profile: what it counts, its sizes, and the tiers that its mean reaches."""
+    shown = lambda *names: F.concat_ws(" / ", *[format_bytes(F.col(f"{n}_bytes").cast("long")) for n in names])
+    said = [("Objects", F.col("object_count").cast("string")), ("Total", shown("total")), ("Mean", shown("mean")), ("Median / p90 / p99", shown("median", "p90", "p99")), ("Min / max", shown("min", "max")), ("Tiers", F.coalesce(F.nullif(F.array_join(tiers_fit(F.col("mean_bytes")), ", "), F.lit("")), F.lit("none")))]
+    lines = F.array(*[F.concat(F.lit(f"| {name} | "), value, F.lit(" |")) for name, value in said])
+    return profile.select(F.posexplode(lines).alias("k", "line")).select(F.struct("k").alias("place"), "line")
+
+
+def document(parts: list[DataFrame]) -> DataFrame:
+    """Sections (line_no, line) one after another: (part, line_no, line), to be read in that order."""
+    out = None
+    for k, part in enumerate(parts):
+        one = part.select(F.lit(k).alias("part"), "line_no", "line")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def summary(layout: str, where: str, profile: DataFrame, metrics: DataFrame, *more: DataFrame) -> DataFrame:
+    """Summary of a run: what was written where, its profile, its metrics, and further sections."""
+    head = profile.sparkSession.createDataFrame([(0, f"# {layout}"), (1, ""), (2, f"Written to `{where}`"), (3, "")], "line_no int, line string")
+    return document([head, markdown(profile_rows(profile), "Object sizes", ["what", "value"]), markdown(metric_rows(metrics), "Metrics", ["metric", "value", "unit"]), *more])
+
+
+def write_product_set(lines: DataFrame, path: str) -> None:
+    """Lines (product, part, line_no, line) of many products: a folder for each, its lines in order; the roll-up has the product ``rollup``."""
+    lines.repartition("product").sortWithinPartitions("product", "part", "line_no").select("product", "line").write.partitionBy("product").mode("overwrite").text(path)
+
+
 def markdown(rows: DataFrame, title: str, header: list[str]) -> DataFrame:
     """(line_no, line) of a section; rows are one each of products or conditions, not of objects."""
     from pyspark.sql import Window

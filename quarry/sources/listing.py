@@ -62,43 +62,59 @@ def json_listing(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.coalesce(named, F.concat(F.lit("#"), F.col("at"))).alias("name"), F.when(bad, F.raise_error(F.format_string("entry %s of the listing has no size: %s", "at", "entry")).cast("long")).otherwise(size).alias("size"))
 
 
-def zip_members(spark: SparkSession, root: str) -> DataFrame:
-    """(uri, member, size) of the archives under a folder; directories are left out.  Archives are dealt over tasks, one row each."""
+def _opened(uri: str):
+    """A seekable file inside a task: of the machine's file system, or of any that Arrow knows by its scheme."""
+    from pyarrow import fs
+
+    if re.match(r"^(file:|/)", uri):
+        return fs.LocalFileSystem().open_input_file(re.sub(r"^file:/*", "/", uri))
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
+def _named(spark: SparkSession, root: str, pattern: str, limit: int | None = None) -> DataFrame:
+    """(path, length) of files of a name pattern under a folder, the first ones by path up to a limit; contents aren't loaded."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length")
+    return files if limit is None else files.orderBy("path").limit(limit)
+
+
+def zip_members(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """(uri, member, size) of the archives under a folder, the first ``limit`` by path where given; directories are left out.  Of an archive only its directory is read."""
 
     def run(batches):
-        import io
         import zipfile
 
         import pyarrow as pa
 
         for batch in batches:
-            for uri, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+            for uri in batch.column("path").to_pylist():
+                with _opened(uri) as f, zipfile.ZipFile(f) as z:
                     rows = [{"uri": uri, "member": i.filename, "size": i.file_size} for i in z.infolist() if not i.is_dir()]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema({"uri": pa.string(), "member": pa.string(), "size": pa.int64()}))
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
-    return files.select("path", "content").mapInArrow(run, "uri string, member string, size long")
+    return _named(spark, root, "*.zip", limit).select("path").mapInArrow(run, "uri string, member string, size long")
 
 
 def parquet_layout(spark: SparkSession, root: str) -> DataFrame:
-    """(uri, size, rows, row_groups, max_group_rows, codec, uncompressed_bytes) from the footers of Parquet files under a folder."""
+    """(uri, size, rows, row_groups, max_group_rows, codec, uncompressed_bytes, geo) of Parquet files under a folder, of which only the footers are read; ``geo`` is the text that a geographic file keeps under that key, else null."""
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.parquet as pq
 
-        kinds = pa.schema({"uri": pa.string(), "size": pa.int64(), "rows": pa.int64(), "row_groups": pa.int64(), "max_group_rows": pa.int64(), "codec": pa.string(), "uncompressed_bytes": pa.int64()})
+        kinds = pa.schema({"uri": pa.string(), "size": pa.int64(), "rows": pa.int64(), "row_groups": pa.int64(), "max_group_rows": pa.int64(), "codec": pa.string(), "uncompressed_bytes": pa.int64(), "geo": pa.string()})
         for batch in batches:
             rows = []
-            for uri, size, content in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), batch.column("content"), strict=True):
-                meta = pq.read_metadata(pa.BufferReader(content.as_buffer()))
+            for uri, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                with _opened(uri) as f:
+                    meta = pq.read_metadata(f)
                 groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
-                rows.append({"uri": uri, "size": size, "rows": meta.num_rows, "row_groups": len(groups), "max_group_rows": max((g.num_rows for g in groups), default=0), "codec": groups[0].column(0).compression.lower() if groups and groups[0].num_columns else None, "uncompressed_bytes": sum(g.column(c).total_uncompressed_size for g in groups for c in range(g.num_columns))})
+                codec = groups[0].column(0).compression.lower() if groups and groups[0].num_columns else None
+                geo = (meta.metadata or {}).get(b"geo")
+                rows.append({"uri": uri, "size": size, "rows": meta.num_rows, "row_groups": len(groups), "max_group_rows": max((g.num_rows for g in groups), default=0), "codec": codec, "uncompressed_bytes": sum(g.column(c).total_uncompressed_size for g in groups for c in range(g.num_columns)), "geo": geo.decode() if geo else None})
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
-    return files.select("path", "length", "content").mapInArrow(run, "uri string, size long, rows long, row_groups long, max_group_rows long, codec string, uncompressed_bytes long")
+    return _named(spark, root, "*.parquet").mapInArrow(run, "uri string, size long, rows long, row_groups long, max_group_rows long, codec string, uncompressed_bytes long, geo string")
 
 
 def gradient(spark: SparkSession, side: int = 512) -> DataFrame:
