@@ -138,9 +138,9 @@ ORACLE["mosaic_rgb"] = f"""with c as (select l_returnflag as band, l_linenumber
 select r as "row", x as col, coalesce(arg_max(value, ordinal) filter (band = 'A'), -1) as red, coalesce(arg_max(value, ordinal) filter (band = 'N'), -1) as green, coalesce(arg_max(value, ordinal) filter (band = 'R'), -1) as blue from p group by 1, 2"""
 
 
-@query("with m as (select p_brand, p_size % 2 as g, case when p_partkey % 5 = 0 then 7 when p_size > 25 then 1 end as missing from part where p_size > 20) select p_brand, count(*) as members, count(distinct g) as grids, count(distinct coalesce(missing, -1)) as nodatas, count(distinct g) = 1 and count(distinct coalesce(missing, -1)) = 1 as stackable from m group by p_brand")
+@query("with m as (select p_brand, p_size % 2 as g, case when p_partkey % 5 = 0 then 7 when p_size > 25 then 1 end as missing from part) select p_brand, count(*) as members, count(distinct g) as grids, count(distinct coalesce(missing, -1)) as nodatas, count(distinct g) = 1 and count(distinct coalesce(missing, -1)) = 1 as stackable from m group by p_brand")
 def stack_homogeneity(spark, d):
-    own = views.table(spark, d, "part").where("p_size > 20").withColumns({"grid": F.col("p_size") % 2, "missing": mosaic.nodata_of(F.when(F.col("p_partkey") % 5 == 0, 7), F.when(F.col("p_size") > 25, 1), F.lit(None).cast("int"))})
+    own = views.table(spark, d, "part").withColumns({"grid": F.col("p_size") % 2, "missing": mosaic.nodata_of(F.when(F.col("p_partkey") % 5 == 0, 7), F.when(F.col("p_size") > 25, 1), F.lit(None).cast("int"))})
     return mosaic.homogeneity(own, ["p_brand"], ["grid"], "missing")
 
 
@@ -188,10 +188,10 @@ def smallest_geometries(spark, d):
     return views.features(spark, d).select("id", spatial.smallest_geometry(family, F.col("lon"), F.col("lat"), 0.5).alias("g")).select("id", "g.*")
 
 
-@query("select c_custkey, xmin is null as missing from (select id as c_custkey, xmin from features where id % 4 <> 0)", "features")
+@query("select id as c_custkey, false as missing from features", "features")
 def null_geometry_refused(spark, d):
     """The default policy takes features that all have a geometry as they are."""
-    whole = spatial.with_null_policy(views.features(spark, d).where("id % 4 <> 0"))
+    whole = spatial.with_null_policy(spatial.with_null_policy(views.features(spark, d), "point_from", "lon", "lat"))
     return whole.select(F.col("id").alias("c_custkey"), F.col("xmin").isNull().alias("missing"))
 
 
