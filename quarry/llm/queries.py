@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, jaccard, lm_mix, packing, quality, substring, token_counts, token_output, toxicity, url_filter
+from quarry.llm import decontam, jaccard, lm_mix, packing, quality, substring, token_counts, token_output, topk, toxicity, url_filter
 from quarry.llm.common import shared_dir, table
 
 
@@ -61,6 +61,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chunks", "n_later", F.size("dropped").cast("long").alias("n_dropped"), span.alias("dropped_bytes"), F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.size("dropped") > 0).alias("has_repeat"), "dropped")
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_mixing": op8_lm_mixing,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_top_k": op12_top_k,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,4 +100,8 @@ n as (select doc_id, count(*) as n from g group by doc_id),
 links as (select a.doc_id as a, b.doc_id as b from g a join g b on a.t = b.t and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id group by 1, 2, na.n, nb.n having 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
 reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join links l on l.a = r.b)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from (select a as doc_id, min(b) as component_id from reach group by a) left join n using (doc_id)""",
+    "op12_top_k": """
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, x -> floor(256 * x::double)) as w from embeddings where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.w, c.w)::bigint as score from v q join v c on q.r <> c.r where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score from (select query_id, vec_id, score, (row_number() over (partition by r order by score desc, vec_id nulls last))::integer as rank from s) where rank <= 5""",
 }
