@@ -101,7 +101,7 @@ links as (select a.doc_id as a, b.doc_id as b from g a join g b on a.t = b.t and
 reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join links l on l.a = r.b)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from (select a as doc_id, min(b) as component_id from reach group by a) left join n using (doc_id)""",
     "op12_top_k": """
-with v as (select row_number() over () as r, vec_id, list_transform(embedding, x -> floor(256 * x::double)) as w from embeddings where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as w from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.w, c.w)::bigint as score from v q join v c on q.r <> c.r where q.vec_id % 50 = 0)
 select query_id, rank, vec_id, score from (select query_id, vec_id, score, (row_number() over (partition by r order by score desc, vec_id nulls last))::integer as rank from s) where rank <= 5""",
 }
