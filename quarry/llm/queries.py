@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, jaccard, lm_mix, packing, quality, substring, token_counts, token_output, topk, toxicity, url_filter
+from quarry.llm import decontam, jaccard, lm_mix, packing, phrases, quality, substring, token_counts, token_output, topk, toxicity, url_filter
 from quarry.llm.common import shared_dir, table
 
 
@@ -61,6 +61,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chunks", "n_later", F.size("dropped").cast("long").alias("n_dropped"), span.alias("dropped_bytes"), F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.size("dropped") > 0).alias("has_repeat"), "dropped")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_mixing": op8_lm_mixing,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_phrases": op11_phrases,
     "op12_top_k": op12_top_k,
 }
 
@@ -100,6 +105,17 @@ n as (select doc_id, count(*) as n from g group by doc_id),
 links as (select a.doc_id as a, b.doc_id as b from g a join g b on a.t = b.t and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id group by 1, 2, na.n, nb.n having 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
 reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join links l on l.a = r.b)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from (select a as doc_id, min(b) as component_id from reach group by a) left join n using (doc_id)""",
+    "op11_phrases": rf"""
+with d as (select coalesce(lang, 'und') as lang, {_LOWER} as t from documents where text is not null),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+total as (select lang, sum(len(w))::bigint as n from p group by lang),
+f as (select lang, m, phrase, count(*) as f from (select lang, m, array_to_string(w[k + 1 : k + m], ' ') as phrase from p, unnest(range(1, 5)) as a(m), unnest(range(greatest(len(w) - m + 1, 0))) as b(k)) group by all),
+c as (select lang, m, phrase, string_split(phrase, ' ') as w, f as a from f where m > 1 and f >= 30),
+cut as (select c.*, k, l.f as l, r.f as r, (2000000::hugeint * a) // (l.f + r.f) as score from c, unnest(range(1, c.m)) as x(k) join f l on l.lang = c.lang and l.phrase = array_to_string(w[1 : k], ' ') and l.m = k join f r on r.lang = c.lang and r.phrase = array_to_string(w[k + 1 : c.m], ' ') and r.m = c.m - k),
+lowest as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+within as (select lang, phrase, max(a) as longer from (select lang, a, array_to_string(w[k + 1 : k + s], ' ') as phrase from c, unnest(range(2, m)) as x(s), unnest(range(m - s + 1)) as y(k)) group by all),
+kept as (select lowest.* from lowest left join within using (lang, phrase) where longer is null or 100 * longer < 80 * a)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join total using (lang) where rank <= 2000""",
     "op12_top_k": """
 with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as w from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.w, c.w)::bigint as score from v q join v c on q.r <> c.r where q.vec_id % 50 = 0)
