@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, jaccard, lm_mix, packing, phrases, quality, substring, token_counts, token_output, topk, toxicity, url_filter
+from quarry.llm import align, decontam, jaccard, lm_mix, packing, phrases, quality, substring, token_counts, token_output, topk, toxicity, url_filter
 from quarry.llm.common import shared_dir, table
 
 
@@ -70,6 +70,10 @@ def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_phrases": op11_phrases,
     "op12_top_k": op12_top_k,
+    "op13_alignment": op13_alignment,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
