@@ -11,13 +11,14 @@ def is_bucket_uri(uri: Column) -> Column:
 
 
 def bucket(uri: Column) -> Column:
-    """Bucket of an ``s3://`` address, else null."""
-    return F.nullif(F.regexp_extract(uri, r"^s3://([^/]+)", 1), F.lit(""))
+    """Bucket of an ``s3://`` address, else null; such an address without a bucket is an error."""
+    named = F.nullif(F.regexp_extract(uri, r"^s3://([^/]+)", 1), F.lit(""))
+    return F.when(is_bucket_uri(uri) & named.isNull(), F.raise_error(F.concat(F.lit("no bucket in "), uri)).cast("string")).otherwise(named)
 
 
 def key(uri: Column) -> Column:
-    """Key below the bucket, else null."""
-    return F.when(is_bucket_uri(uri), F.regexp_extract(uri, r"^s3://[^/]+/?(.*)$", 1))
+    """Key below the bucket, else null; an address without a bucket is an error."""
+    return F.when(bucket(uri).isNotNull(), F.regexp_extract(uri, r"^s3://[^/]+/?(.*)$", 1))
 
 
 def reader_path(uri: Column) -> Column:

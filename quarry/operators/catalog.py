@@ -44,9 +44,19 @@ def shape_archives(members: DataFrame) -> DataFrame:
 
 
 @readers.register("granule-variables")
-def granule_variables(listing: DataFrame, variables: Sequence[str], suffix: str = ".nc") -> DataFrame:
-    """One component for each granule and variable, addressed ``NETCDF:"file":variable``, in the order asked for."""
-    out = listing.where(F.col("uri").endswith(suffix)).select("uri", stem_without(F.col("uri"), suffix).alias("product"), F.posexplode(F.array(*[F.lit(v) for v in variables or ("wse",)])).alias("place", "component"))
+def granule_variables(listing: DataFrame, variables: Sequence[str], suffix: str = ".nc", found: str = "found") -> DataFrame:
+    """One component for each granule and variable, addressed ``NETCDF:"file":variable``, in the order asked for; none asked for is ``wse``.
+
+    ``all`` or ``*`` stands for every variable that the granule has, in its own order: the
+    listing says them in an array column ``found``.
+    """
+    if {"all", "*"} & set(variables):
+        if found not in listing.columns:
+            raise ValueError(f"all variables are asked for, and no column {found} says which there are")
+        wanted = F.col(found)
+    else:
+        wanted = F.array(*[F.lit(v) for v in variables or ("wse",)])
+    out = listing.where(F.col("uri").endswith(suffix)).select("uri", stem_without(F.col("uri"), suffix).alias("product"), F.posexplode(wanted).alias("place", "component"))
     return out.withColumn("address", F.concat(F.lit('NETCDF:"'), "uri", F.lit('":'), "component")).orderBy("product", "place")
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.names import free_name
+from quarry.operators.spatial import MOST_BOXES
+
 MOST_DEPTH = 21
 POINT_BYTES = 24
 
@@ -37,19 +43,10 @@ def voxel_representatives(points: DataFrame, span: int) -> DataFrame:
     return points.groupBy(voxel(root_cube(points), span).alias("cell")).agg(F.min("pid").alias("pid"))
 
 
-def octree(points: DataFrame, span: int = 128, most_depth: int = MOST_DEPTH, checkpoint=None) -> DataFrame:
-    """(pid, depth, node) of every point, each in one node.
-
-    Level by level: a node of at most span**3 points, or at the greatest depth, keeps
-    them all; another keeps the first point of each voxel and hands the rest to its
-    octants.  ``checkpoint`` (a function of DataFrame and name) cuts the lineage of a
-    level; by default ``DataFrame.checkpoint`` does.
-    """
-    points = finite(points).select("pid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    x0, y0, z0, side = root_cube(points)
-    cut = checkpoint or (lambda df, name: df.checkpoint())
-    # Points are told apart by a number, so several of one pid stay several.
-    left = cut(points.withColumn("row", F.monotonically_increasing_id()), "octree-points").select("*", *[F.lit(0).cast("long").alias(n) for n in ("nx", "ny", "nz")])
+def _placed(points: DataFrame, row: str, cube: tuple[float, float, float, float], span: int, most_depth: int, cut) -> DataFrame:
+    """(row, depth, nx, ny, nz) of points (row, pid, x, y, z), which are told apart by their row."""
+    x0, y0, z0, side = cube
+    left = points.select(F.col(row).alias("row"), "pid", "x", "y", "z", *[F.lit(0).cast("long").alias(n) for n in ("nx", "ny", "nz")])
     out, size, key = None, side, ["nx", "ny", "nz"]
     for depth in range(most_depth + 1):
         cell = lambda c, n, low, s=size: F.least(F.floor((F.col(c) - (F.lit(low) + F.col(n) * s)) / s * span), F.lit(span - 1)).cast("long")
@@ -57,40 +54,120 @@ def octree(points: DataFrame, span: int = 128, most_depth: int = MOST_DEPTH, che
         # The first point of each voxel and the number of its points; a node's points are the sum over its voxels.
         first = left.groupBy(*key, "cell").agg(F.min(F.struct("pid", "row")).alias("first"), F.count("*").alias("n"))
         nodes = first.groupBy(*key).agg(F.sum("n").alias("in_node"))
-        marks = first.join(nodes, key).select(*key, "cell", "first.row", "in_node").withColumnRenamed("row", "first_row")
+        marks = first.join(nodes, key).select(*key, "cell", F.col("first.row").alias("first_row"), "in_node")
         whole = F.col("in_node") <= span**3 if depth < most_depth else F.lit(True)
         marked = cut(left.join(marks, [*key, "cell"]).withColumn("kept", whole | (F.col("row") == F.col("first_row"))).drop("cell", "first_row", "in_node"), f"octree-{depth}")
-        level = marked.where("kept").select("pid", F.lit(depth).alias("depth"), F.concat_ws("-", F.lit(depth), *key).alias("node"))
+        level = marked.where("kept").select("row", "pid", F.lit(depth).alias("depth"), *key)
         out = level if out is None else out.unionByName(level)
         rest, half = marked.where("not kept").drop("kept"), size / 2
         if rest.isEmpty():
             break
         child = lambda c, n, low, s=size, h=half: (2 * F.col(n) + (F.col(c) >= F.lit(low) + F.col(n) * s + h).cast("long")).alias(n)
-        left, size = rest.select("pid", "x", "y", "z", "row", child("x", "nx", x0), child("y", "ny", y0), child("z", "nz", z0)), half
+        left, size = rest.select("row", "pid", "x", "y", "z", child("x", "nx", x0), child("y", "ny", y0), child("z", "nz", z0)), half
     return out
 
 
+def _numbered_rows(points: DataFrame, row: str, cut) -> DataFrame:
+    """Finite points with a number each, written, so that the numbers stay."""
+    whole = finite(points)
+    return cut(whole.withColumns({row: F.monotonically_increasing_id(), **{c: F.col(c).cast("double") for c in "xyz"}}), "octree-points")
+
+
+def octree(points: DataFrame, span: int = 128, most_depth: int = MOST_DEPTH, checkpoint=None) -> DataFrame:
+    """(pid, depth, node) of every point, each in one node.
+
+    Level by level: a node of at most span**3 points, or at the greatest depth, keeps
+    them all; another keeps the first point of each voxel and hands the rest to its
+    octants.  ``checkpoint`` (a function of DataFrame and name) cuts the lineage of a
+    level; by default ``DataFrame.checkpoint`` does.
+    """
+    cut = checkpoint or (lambda df, name: df.checkpoint())
+    points = finite(points).select("pid", "x", "y", "z")
+    cube = root_cube(points)
+    placed = _placed(_numbered_rows(points, "row", cut), "row", cube, span, most_depth, cut)
+    return placed.select("pid", "depth", F.concat_ws("-", "depth", "nx", "ny", "nz").alias("node"))
+
+
 def node_layout(nodes: DataFrame) -> DataFrame:
     """(depth, nodes, points, largest node) of each depth."""
     each = nodes.groupBy("depth", "node").agg(F.count("*").alias("n"))
     return each.groupBy("depth").agg(F.count("*").alias("nodes"), F.sum("n").alias("points"), F.max("n").alias("max_node_points"))
 
 
-def in_box(points: DataFrame, boxes: list[tuple[int, float, float, float, float]]) -> DataFrame:
-    """Points in each of few boxes (query, x0, y0, x1, y1) over the full height, borders included."""
-    hits = [F.when(F.col("x").between(b[1], b[3]) & F.col("y").between(b[2], b[4]), F.lit(b[0])) for b in boxes]
-    return points.withColumn("query", F.explode(F.filter(F.array(*hits), lambda q: q.isNotNull())))
+def _asked(points: DataFrame, boxes: list[tuple], axes: str) -> DataFrame:
+    """(query, point columns) of few boxes (query, low corner, high corner); what lies outside the box about all of them is dropped by plain comparisons, which reach the scan."""
+    if len(boxes) > MOST_BOXES:
+        raise ValueError(f"more than {MOST_BOXES} query boxes")
+    n = len(axes)
+    if not boxes:
+        return points.withColumn("query", F.lit(0)).limit(0)
+    for k, c in enumerate(axes, 1):
+        points = points.where((F.col(c) >= min(b[k] for b in boxes)) & (F.col(c) <= max(b[k + n] for b in boxes)))
+    inside = [F.when(reduce(and_, [F.col(c).between(b[k], b[k + n]) for k, c in enumerate(axes, 1)]), F.lit(b[0])) for b in boxes]
+    return points.withColumn("query", F.explode(F.filter(F.array(*inside), lambda q: q.isNotNull())))
 
 
-def write_octree(points: DataFrame, path: str, **options) -> None:
-    """Points with their nodes, a folder for each depth."""
-    points.join(octree(points, **options), "pid").repartitionByRange("depth", "node").sortWithinPartitions("depth", "node", "pid").write.partitionBy("depth").mode("overwrite").parquet(path)
+def in_box(points: DataFrame, boxes: list[tuple[int, float, float, float, float]]) -> DataFrame:
+    """Points in each of few boxes (query, x0, y0, x1, y1) over the full height, borders included."""
+    return _asked(points, boxes, "xy")
 
 
 def in_cube(points: DataFrame, cubes: list[tuple[int, float, float, float, float, float, float]]) -> DataFrame:
     """Points in each of few boxes (query, x0, y0, z0, x1, y1, z1), borders included."""
-    hits = [F.when(F.col("x").between(b[1], b[4]) & F.col("y").between(b[2], b[5]) & F.col("z").between(b[3], b[6]), F.lit(b[0])) for b in cubes]
-    return points.withColumn("query", F.explode(F.filter(F.array(*hits), lambda q: q.isNotNull())))
+    return _asked(points, cubes, "xyz")
+
+
+#: Columns that tell where a written point lies; a point column of one of these names is refused.
+PLACE = ("octree_part", "octree_node")
+#: Nodes from this depth on are stored with their ancestor there, so a depth has at most 8 ** 2 folders.
+FOLDER_DEPTH = 2
+
+
+def _part(depth: str, key: tuple[str, str, str]) -> Column:
+    """Folder of a node: its depth, and the octants of its ancestor."""
+    level = F.least(F.col(depth), F.lit(FOLDER_DEPTH))
+    octants = F.lit(0).cast("long")
+    for c in key:
+        octants = octants * (1 << FOLDER_DEPTH) + F.expr(f"shiftright({c}, {depth} - least({depth}, {FOLDER_DEPTH}))")
+    return (F.col(depth) * 100 + F.when(level > 0, octants).otherwise(0)).cast("int")
+
+
+def write_octree(points: DataFrame, path: str, span: int = 128, most_depth: int = MOST_DEPTH, checkpoint=None) -> None:
+    """Points with all their columns in folders of ``points`` by depth and place, in node order, and a table ``nodes`` of the nodes with the boxes about their points.
+
+    Every finite point is written once, points of one pid or equal points too.
+    """
+    if clash := set(PLACE) & {c.lower() for c in points.columns}:
+        raise ValueError(f"points have columns that the octree writes: {sorted(clash)}")
+    if checkpoint is None:
+        from quarry.plans.tables import written as checkpoint
+    row = free_name(points, "octree_row")
+    own = _numbered_rows(points, row, checkpoint)
+    cube = root_cube(own)
+    at = _placed(own, row, cube, span, most_depth, checkpoint)
+    node = F.concat_ws("-", "depth", "nx", "ny", "nz").alias(PLACE[1])
+    where = at.select(F.col("row").alias(row), node, _part("depth", ("nx", "ny", "nz")).alias(PLACE[0]))
+    placed = own.join(where, row).drop(row)
+    placed.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).write.partitionBy(PLACE[0]).mode("overwrite").parquet(f"{path}/points")
+    kept = points.sparkSession.read.parquet(f"{path}/points")
+    boxes = [f(c).alias(f"{name}{c}") for name, f in (("min_", F.min), ("max_", F.max)) for c in "xyz"]
+    kept.groupBy(*PLACE).agg(F.count("*").alias("points"), *boxes).withColumn("depth", F.substring_index(PLACE[1], "-", 1).cast("int")).write.mode("overwrite").parquet(f"{path}/nodes")
+
+
+def octree_boxes(spark, path: str, cubes: list[tuple[int, float, float, float, float, float, float]]) -> DataFrame:
+    """Points of a written octree in each of few boxes (query, x0, y0, z0, x1, y1, z1), borders included.
+
+    Nodes are chosen first, by the boxes about their points; only folders with a chosen
+    node are read, and in them only chosen nodes go on to the comparison with the boxes.
+    """
+    nodes = spark.read.parquet(f"{path}/nodes")
+    spans = nodes.select(*PLACE, *[F.struct(F.col(f"min_{c}").alias("low"), F.col(f"max_{c}").alias("high")).alias(c) for c in "xyz"])
+    meets = [reduce(and_, [(F.col(f"{c}.low") <= b[k + 3]) & (F.col(f"{c}.high") >= b[k]) for k, c in enumerate("xyz", 1)]) for b in cubes]
+    chosen = spans.where(reduce(or_, meets)).select(*PLACE) if cubes else spans.select(*PLACE).limit(0)
+    # Depths times 64 folders at most, whatever the number of nodes.
+    parts = [r[0] for r in chosen.select(PLACE[0]).distinct().collect()]
+    points = spark.read.parquet(f"{path}/points").where(F.col(PLACE[0]).isin(parts))
+    return in_cube(points.join(chosen.select(PLACE[1]), PLACE[1], "left_semi"), cubes).drop(*PLACE)
 
 
 def pick_column(points: DataFrame, names: list[str]) -> str:

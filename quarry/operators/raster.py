@@ -16,9 +16,16 @@ def in_window(row: int, col: int, height: int, width: int) -> Column:
 
 
 def window_reads(cells: DataFrame, windows: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """(window, cell columns) of few windows (window, row, col, height, width) from the driver.  Each cell is asked for all windows in one pass, without a join."""
+    """(window, cell columns) of few windows (window, row, col, height, width) from the driver.
+
+    Each cell is asked for all windows in one pass, without a join; the window about all of them is a plain filter that reaches the scan.
+    """
+    if not windows:
+        return cells.withColumn("window", F.lit(0)).limit(0)
+    top, left = min(w[1] for w in windows), min(w[2] for w in windows)
+    near = cells.where(in_window(top, left, max(w[1] + w[3] for w in windows) - top, max(w[2] + w[4] for w in windows) - left))
     hits = [F.when(in_window(*w[1:]), F.lit(w[0])) for w in windows]
-    return cells.withColumn("window", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull()))) if hits else cells.withColumn("window", F.lit(0)).limit(0)
+    return near.withColumn("window", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
 
 
 def block_mean(cells: DataFrame, factor: int, rows: int, cols: int, fill: float | None = None, integer: bool = False, by: Sequence[str] = ()) -> DataFrame:
@@ -44,15 +51,6 @@ def pyramid(cells: DataFrame, rows: int, cols: int, factors: Sequence[int], fill
     return out
 
 
-def unified_pyramid(components: dict[str, tuple[DataFrame, int, int, int]], coarsest: int, fill: float | None = None) -> DataFrame:
-    """Components (cells, rows, cols, own level) of several resolutions in one ladder of halvings: each from its level to the coarsest."""
-    out = None
-    for name, (cells, rows, cols, own) in components.items():
-        one = pyramid(cells, rows, cols, [2] * (coarsest - own), fill).select(F.lit(name).alias("component"), (F.col("level") + own).alias("level"), "row", "col", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def stack(cells: DataFrame, bands: Sequence[str]) -> DataFrame:
     """A column for each band by cell; the bands are named, so no pass is needed to find them."""
     return cells.groupBy("row", "col").pivot("band", list(bands)).agg(F.first("value"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quarry.functions import grid, ladder, uri
-from quarry.operators import measure, mosaic, points, raster, report, run, spatial, store
+from quarry.functions import grid, uri
+from quarry.operators import ladders, measure, mosaic, points, raster, report, rtree, run, spatial, store
 from quarry.plans import views
-from quarry.plans.queries import _KEYS, _MERGED, ORACLE, query, rounded
-from quarry.plans.views import FILL, SIDE, with_views
+from quarry.plans.tables import shared_dir
+from quarry.plans.queries import _BOXES, _KEYS, _MERGED, ORACLE, query, rounded
+from quarry.plans.views import FILL, SIDE, SQL, with_views
 from quarry.sources.options import read
 
 # Readers.
@@ -94,8 +97,9 @@ _MEAN = f"coalesce(avg(case when value <> {FILL} then value end), {FILL})"
 @query(None)
 def pyramid_by_resolutions(spark, d):
     """A pyramid of given pixel sizes, 20 and 80 units above cells of 10."""
-    steps = ladder.factors(ladder.ladder([20.0, 80.0], SIDE, SIDE, 10.0))
-    return rounded(raster.pyramid(views.cells(spark, d), SIDE, SIDE, steps, FILL).where("level > 0"))
+    grids = spark.createDataFrame([("all", 10.0, SIDE, SIDE)], "component string, pixel double, rows long, cols long")
+    cells = views.cells(spark, d).withColumn("component", F.lit("all"))
+    return rounded(ladders.unified_pyramid(cells, ladders.ladder(grids, [20.0, 80.0]), fill=FILL).where("level > 0").drop("component"))
 
 
 ORACLE["pyramid_by_resolutions"] = with_views("", "cells").rstrip() + f', a as (select "row" // 2 as "row", col // 2 as col, {_MEAN} as value from cells group by 1, 2), b as (select "row" // 4 as "row", col // 4 as col, {_MEAN} as value from a group by 1, 2) select 1 as level, "row", col, round(value, 6) as value from a union all select 2, "row", col, round(value, 6) from b'
@@ -104,15 +108,44 @@ ORACLE["pyramid_by_resolutions"] = with_views("", "cells").rstrip() + f', a as (
 @query(None)
 def unified_pyramid(spark, d):
     """Two components of unlike pixel sizes in one ladder: one from level 0, one from level 1, both to level 2."""
-    _, own = ladder.bundle_ladder([10.0, 20.0], SIDE, SIDE, 1)
+    grids = spark.createDataFrame([("fine", 10.0, SIDE, SIDE), ("coarse", 20.0, SIDE // 2, SIDE // 2)], "component string, pixel double, rows long, cols long")
     cells = views.cells(spark, d)
-    half = raster.block_mean(cells, 2, SIDE, SIDE, FILL)
-    return rounded(raster.unified_pyramid({"fine": (cells, SIDE, SIDE, own[0]), "coarse": (half, SIDE // 2, SIDE // 2, own[1])}, 2, FILL))
+    half = raster.block_mean(cells, 2, SIDE, SIDE, FILL).withColumn("component", F.lit("coarse"))
+    return rounded(ladders.unified_pyramid(cells.withColumn("component", F.lit("fine")).unionByName(half), ladders.ladder(grids, 1), fill=FILL))
 
 
 ORACLE["unified_pyramid"] = with_views("", "cells").rstrip() + f', a as (select "row" // 2 as "row", col // 2 as col, {_MEAN} as value from cells group by 1, 2), b as (select "row" // 2 as "row", col // 2 as col, {_MEAN} as value from a group by 1, 2), u as (select \'fine\' as component, 0 as level, "row", col, value from cells union all select component, 1, "row", col, value from a, (values (\'fine\'), (\'coarse\')) k(component) union all select component, 2, "row", col, value from b, (values (\'fine\'), (\'coarse\')) k(component)) select component, level, "row", col, round(value, 6) as value from u'
 
 
+def _growing(spark, d):
+    """Three components whose sides grow with the table: one of pixels of 10, two of pixels of 30."""
+    line = views.table(spark, d, "lineitem")
+    per = F.when(F.col("l_returnflag") == "A", 1).otherwise(3)
+    at = lambda c: F.floor(F.col(c) / per).cast("long")
+    own = line.groupBy(F.col("l_returnflag").alias("component"), at("l_partkey").alias("row"), at("l_suppkey").alias("col")).agg(F.avg("l_quantity").alias("value"))
+    return own.withColumn("value", F.when((F.col("row") + F.col("col")) % 7 == 0, FILL).otherwise(F.col("value")))
+
+
+@query(None)
+def pyramid_bundle(spark, d):
+    """Components of two pixel sizes in the ladder 1, 3, 9, each from its own level on; rasters as large as the table's keys."""
+    cells = _growing(spark, d)
+    shape = cells.groupBy("component").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    grids = shape.withColumn("pixel", F.when(F.col("component") == "A", 10.0).otherwise(30.0))
+    return rounded(ladders.unified_pyramid(cells, ladders.ladder(grids, [30.0, 90.0]), fill=FILL))
+
+
+_STEP = "{name} as (select component, \"row\" // 3 as \"row\", col // 3 as col, {mean} as value from {of} join side using (component) where \"row\" < side.{side}r // 3 * 3 and col < side.{side}c // 3 * 3 group by 1, 2, 3)"
+ORACLE["pyramid_bundle"] = (
+    f"with raw as (select l_returnflag as component, l_partkey // case when l_returnflag = 'A' then 1 else 3 end as \"row\", l_suppkey // case when l_returnflag = 'A' then 1 else 3 end as col, avg(l_quantity) as value from lineitem group by 1, 2, 3), own as (select component, \"row\", col, case when (\"row\" + col) % 7 = 0 then {FILL} else value end as value from raw), "
+    "side as (select component, max(\"row\") + 1 as r, max(col) + 1 as c, (max(\"row\") + 1) // 3 as halfr, (max(col) + 1) // 3 as halfc from own group by component), "
+    + _STEP.format(name="once", mean=_MEAN, of="own", side="")
+    + ", "
+    + _STEP.format(name="twice", mean=_MEAN, of="once", side="half")
+    + " select component, case component when 'A' then k else k + 1 end::int as level, \"row\", col, round(value, 6) as value from (select 0 as k, * from own union all select 1, * from once union all select 2, * from twice) where component = 'A' or k < 2"
+)
+
+
 # Mosaics and stacks.
 
 
@@ -188,11 +221,15 @@ def smallest_geometries(spark, d):
     return views.features(spark, d).select("id", spatial.smallest_geometry(family, F.col("lon"), F.col("lat"), 0.5).alias("g")).select("id", "g.*")
 
 
-@query("select id as c_custkey, false as missing from features", "features")
+@query("select nation, count(*) as features, count(*) filter (xmin is null) as missing, count(*) filter (xmin is null) > 0 as refused, case when count(xmin) = 0 then 'no feature has a geometry' when count(*) filter (xmin is null) > 0 then printf('%d features have no geometry', count(*) filter (xmin is null)) end as reason from features group by nation", "features")
 def null_geometry_refused(spark, d):
-    """The default policy takes features that all have a geometry as they are."""
-    whole = spatial.with_null_policy(spatial.with_null_policy(views.features(spark, d), "point_from", "lon", "lat"))
-    return whole.select(F.col("id").alias("c_custkey"), F.col("xmin").isNull().alias("missing"))
+    """What the default policy says of each nation's features, of which some have no geometry; it refuses them together as well."""
+    own = views.features(spark, d)
+    try:
+        spatial.with_null_policy(own)
+    except ValueError:
+        return spatial.refusals(own, ("nation",))
+    raise AssertionError("features without geometry weren't refused")
 
 
 _CUBES = [(0, -0.05, -0.05, -0.05, 0.05, 0.05, 0.05), (1, 0.0, -1.0, -0.02, 1.0, 1.0, 0.1)]
@@ -203,6 +240,23 @@ def cube_query_points(spark, d):
     return points.in_cube(views.points(spark, d), _CUBES).groupBy("query").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"))
 
 
+@query(ORACLE["cube_query_points"])
+def octree_box_read(spark, d):
+    """The same boxes read from a written octree, by its nodes."""
+    path = f"{shared_dir(spark)}/quarry/octree-{uuid.uuid4().hex}"
+    points.write_octree(views.points(spark, d), path, span=4)
+    return points.octree_boxes(spark, path, _CUBES).groupBy("query").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"))
+
+
+@query(None)
+def octree_node_table(spark, d):
+    """Nodes of a written octree with the boxes about their points."""
+    path = f"{shared_dir(spark)}/quarry/octree-{uuid.uuid4().hex}"
+    points.write_octree(views.points(spark, d), path, span=4)
+    nodes = spark.read.parquet(f"{path}/nodes")
+    return nodes.select("depth", F.col("octree_node").alias("node"), F.col("octree_part").alias("part"), "points", *[f"{m}_{c}" for c in "xyz" for m in ("min", "max")])
+
+
 @query("select pid, x, y, z from points where pid % 5 > 2", "points")
 def finite_points(spark, d):
     spoilt = F.when(F.col("pid") % 5 == 0, float("nan")).when(F.col("pid") % 5 == 1, float("inf")).when(F.col("pid") % 5 == 2, None).otherwise(F.col("x"))
@@ -240,6 +294,20 @@ def artifact_lines(spark, d):
     return report.artifact_rows(own).select("line")
 
 
+@query(ORACLE["bbox_overlap_count"])
+def rtree_box_count(spark, d):
+    """The same features as by plain comparison, from a written tree whose nodes are descended."""
+    path = f"{shared_dir(spark)}/quarry/rtree-{uuid.uuid4().hex}"
+    rtree.write_rtree(views.features(spark, d), path, 8, ["id"])
+    return rtree.overlapping(spark, path, _BOXES, 8).groupBy("query").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query(None)
+def rtree_nodes(spark, d):
+    """Boxes of all nodes of the packed tree over the features, by curve and id."""
+    return rtree.node_table(rtree.in_order(views.features(spark, d), ["id"]))
+
+
 # SQL for queries whose place is elsewhere.
 
 _SHOWN = "case when {n} < 1024 then printf('%d B', ({n})::bigint) when {n} < 1048576 then printf('%.1f KiB', round_even(({n}) / 1024.0, 1)) when {n} < 1073741824 then printf('%.1f MiB', round_even(({n}) / 1048576.0, 1)) else printf('%.1f GiB', round_even(({n}) / 1073741824.0, 1)) end"
@@ -256,6 +324,11 @@ ORACLE["hilbert_order"] = (
     + _TURN.format(source="r")
     + ") select id, d as curve from r where s = 0"
 )
+ORACLE["rtree_nodes"] = (
+    f"with recursive placed as (select row_number() over (order by curve, id) - 1 as n, f.xmin, f.ymin, f.xmax, f.ymax from ({ORACLE['hilbert_order']}) h join ({SQL['features']}) f using (id)), total as (select count(*) as n from placed), "
+    "depth(level, nodes) as (select 0, ceil(n / 16.0)::bigint from total where n > 0 union all select level + 1, ceil(nodes / 16.0)::bigint from depth where nodes > 1) "
+    "select level, (n // (16 ** (level + 1))::bigint)::bigint as node, case level when 0 then count(*) else count(distinct n // (16 ** level)::bigint) end as children, min(xmin) as xmin, min(ymin) as ymin, max(xmax) as xmax, max(ymax) as ymax from placed, depth group by level, n // (16 ** (level + 1))::bigint"
+)
 
 _CELL = "least(floor((x - (x0 + nx * s)) / s * 4), 3) as cx, least(floor((y - (y0 + ny * s)) / s * 4), 3) as cy, least(floor((z - (z0 + nz * s)) / s * 4), 3) as cz"
 _MARK = "depth = 21 or count(*) over (partition by nx, ny, nz) <= 64 or row_number() over (partition by nx, ny, nz, cx, cy, cz order by pid) = 1 as kept"
@@ -264,3 +337,5 @@ ORACLE["octree_nodes"] = (
     + f", e as (select min(x) as x0, min(y) as y0, min(z) as z0, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) as s from points), r as (select *, {_MARK} from (select *, {_CELL} from (select 0 as depth, pid, x, y, z, x0, y0, z0, s, 0::bigint as nx, 0::bigint as ny, 0::bigint as nz from points, e)) union all select *, {_MARK} from (select *, {_CELL} from (select depth + 1 as depth, pid, x, y, z, x0, y0, z0, s / 2 as s, 2 * nx + (x >= x0 + nx * s + s / 2)::bigint as nx, 2 * ny + (y >= y0 + ny * s + s / 2)::bigint as ny, 2 * nz + (z >= z0 + nz * s + s / 2)::bigint as nz from r where not kept))) select pid, depth, concat_ws('-', depth, nx, ny, nz) as node from r where kept"
 )
 ORACLE["octree_node_counts"] = f"select depth, count(*) as nodes, sum(n)::bigint as points, max(n) as max_node_points from (select depth, node, count(*) as n from ({ORACLE['octree_nodes']}) group by depth, node) group by depth"
+_ANCESTOR = "(split_part(node, '-', {k})::bigint >> greatest(depth - 2, 0))"
+ORACLE["octree_node_table"] = f"with n as ({ORACLE['octree_nodes']}) select depth, node, (depth * 100 + ({_ANCESTOR.format(k=2)} * 4 + {_ANCESTOR.format(k=3)}) * 4 + {_ANCESTOR.format(k=4)})::int as part, count(*) as points, min(embedding[1])::double as min_x, max(embedding[1])::double as max_x, min(embedding[2])::double as min_y, max(embedding[2])::double as max_y, min(embedding[3])::double as min_z, max(embedding[3])::double as max_z from n join embeddings on pid = vec_id group by depth, node"

@@ -4,30 +4,37 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.objects import registered
+
 SIZES = "uri string, key string, size long"
 
 
-def list_objects(spark: SparkSession, root: str, under: str = "") -> DataFrame:
-    """(uri, key relative to root, size) of all files under a folder that Spark can read; contents aren't loaded.  ``under`` names a folder below the root that alone is listed."""
-    top = re.sub(r"^\w+:/*", "/", root.rstrip("/")) + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/{under}" if under else root)
-    # A uri begins with its scheme, perhaps a host, and the root: what follows the first time that the root comes is the key.
-    key = F.expr("substring(uri, locate(top, uri) + length(top))")
-    return files.select(F.col("path").alias("uri"), F.col("length").alias("size"), F.lit(top).alias("top")).select("uri", key.alias("key"), "size").where(~F.col("key").endswith("/"))
+def list_objects(spark: SparkSession, root: str, under: str = "", pattern: str | None = None) -> DataFrame:
+    """(uri, key relative to root, size) of all objects under a folder, or of one object; contents aren't loaded.
+
+    Objects whose names begin with ``_`` or ``.`` are there as well.  ``under`` names a
+    folder below the root that alone is listed; ``pattern`` is a regular expression found
+    anywhere in the key, and of one like ``^(A|B)...`` only the branches are opened.
+    """
+    source = registered(spark).read.format("objects")
+    if under:
+        source = source.option("prefix", under.strip("/") + "/")
+    if pattern:
+        source = source.option("pattern", pattern)
+    found = source.load(root.rstrip("/") or "/")
+    return found.where(F.regexp_like("key", F.lit(pattern))) if pattern else found
 
 
 def object_size(spark: SparkSession, uri: str) -> int | None:
-    """Size of one object, from its listing; null (None) where there is none."""
-    folder, _, name = uri.rpartition("/")
-    try:
-        got = spark.read.format("binaryFile").option("pathGlobFilter", re.sub(r"([][{}*?\\])", r"\\\1", name)).load(folder).select("length").first()
-    except AnalysisException:
+    """Size of one object, None where there is none.  A group of points has the size of its granule."""
+    at = re.sub(r"^PIXC:(.*?)::.*$", r"\1", uri)
+    if at.endswith("/"):
         return None
-    return got.length if got else None
+    got = registered(spark).read.format("objects").option("single", "true").load(at).first()
+    return got["size"] if got else None
 
 
 def select_objects(listing: DataFrame, prefix: str | None = None, suffix: str | None = None, pattern: str | None = None, limit: int | None = None, whole_parts: bool = True) -> DataFrame:
@@ -42,7 +49,8 @@ def select_objects(listing: DataFrame, prefix: str | None = None, suffix: str |
     out = listing
     if prefix and whole_parts:
         p = prefix.strip("/")
-        out = out.where((F.col("key") == p) | F.col("key").startswith(f"{p}/"))
+        # The first condition follows from the second; sources take it over.
+        out = out.where(F.col("key").startswith(p)).where((F.col("key") == p) | F.col("key").startswith(f"{p}/"))
     elif prefix:
         out = out.where(F.col("key").startswith(prefix))
     if suffix:

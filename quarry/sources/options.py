@@ -70,6 +70,46 @@ class Columnar:
     compression: str = "zstd"
 
 
+def sides(setting, default: tuple[int, int]) -> tuple[int, int] | str:
+    """(rows, cols) that a setting of a chunk or shard stands for; ``auto`` stays."""
+    match setting:
+        case None | [] | ():
+            return default
+        case str() if setting.strip().lower() == "auto":
+            return "auto"
+        case int() | float():  # a square
+            return int(setting), int(setting)
+        case [[*_] as first, *_]:  # shapes to be tried: the first counts
+            return sides(list(first), default)
+        case [one]:
+            return int(one), int(one)
+        case [*_, rows, cols]:  # further axes go before these two
+            return int(rows), int(cols)
+    raise ValueError(f"no shape: {setting!r}")
+
+
+@dataclass(frozen=True)
+class Store:
+    """Levers of a chunked store: shapes, and levels as ``ladders.bundle_steps`` takes them."""
+
+    chunk: object = (512, 512)
+    shard: object = "auto"
+    levels: object = "auto"
+
+    @property
+    def chunk_sides(self) -> tuple[int, int] | str:
+        return sides(self.chunk, (512, 512))
+
+    @property
+    def shard_sides(self) -> tuple[int, int] | str:
+        return sides(self.shard, (4096, 4096))
+
+    @property
+    def flat(self) -> bool:
+        """No pyramid is asked for by the number 0, and by nothing else."""
+        return isinstance(self.levels, (int, float)) and not isinstance(self.levels, bool) and self.levels == 0
+
+
 def options_of(kind: type, given: Mapping | None):
     """The options object of a mapping, with defaults for what isn't given."""
     known = [f.name for f in fields(kind)]

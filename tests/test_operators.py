@@ -102,8 +102,6 @@ def test_pyramid_truncates_level_by_level(spark):
     assert got == {(1, 0, 0): -1.0}
     fill = raster.block_mean(cells, 3, 3, 3, fill=9.0).first().value
     assert fill == pytest.approx((-1 - 2 - 2 - 2 + 1 + 1) / 6)
-    both = raster.unified_pyramid({"fine": (cells, 3, 3, 0), "coarse": (cells, 3, 3, 1)}, 1)
-    assert {(r.component, r.level) for r in both.collect()} == {("fine", 0), ("fine", 1), ("coarse", 1)}
 
 
 def test_mosaic_stack_windows_blocks(spark):
@@ -164,6 +162,10 @@ def test_uri_functions(spark):
     wkt = 'PROJCRS["x",ID["EPSG",1],ID["EPSG",32631]]'
     r = one(spark, uri.netcdf_container(F.lit('NETCDF:"/a/b.nc":wse')).alias("n"), uri.zip_container(F.lit("/vsizip//d/a.zip/m.tif")).alias("z"), uri.zip_container(F.lit("/d/a.tif")).alias("no"), uri.epsg_of(F.lit(wkt)).alias("e"), uri.date_of(F.lit("x_20150706_y")).alias("d"), uri.bucket(F.lit("s3://b/k/x")).alias("b"), uri.extension(F.lit("s3://b/k.FGB?x=1.y")).alias("x"), uri.join_uri(F.lit("s3://b/"), F.lit("k")).alias("j"), uri.stem_without(F.lit("/a/b.zip"), ".zip").alias("s"))
     assert (r.n, r.z, r.no, r.e, str(r.d), r.b, r.x, r.j, r.s) == ("/a/b.nc", "/d/a.zip", None, 32631, "2015-07-06", "b", ".fgb", "s3://b/k", "b")
+    assert one(spark, uri.bucket(F.lit("/a/b")).alias("b"), uri.key(F.lit("/a/b")).alias("k")) == (None, None)
+    for f in (uri.bucket, uri.key):
+        with pytest.raises(Exception, match="no bucket"):
+            one(spark, f(F.lit("s3:///k")).alias("b"))
     f = one(spark, *[uri.format_bytes(F.lit(n)).alias(f"f{k}") for k, n in enumerate((0, 1023, 1536, 9472, 5 << 20, 3 << 50, 5000 << 50))])
     assert tuple(f) == ("0 B", "1023 B", "1.5 KiB", "9.2 KiB", "5.0 MiB", "3.0 PiB", "5000.0 PiB")
 
@@ -183,6 +185,8 @@ def test_listing_sources(spark, tmp_path):
     assert f"{str(tmp_path / 't')[1:]}/in/x y.txt" in {r.key for r in listing.list_objects(spark, f"{tmp_path}/t").collect()}
     assert [r.key for r in listing.list_objects(spark, f"{tmp_path}/t", str(again)[len(str(tmp_path / 't')) + 1 :]).collect()] == [f"{str(tmp_path / 't')[1:]}/in/x y.txt"]
     assert listing.object_size(spark, f"{again}/x y.txt") == 3 and listing.object_size(spark, f"{again}/none") is None and listing.object_size(spark, f"{tmp_path}/no/folder") is None
+    with pytest.raises(Exception, match="no such path"):
+        listing.list_objects(spark, f"{tmp_path}/nowhere").collect()
     (tmp_path / "l.json").write_text('[5, {"name": "n", "size": 7}]')
     assert [tuple(r) for r in listing.json_listing(spark, f"{tmp_path}/l.json").collect()] == [("#0", 5), ("n", 7)]
     (tmp_path / "bad.json").write_text('[5, {"name": "n"}]')
@@ -197,6 +201,11 @@ def test_listing_sources(spark, tmp_path):
     assert [r.component for r in catalog.shape_archives(members).collect()] == ["l"]
     nc = spark.createDataFrame([("/g/A.nc",)], "uri string")
     assert [r.address for r in catalog.granule_variables(nc, ["wse", "area"]).collect()] == ['NETCDF:"/g/A.nc":wse', 'NETCDF:"/g/A.nc":area']
+    whole = spark.createDataFrame([("/g/A.nc", ["b", "a"]), ("/g/B.nc", ["c"])], "uri string, found array<string>")
+    assert [(r.product, r.component) for r in catalog.granule_variables(whole, ["all"]).collect()] == [("A", "b"), ("A", "a"), ("B", "c")]
+    with pytest.raises(ValueError, match="found"):
+        catalog.granule_variables(nc, ["*"])
+    assert [r.component for r in catalog.granule_variables(nc, []).collect()] == ["wse"]
     assert listing.gradient(spark, 4).where("band = 1 and col = 3").first().value == 255.0
 
 

@@ -3,32 +3,74 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import ladder
 from quarry.functions.grid import cell_centres
-from quarry.operators import mosaic, points, protocol, report, run, spatial, store
+from quarry.operators import ladders, mosaic, points, protocol, report, run, spatial, store
 from quarry.operators.order import numbered
 from quarry.sources import listing, options
 from quarry.sources.registry import layouts, readers
 
 
-def test_ladders():
-    assert ladder.ladder("auto", 1024, 4096) == [1, 2, 4] and ladder.ladder(None, 255, 255) == [1] and ladder.ladder(3, 10, 10) == [1, 2, 4, 8] and ladder.ladder(-2, 10, 10) == [1]
-    assert ladder.ladder([20, 60, 120, 360, 720], 1, 1, 10.0) == [1, 2, 6, 12, 36, 72] and ladder.factors([1, 2, 6, 12]) == [2, 3, 2]
-    for bad in ([25], [20, 20], [60, 20], [10]):
-        with pytest.raises(ValueError, match="whole multiple"):
-            ladder.ladder(bad, 1, 1, 10.0)
-    with pytest.raises(ValueError, match="own pixel size"):
-        ladder.ladder([20], 1, 1)
-    assert ladder.bundle_ladder([10.0, 20.0, 60.0], 512, 512, "auto") == ([1, 2, 6, 12], [0, 1, 2])
-    assert ladder.bundle_ladder([10.0, 60.0], 9, 9, [20, 60, 120]) == ([1, 2, 6, 12], [0, 2])
-    with pytest.raises(ValueError, match="not among"):
-        ladder.bundle_ladder([10.0, 60.0], 9, 9, [20, 120])
-    with pytest.raises(ValueError, match="divide"):
-        ladder.bundle_ladder([10.0, 20.0, 30.0], 9, 9, 0)
-    with pytest.raises(ValueError, match="whole multiple"):
-        ladder.bundle_ladder([10.0, 25.0], 9, 9, 0)
-    assert ladder.is_flat(0) and not ladder.is_flat(None) and not ladder.is_flat("auto") and not ladder.is_flat([20])
-    assert [ladder.shape_pair(s, (7, 8)) for s in (None, [], 5, [1, 2, 3], [[4, 6], [1, 1]], [9], " AUTO ")] == [(7, 8), (7, 8), (5, 5), (2, 3), (4, 6), (9, 9), "auto"]
+def _ladder(spark, pixels, rows=512, cols=512, levels="auto"):
+    grids = spark.createDataFrame([(f"c{p:g}", p, rows, cols) for p in pixels], "component string, pixel double, rows long, cols long")
+    got = ladders.ladder(grids, levels).collect()
+    return {f"c{p:g}": sorted((r.level, r.decimation, r.factor, r.native) for r in got if r.component == f"c{p:g}") for p in pixels}
+
+
+def test_ladders(spark):
+    decimations = lambda *a, **k: [x[1] for x in _ladder(spark, *a, **k)["c10"]]
+    assert decimations([10.0], 1024, 4096) == [1, 2, 4] and decimations([10.0], 255, 255, levels=None) == [1] and decimations([10.0], 10, 10, levels=3) == [1, 2, 4, 8] and decimations([10.0], levels=-2) == [1]
+    assert decimations([10.0], levels=[20, 60, 120, 360]) == [1, 2, 6, 12, 36] and [x[2] for x in _ladder(spark, [10.0], levels=[20, 60, 120])["c10"]] == [1, 2, 3, 2]
+    assert decimations([10.0], 8, 20, levels=5) == [1, 2, 4, 8]  # no level without a cell
+    for bad, what in (([25], "finest"), ([20, 20], "larger"), ([60, 20], "larger"), ([10], "larger"), ([20, 30], "level before")):
+        with pytest.raises(ValueError, match=what):
+            _ladder(spark, [10.0], levels=bad)
+    assert _ladder(spark, [10.0, 20.0, 60.0]) == {"c10": [(0, 1, 1, True), (1, 2, 2, False), (2, 6, 3, False), (3, 12, 2, False)], "c20": [(1, 2, 1, True), (2, 6, 3, False), (3, 12, 2, False)], "c60": [(2, 6, 1, True), (3, 12, 2, False)]}
+    assert _ladder(spark, [10.0, 60.0], levels=[20, 60, 120])["c60"] == [(2, 6, 1, True), (3, 12, 2, False)]
+    for pixels, levels, what in (([10.0, 60.0], [20, 120], "not among"), ([10.0, 20.0, 30.0], 0, "level before"), ([10.0, 25.0], 0, "finest")):
+        with pytest.raises(ValueError, match=what):
+            _ladder(spark, pixels, levels=levels)
+
+
+def test_ladders_of_several_bundles(spark):
+    grids = spark.createDataFrame([("p", "a", 10.0, 90, 90), ("p", "b", 30.0, 30, 30), ("q", "a", 5.0, 40, 8), ("q", "b", 5.0, 8, 8)], "product string, component string, pixel double, rows long, cols long")
+    got = sorted((r.product, r.component, r.level, r.factor, r.rows, r.cols) for r in ladders.ladder(grids, 1, ["product"]).collect())
+    assert got == [("p", "a", 0, 1, 90, 90), ("p", "a", 1, 3, 30, 30), ("p", "a", 2, 2, 15, 15), ("p", "b", 1, 1, 30, 30), ("p", "b", 2, 2, 15, 15), ("q", "a", 0, 1, 40, 8), ("q", "a", 1, 2, 20, 4), ("q", "b", 0, 1, 8, 8), ("q", "b", 1, 2, 4, 4)]
+    with pytest.raises(ValueError, match="product q"):
+        ladders.ladder(grids.withColumn("pixel", F.expr("if(product = 'q' and component = 'b', 7.0, pixel)")), 1, ["product"])
+
+
+def test_pyramid_of_thirds(spark):
+    """72 x 72 cells in the ladder 1, 3, 9 make 24 x 24 and 8 x 8, by numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    fine, coarse = rng.integers(0, 9, (72, 73)).astype(float), rng.integers(0, 9, (24, 25)).astype(float)
+    fine[rng.random(fine.shape) < 0.5] = -1.0
+    fine[:9, :9] = -1.0
+    rows = [(n, "p", i, j, float(a[i, j])) for n, a in (("a", fine), ("b", coarse)) for i in range(a.shape[0]) for j in range(a.shape[1])]
+    cells = spark.createDataFrame(rows, "component string, product string, row long, col long, value double")
+    grids = spark.createDataFrame([("p", "a", 10.0, 72, 73), ("p", "b", 30.0, 24, 25)], "product string, component string, pixel double, rows long, cols long")
+    got = ladders.unified_pyramid(cells, ladders.ladder(grids, [30.0, 90.0], ["product"]), ["product", "component"], -1.0, integer=True).collect()
+
+    def coarser(a, f):
+        h, w = a.shape[0] // f, a.shape[1] // f
+        b = a[: h * f, : w * f].reshape(h, f, w, f)
+        n = (b != -1).sum((1, 3))
+        return np.where(n > 0, np.trunc(np.where(b != -1, b, 0).sum((1, 3)) / np.maximum(n, 1)), -1)
+
+    for name, levels in (("a", [fine, coarser(fine, 3), coarser(coarser(fine, 3), 3)]), ("b", [None, coarse, coarser(coarse, 3)])):
+        for k, want in enumerate(levels):
+            mine = {(r.row, r.col): r.value for r in got if r.component == name and r.level == k}
+            assert len(mine) == (0 if want is None else want.size)
+            assert all(want[at] == v for at, v in mine.items())
+    assert {(r.component, r.level) for r in got} == {("a", 0), ("a", 1), ("a", 2), ("b", 1), ("b", 2)}
+    assert ladders.unified_pyramid(cells.limit(0), ladders.ladder(grids.limit(0)), fill=-1.0).count() == 0
+
+
+def test_shapes():
+    assert [options.sides(s, (7, 8)) for s in (None, [], 5, [1, 2, 3], [[4, 6], [1, 1]], [9], " AUTO ")] == [(7, 8), (7, 8), (5, 5), (2, 3), (4, 6), (9, 9), "auto"]
+    assert options.Store(levels=0).flat and not any(options.Store(levels=x).flat for x in (None, "auto", [20], False, 1))
+    assert options.Store(chunk=[64, 32]).chunk_sides == (64, 32) and options.Store().shard_sides == "auto"
 
 
 def test_cell_centres_of_rotated_grids(spark):
@@ -43,6 +85,9 @@ def test_numbered_by_ranges(spark):
     for g in (None, 0, 1, 2):
         mine = sorted((r.place, r.v) for r in got if r.g == g)
         assert [p for p, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
+    # Columns of the caller stay, whatever they are called.
+    kept = numbered(spark.createDataFrame([(3, 1, 5, 7, 8, 9), (3, 1, 4, 7, 8, 9)], "_range int, _by0 int, _n int, _before int, _at int, Place int"), ["_n"], ["_by0"], "place")
+    assert kept.columns == ["_range", "_by0", "_n", "_before", "_at", "place"] and sorted(map(tuple, kept.collect())) == [(3, 1, 4, 7, 8, 0), (3, 1, 5, 7, 8, 1)]
     assert numbered(spark.createDataFrame([], "g int, v int"), ["v"], ["g"]).collect() == []
     assert sorted(r.n for r in numbered(spark.createDataFrame([(5,), (3,)], "v int"), ["v"], name="n").collect()) == [0, 1]
 
