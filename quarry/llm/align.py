@@ -24,7 +24,7 @@ empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -37,30 +37,27 @@ PIECES = "piece_bpe_32k.model"
 #: A ids of a stripe, and blocks of texts whose pairs are counted or scored in one task.
 WIDE = 256
 SHARE = 4_096
-#: Bytes of text in a block; pieces that are remembered at most, and the longest of them.
+#: Bytes of text in a block; pieces that are remembered at most, and their characters.
 BLOCK = 4_000_000
-MOST, LONGEST = 300_000, 40
+MOST, MOST_BYTES = 400_000, 16_000_000
 ROWS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at binary, times binary, stripe int, a binary, b binary, n binary"
 SUMS = "stripe int, a binary, b binary, n binary"
 
 
-def overlaps(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place in A, place in B) of each link, and how many tokens of A and of B each group has, from the tokens' bytes, which have the same sum."""
-    a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
-    # Between two neighbouring ends there is one token of either side, and no two such stretches have the same two.
-    ends = np.union1d(a_ends, b_ends)
-    common = np.intersect1d(a_ends, b_ends)
-    sizes = [np.diff(np.searchsorted(x, common, "right"), prepend=0) for x in (a_ends, b_ends)]
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), *sizes
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of two ascending lists without repetition, and those that both have."""
+    # Two runs, which a stable sort merges.
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    twice = both[1:] == both[:-1]
+    return both[np.concatenate([[True], ~twice])] if len(both) else both, both[1:][twice]
 
 
-def group_text(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    out, i, j = [], 0, 0
-    for n, m in zip(a_sizes, b_sizes, strict=True):
-        out.append(f"{','.join(map(str, a[i : i + n]))}|{','.join(map(str, b[j : j + m]))}")
-        i, j = i + n, j + m
-    return ";".join(out)
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, place in A, place in B) of the links, and (ends, tokens of A, tokens of B) of the groups, from the tokens' ends, the last of which is one place."""
+    # Between two neighbouring ends there is one token of either side, and no two such stretches have the same two.
+    ends, common = merged(a_ends, b_ends)
+    sizes = [np.diff(np.searchsorted(x, common, "right"), prepend=0) for x in (a_ends, b_ends)]
+    return ends, np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), common, *sizes
 
 
 class Aligner:
@@ -89,73 +86,107 @@ class Aligner:
         self.n_b = len(names)
         #: No piece of B goes on over a space or a newline, so text can be cut there.
         self.apart = not any("▁" in x.lstrip("▁") or "\n" in x for x in names)
-        self.known: dict[str, int] = {}
+        lengths = lambda x: np.fromiter(map(len, x), np.int64, len(x))
+        self.a_size, self.b_size = lengths(self.a_bytes), lengths(self.b_bytes)
+        #: Ids as text with what follows them: in a group, after A's last, after B's last.
+        written = lambda n, end: np.array([f"{k}{end}" for k in range(n)], object)
+        self.inner = written(max(size, self.n_b), ",")
+        self.a_last, self.b_last = written(size, "|"), written(self.n_b, ";")
         self.clear()
 
     def clear(self) -> None:
-        self.known.clear()
+        self.known: dict[str, int] = {}
+        self.bytes_known = 0
+        #: Of each known piece its groups as text, its figures and whether both sides have its bytes, and where its links lie.
         self.texts: list[str] = []
-        self.codes: list[np.ndarray] = []
-        self.figures: list[tuple[int, int, int, int, bool]] = []
-
-    def _add(self, key: str, data: bytes, a: list[int], b: list[int]) -> None:
-        got = self.aligned(data, a, b)
-        self.known[key] = len(self.texts)
-        self.figures.append((*got[2:], True) if got else (0, 0, 0, 0, False))
-        self.texts.append(got[0] if got else "")
-        self.codes.append(got[1] if got else np.empty(0, np.int64))
-
-    def aligned(self, data: bytes, a: list[int], b: list[int]):
-        """(groups, pair codes of links, n_a, n_b, n_groups, n_links), or nothing where a side's bytes differ."""
-        one, two = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(one) != data or b"".join(two) != data:
-            return None
-        i, j, n, m = overlaps(*[np.fromiter(map(len, x), np.int64, len(x)) for x in (one, two)])
-        return group_text(a, b, n.tolist(), m.tolist()), np.array(a, np.int64)[i] * self.n_b + np.array(b, np.int64)[j], len(a), len(b), len(n), len(i)
+        self.figures = np.empty((0, 5), np.int64)
+        self.codes = np.empty(0, np.int64)
+        self.begin = np.zeros(1, np.int64)
+
+    def aligned(self, data: list[bytes], a: list[list[int]], b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of each text: its groups, with a ``;`` after each; (n_a, n_b, n_groups, n_links, whole), zeros where a side's bytes differ; and the pair codes of all links side by side."""
+        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
+        n = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
+        raw = [b"".join([t[k] for k in i.tolist()]) for t, i in zip((self.a_bytes, self.b_bytes), ids, strict=True)]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        sizes = [np.bincount(np.repeat(np.arange(len(data)), m), t[i], len(data)) for t, i, m in zip((self.a_size, self.b_size), ids, n, strict=True)]
+        if not (raw[0] == raw[1] == b"".join(data) and all((s == size).all() for s in sizes)):
+            whole = np.array([b"".join([self.a_bytes[k] for k in x]) == d == b"".join([self.b_bytes[k] for k in y]) for d, x, y in zip(data, a, b, strict=True)], bool)
+            if not whole.all():
+                some = np.flatnonzero(whole).tolist()
+                texts, figures, codes = self.aligned([data[k] for k in some], [a[k] for k in some], [b[k] for k in some])
+                out, all_figures = [""] * len(data), np.zeros((len(data), 5), np.int64)
+                for k, t in zip(some, texts, strict=True):
+                    out[k] = t
+                all_figures[some] = figures
+                return out, all_figures, codes
+        # Texts lie one after another, so each ends with a token's end on both sides.
+        link_ends, a_at, b_at, group_ends, a_group, b_group = overlaps(np.cumsum(self.a_size[ids[0]]), np.cumsum(self.b_size[ids[1]]))
+        codes = ids[0][a_at] * self.n_b + ids[1][b_at]
+        ends = np.cumsum(size)
+        links = np.diff(np.searchsorted(link_ends, ends, "right"), prepend=0)
+        groups = np.searchsorted(group_ends, ends, "right")
+        # A group's ids of A, then those of B.
+        text = np.empty(len(ids[0]) + len(ids[1]), object)
+        for own, other, sizes_own, sizes_other, late, final in ((ids[0], ids[1], a_group, b_group, 0, self.a_last), (ids[1], ids[0], b_group, a_group, 1, self.b_last)):
+            group = np.repeat(np.arange(len(sizes_own)), sizes_own)
+            before = np.concatenate([[0], np.cumsum(sizes_other)])[group + late]
+            last = np.zeros(len(own), bool)
+            last[np.cumsum(sizes_own) - 1] = True
+            text[np.arange(len(own)) + before] = np.where(last, final[np.minimum(own, len(final) - 1)], self.inner[own])
+        at = [0, *np.cumsum(n[0] + n[1]).tolist()]
+        text = text.tolist()
+        out = ["".join(text[i:j]) for i, j in zip(at, at[1:], strict=False)]
+        return out, np.stack([n[0], n[1], np.diff(groups, prepend=0), links, np.ones(len(data), np.int64)], 1), codes
 
     def learn(self, pieces: set[str]) -> None:
         """Aligns pieces that come after a space, or that begin with a newline."""
+        if not pieces:
+            return
         plain = [x for x in pieces if x[0] != "\n"]
         lines = [x for x in pieces if x[0] == "\n"]
-        for x, a, b in zip(plain, self.a.encode_batch_fast([" " + x for x in plain], add_special_tokens=False), self.b.encode(plain, num_threads=1), strict=True):
-            self._add(x, b" " + x.encode(), a.ids, b)
-        # B puts a space before what it gets, which these pieces don't have; A cuts after the newline.
-        for x, a, b in zip(lines, self.a.encode_batch_fast(lines, add_special_tokens=False), self.b.encode(lines, num_threads=1), strict=True):
-            if self.b_bytes[b[0]] != b" ":
-                raise ValueError("tokenizer B joins the space before a text with a newline")
-            self._add(x, x.encode(), a.ids, b[1:])
-
-    def documents(self, texts: list[str | None]):
+        # B puts a space before what it gets, which lines don't have; A cuts after the newline.
+        ahead = self.b.encode(lines, num_threads=1) if lines else []
+        if any(self.b_bytes[x[0]] != b" " for x in ahead):
+            raise ValueError("tokenizer B joins the space before a text with a newline")
+        data = [f" {x}" for x in plain] + lines
+        a = [x.ids for x in self.a.encode_batch_fast(data, add_special_tokens=False)]
+        b = (self.b.encode(plain, num_threads=1) if plain else []) + [x[1:] for x in ahead]
+        texts, figures, codes = self.aligned([x.encode() for x in data], a, b)
+        self.known.update(zip(plain + lines, range(len(self.texts), len(self.texts) + len(data)), strict=True))
+        self.bytes_known += sum(map(len, data))
+        self.texts += texts
+        self.figures = np.concatenate([self.figures, figures])
+        self.codes = np.concatenate([self.codes, codes])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(figures[:, 3])])
+
+    def documents(self, texts: list[str | None]) -> tuple[list[tuple], np.ndarray]:
         """(n_a, n_b, n_groups, n_links, digest) of each text, and the pair codes of all links side by side."""
-        split = [x.replace("\n", " \n").split(" ") if x and self.apart and not IRREGULAR.search(x) else None for x in texts]
-        new = set().union(*[p for p in split if p]) - self.known.keys()
-        if len(self.known) + len(new) > MOST:
+        split = [x.replace("\n", " \n").split(" ") if x and self.apart and not IRREGULAR.search(x) else [] for x in texts]
+        pieces = list(chain.from_iterable(split))
+        new = set(pieces) - self.known.keys()
+        if len(self.known) + len(new) > MOST or self.bytes_known > MOST_BYTES:
             self.clear()
-            new = set().union(*[p for p in split if p])
+            new = set(pieces)
         self.learn(new)
-        figures = np.array(self.figures, np.int64).reshape(-1, 5)
+        place = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        ends = starts([len(p) for p in split])
         out, codes = [], []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces:
-                at = [self.known[x] for x in pieces]
-                total = figures[at].sum(0).tolist()
-                if total[4] == len(at):
-                    out.append((*total[:4], ";".join([self.texts[k] for k in at])))
-                    codes += [self.codes[k] for k in at]
-                    continue
+        for text, i, j in zip(texts, ends, ends[1:], strict=False):
+            groups, figures = "", (0, 0, 0, 0)
+            if i < j:
+                at = place[i:j]
+                total = self.figures[at].sum(0)
+                if total[4] == j - i:
+                    groups, figures = "".join([self.texts[k] for k in at.tolist()]), tuple(total[:4].tolist())
+                    n = self.figures[at, 3]
+                    codes.append(self.codes[np.repeat(self.begin[at] - starts(n)[:-1], n) + np.arange(figures[3])])
             elif text:
-                got = self.aligned(b" " + text.encode(), self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
-                if got:
-                    out.append((*got[2:], got[0]))
-                    codes.append(got[1])
-                    continue
-            out.append((0, 0, 0, 0, ""))
-        for x in [x for x in new if len(x) > LONGEST]:
-            # Long pieces are rare; their places stay taken until all is cleared.
-            k = self.known.pop(x)
-            self.texts[k], self.codes[k] = "", np.empty(0, np.int64)
-        digests = [hashlib.sha256(x.encode()).hexdigest() if n else "" for n, *_, x in out]
-        return [(*x[:4], y) for x, y in zip(out, digests, strict=True)], np.concatenate(codes) if codes else np.empty(0, np.int64)
+                (groups,), total, own = self.aligned([b" " + text.encode()], [self.a.encode(" " + text, add_special_tokens=False).ids], [self.b.encode(text)])
+                figures = tuple(total[0, :4].tolist())
+                codes.append(own)
+            out.append((*figures, hashlib.sha256(groups[:-1].encode()).hexdigest() if groups else ""))
+        return out, np.concatenate(codes) if codes else np.empty(0, np.int64)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
