@@ -1,104 +1,168 @@
-"""Display tiles: pixel windows of web-Mercator tiles, pyramid level, chunks touched, sessions."""
+"""Display tiles of a table of grids: pixel windows, pyramid level, chunks touched, the best tiles, sessions.
+
+A grid is a row: ``grid`` (its name), ``affine`` (a, b, c, d, e, f: x = a col + b row + c,
+y = d col + e row + f, turned or sheared as it may be), ``rows``, ``cols``, ``block_rows``,
+``block_cols``, ``decimations`` (of its levels, 1 among them) and ``crs`` (EPSG:3857, or
+EPSG:4326 in degrees).  Tiles are those of the web-Mercator square, and all grids are
+gone through in one plan.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grid import WORLD, blocks_spanned, tile_bounds
+from quarry.functions.grid import WORLD, blocks_spanned, bounds, latitude, longitude, mercator_x, mercator_y, tile_bounds, tile_resolution
 
+MOST_ZOOM = 24
+#: A tile's resolution is a grid's own, if they are this near to each other.
+NEAR = 1e-8
+#: Parts of the Mercator square end here.
+MOST_LATITUDE = 85.0511287798066
+#: Targets of so many chunks or more are open: the smallest larger number serves them.
+OPEN_FROM = 9
+TARGETS = (1, 2, 4, 9)
+#: A pixel may be off by so much at a window that still counts as inside.
+SLACK = 0.5
 
-def tiles_over(spark: SparkSession, zoom: int, grid: dict) -> DataFrame:
-    """(z, x, y) of the tiles of a zoom that a north-up Mercator grid {xmin, ymax, pixel, rows, cols} reaches, made in parallel."""
-    n, side = 1 << zoom, 2 * WORLD / (1 << zoom)
-    within = lambda v: min(n - 1, max(0, math.floor(v / side)))
-    x0, x1 = within(grid["xmin"] + WORLD), within(grid["xmin"] + grid["cols"] * grid["pixel"] + WORLD)
-    y0, y1 = within(WORLD - grid["ymax"]), within(WORLD - grid["ymax"] + grid["rows"] * grid["pixel"])
-    wide = x1 - x0 + 1
-    return spark.range(wide * (y1 - y0 + 1)).select(F.lit(zoom).alias("z"), (F.col("id") % wide + x0).alias("x"), (F.expr(f"id div {wide}") + y0).alias("y"))
 
+def pick_decimation(decimations: Column | Sequence[int], native: Column, wanted: Column) -> Column:
+    """Largest decimation whose pixels are no larger than wanted, else the smallest."""
+    all_of = decimations if isinstance(decimations, Column) else F.array(*[F.lit(d) for d in decimations])
+    return F.coalesce(F.array_max(F.filter(all_of, lambda d: native * d <= wanted)), F.array_min(all_of))
 
-def pixel_window(grid: dict, tile: Column | None = None) -> Column:
-    """Window of a tile in pixels of a north-up Mercator grid {xmin, ymax, pixel, rows, cols}: clipped, null if disjoint, and whether all of the tile is inside."""
-    b = tile if tile is not None else tile_bounds(F.col("z"), F.col("x"), F.col("y"))
-    c0, c1 = (b["xmin"] - grid["xmin"]) / grid["pixel"], (b["xmax"] - grid["xmin"]) / grid["pixel"]
-    r0, r1 = (F.lit(grid["ymax"]) - b["ymax"]) / grid["pixel"], (F.lit(grid["ymax"]) - b["ymin"]) / grid["pixel"]
-    low = lambda v: F.greatest(v, F.lit(0.0))
-    window = F.struct(low(c0).alias("c0"), low(r0).alias("r0"), F.least(c1, F.lit(float(grid["cols"]))).alias("c1"), F.least(r1, F.lit(float(grid["rows"]))).alias("r1"), ((c0 >= -0.5) & (r0 >= -0.5) & (c1 <= grid["cols"] + 0.5) & (r1 <= grid["rows"] + 0.5)).alias("interior"))
-    return F.when((c1 > 0) & (r1 > 0) & (c0 < grid["cols"]) & (r0 < grid["rows"]), window)
 
+def zoom_for(resolution: Column) -> Column:
+    """The zoom whose resolution is nearest to one, by ratio; a tie goes to the finer zoom."""
+    at = lambda z: tile_resolution(z)
+    near = lambda z: F.abs(resolution - at(z)) / at(z) <= NEAR
+    first = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), F.lit(MOST_ZOOM)), lambda z: (resolution > at(z)) | near(z))), F.lit(MOST_ZOOM))
+    coarser = (first > 0) & ~near(first) & (at(first - 1) / resolution < resolution / at(first))
+    return F.when(coarser, first - 1).otherwise(first)
+
+
+def located(grids: DataFrame) -> DataFrame:
+    """Grids with ``box`` (their bounds in Mercator metres), ``native`` (their pixel size in their own units), ``native_metres`` and ``native_zoom``; an unknown system of coordinates is an error."""
+    known = F.col("crs").isin("EPSG:3857", "EPSG:4326")
+    checked = F.when(known, F.col("crs")).otherwise(F.raise_error(F.format_string("grid %s has coordinates in %s, which has no closed form here", F.col("grid").cast("string"), "crs")).cast("string"))
+    a = F.col("affine")
+    own = bounds(F.array(a[2], a[0], a[1], a[5], a[3], a[4]), F.col("rows"), F.col("cols"))
+    degrees = F.col("crs") == "EPSG:4326"
+    y = lambda v: mercator_y(F.greatest(F.lit(-MOST_LATITUDE), F.least(F.lit(MOST_LATITUDE), v)))
+    box = F.struct(*[F.when(degrees, f(own[k])).otherwise(own[k]).alias(k) for k, f in (("xmin", mercator_x), ("ymin", y), ("xmax", mercator_x), ("ymax", y))])
+    out = grids.withColumn("crs", checked).withColumn("box", box).withColumns({"native": F.abs(a[0]), "native_metres": (F.col("box.xmax") - F.col("box.xmin")) / F.col("cols")})
+    return out.withColumn("native_zoom", zoom_for(F.col("native_metres")))
 
-def pick_decimation(decimations: list[int], native: Column, wanted: Column) -> Column:
-    """Largest decimation whose pixels are no larger than wanted, else the smallest."""
-    fits = F.array_max(F.filter(F.array(*[F.lit(d) for d in decimations]), lambda d: native * d <= wanted))
-    return F.coalesce(fits, F.lit(min(decimations)))
 
+def tiles_of(grids: DataFrame) -> DataFrame:
+    """Located grids with a zoom ``z`` each, once for every tile (x, y) of it that their bounds reach.
 
-def chunk_count(window: Column, block: Column, decimation: Column) -> Column:
+    Columns of tiles are dealt anew before their rows are listed, so a large grid isn't one task's.
+    """
+    side = F.lit(2 * WORLD) / F.pow(F.lit(2.0), "z")
+    last = F.pow(F.lit(2.0), "z").cast("long") - 1
+    place = lambda v: F.greatest(F.lit(0).cast("long"), F.least(last, F.floor(v / side).cast("long")))
+    x = F.sequence(place(F.col("box.xmin") + WORLD), place(F.col("box.xmax") + WORLD))
+    y = F.sequence(place(F.lit(WORLD) - F.col("box.ymax")), place(F.lit(WORLD) - F.col("box.ymin")))
+    return grids.withColumn("x", F.explode(x)).repartition("grid", "z", "x").withColumn("y", F.explode(y))
+
+
+def pixel_window(z: Column, x: Column, y: Column) -> Column:
+    """Window of a tile in pixels of its row's grid, from the tile's four corners through the inverse of the affine: clipped, null if disjoint, and whether all of the tile is inside."""
+    b, a = tile_bounds(z, x, y), F.col("affine")
+    degrees = F.col("crs") == "EPSG:4326"
+    xs = [F.when(degrees, longitude(b[k])).otherwise(b[k]) - a[2] for k in ("xmin", "xmax")]
+    ys = [F.when(degrees, latitude(b[k])).otherwise(b[k]) - a[5] for k in ("ymin", "ymax")]
+    area = a[0] * a[4] - a[1] * a[3]
+    cols = F.array(*[(a[4] * u - a[1] * v) / area for u in xs for v in ys])
+    rows = F.array(*[(a[0] * v - a[3] * u) / area for u in xs for v in ys])
+    low = lambda v: F.greatest(F.array_min(v), F.lit(0.0))
+    high = lambda v, n: F.least(F.array_max(v), F.col(n).cast("double"))
+    inside = (F.array_min(cols) >= -SLACK) & (F.array_max(cols) <= F.col("cols") + SLACK) & (F.array_min(rows) >= -SLACK) & (F.array_max(rows) <= F.col("rows") + SLACK)
+    window = F.struct(low(cols).alias("c0"), low(rows).alias("r0"), high(cols, "cols").alias("c1"), high(rows, "rows").alias("r1"), inside.alias("interior"))
+    return F.when((high(cols, "cols") > low(cols)) & (high(rows, "rows") > low(rows)), window)
+
+
+def chunk_count(window: Column, block: Column, decimation: Column, block_cols: Column | None = None) -> Column:
     """Chunks that a window touches at a decimation; 0 off the raster."""
-    span = lambda a, b: blocks_spanned(window[a] / decimation, window[b] / decimation, block)
-    return F.when(window.isNull(), F.lit(0).cast("long")).otherwise(span("c0", "c1") * span("r0", "r1"))
+    across = block if block_cols is None else block_cols
+    span = lambda a, b, n: blocks_spanned(window[a] / decimation, window[b] / decimation, n)
+    return F.when(window.isNull(), F.lit(0).cast("long")).otherwise(span("c0", "c1", across) * span("r0", "r1", block))
+
+
+def counted(tiles: DataFrame, decimation: Column, *keep: str) -> DataFrame:
+    """(grid, keep, z, x, y, decimation, interior, chunks) of the tiles that overlap their grid."""
+    seen = tiles.withColumns({"window": pixel_window(F.col("z"), F.col("x"), F.col("y")), "decimation": decimation}).where(F.col("window").isNotNull())
+    return seen.select("grid", *keep, "z", "x", "y", "decimation", F.col("window.interior").alias("interior"), chunk_count(F.col("window"), F.col("block_rows"), F.col("decimation"), F.col("block_cols")).alias("chunks"))
+
+
+def zoom_tiles(grids: DataFrame, zooms: Column) -> DataFrame:
+    """Counted tiles of each grid at an array of zooms, at the level that a viewer would read."""
+    at = tiles_of(located(grids).withColumn("z", F.explode(zooms)))
+    return counted(at, pick_decimation(F.col("decimations"), F.col("native_metres"), tile_resolution(F.col("z"))))
 
 
-def best_tiles(counted: DataFrame, targets: list[int], open_from: int = 9) -> DataFrame:
-    """(target, chunks, z, x, y, interior, approximate): a tile for each target number of chunks.
+def best_tiles(tiles: DataFrame, targets: Sequence[int] = TARGETS, open_from: int = OPEN_FROM) -> DataFrame:
+    """(grid, target, chunks, z, x, y, interior, approximate): of each grid a tile for each target number of chunks that one has.
 
     A target from ``open_from`` on that no tile has is served by the smallest larger
-    number.  Zooms are looked through from the finest on, and no further than where all
+    number.  Of each grid zooms count from the finest on, no further than where all
     targets are served; of the tiles of one number the first that is wholly inside goes
-    first, else the first, by zoom and then by column and row.
+    first, else the first, by zoom, column and row.  The tiles are gone through once, for
+    the best of each grid, zoom and number; all else is worked out from these few.
     """
-    by_zoom = counted.groupBy("z").agg(F.collect_set("chunks").alias("have")).orderBy(F.desc("z")).collect()
-
-    def serve(have: set[int]) -> dict[int, int]:
-        larger = {t: min((c for c in have if c >= t), default=None) if t >= open_from else None for t in targets}
-        return {t: c for t in targets if (c := t if t in have else larger[t]) is not None}
-
-    seen, stop = set(), 0
-    for r in by_zoom:
-        seen |= set(r.have)
-        stop = r.z
-        if len(serve(seen)) == len(targets):
-            break
-    order = F.struct(~F.col("interior"), -F.col("z"), "x", "y")
-    served = counted.sparkSession.createDataFrame(list(serve(seen).items()), "target int, chunks long")
-    best = counted.where((F.col("z") >= stop) & F.col("chunks").isin(list(serve(seen).values()))).groupBy("chunks").agg(F.min_by(F.struct("z", "x", "y", "interior"), order).alias("t"))
-    return best.join(F.broadcast(served), "chunks").select("target", "chunks", "t.*", (F.col("chunks") != F.col("target")).alias("approximate"))
-
-
-def by_resolution(spark: SparkSession, grid: dict, decimations: list[int], wanted: list[float], block: int = 512) -> DataFrame:
-    """(wanted, decimation, z, x, y, interior, chunks) for each wanted resolution: its level, its zoom, and the first tile there that is wholly inside, else the first that overlaps."""
-    out = None
-    for target in wanted:
-        zoom = native_zoom(target)
-        level = max([d for d in decimations if grid["pixel"] * d <= target], default=min(decimations))
-        over = tiles_over(spark, zoom, grid).withColumn("w", pixel_window(grid)).where(F.col("w").isNotNull())
-        best = over.groupBy().agg(F.min_by(F.struct("z", "x", "y", "w"), F.struct(~F.col("w.interior"), "y", "x")).alias("t")).where(F.col("t").isNotNull())
-        one = best.select(F.lit(float(target)).alias("wanted"), F.lit(level).alias("decimation"), "t.z", "t.x", "t.y", F.col("t.w.interior").alias("interior"), chunk_count(F.col("t.w"), F.lit(block), F.lit(level)).alias("chunks"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def pan_zoom(spark: SparkSession, z: int, x: int, y: int, steps_in: int = 3, steps_out: int = 2) -> DataFrame:
-    """(step, action, z, x, y): a start, zooms in on the first child, pans east, south, west and north, zooms out."""
-    rows = [(0, "start", z, x, y)]
-    for _ in range(steps_in):
-        z, x, y = z + 1, 2 * x, 2 * y
-        rows.append((len(rows), "in", z, x, y))
-    for action, dx, dy in (("east", 1, 0), ("south", 0, 1), ("west", -1, 0), ("north", 0, -1)):
-        x, y = x + dx, y + dy
-        rows.append((len(rows), action, z, x, y))
-    for _ in range(steps_out):
-        z, x, y = z - 1, x // 2, y // 2
-        rows.append((len(rows), "out", z, x, y))
-    return spark.createDataFrame(rows, "step int, action string, z int, x long, y long")
-
-
-def native_zoom(pixel: float) -> int:
-    """Finest zoom whose tiles have pixels no smaller than the grid's."""
-    zoom = 0
-    while 2 * WORLD / 256 / 2 ** (zoom + 1) >= pixel and zoom < 30:
-        zoom += 1
-    return zoom
+    serves = F.filter(F.array(*[F.lit(t) for t in targets]), lambda t: (F.col("chunks") == t) | ((t >= open_from) & (F.col("chunks") >= t)))
+    first = tiles.groupBy("grid", "z", "chunks").agg(F.min_by(F.struct("x", "y", "interior"), F.struct(~F.col("interior"), "x", "y")).alias("t"))
+    met = first.select("grid", "z", F.explode(serves).alias("target")).groupBy("grid", "target").agg(F.max("z").alias("z"))
+    stop = met.groupBy("grid").agg(F.when(F.count("*") == len(set(targets)), F.min("z")).otherwise(0).alias("stop"))
+    seen = first.join(stop, "grid").where(F.col("z") >= F.col("stop")).select("grid", "chunks", "z", "t.*")
+    best = seen.groupBy("grid", "chunks").agg(F.min_by(F.struct("z", "x", "y", "interior"), F.struct(~F.col("interior"), -F.col("z"), "x", "y")).alias("t"))
+    served = best.select("grid", "chunks", "t", F.explode(serves).alias("target")).groupBy("grid", "target").agg(F.min_by(F.struct("chunks", "t"), "chunks").alias("b"))
+    return served.select("grid", "target", "b.chunks", "b.t.*", (F.col("b.chunks") != F.col("target")).alias("approximate"))
+
+
+def chunk_tiles(grids: DataFrame, targets: Sequence[int] = TARGETS) -> DataFrame:
+    """The best tile of each grid for each target number of chunks, from the grid's own zoom to four beyond its coarsest level."""
+    coarsest = F.greatest(F.lit(0), F.col("native_zoom") - F.size("decimations") - 4)
+    return best_tiles(zoom_tiles(grids, F.sequence(F.col("native_zoom"), coarsest)), targets)
+
+
+def resolution_tiles(grids: DataFrame, wanted: Sequence[float] | None = None) -> DataFrame:
+    """(grid, wanted, decimation, z, x, y, interior, chunks): of each grid and wanted resolution, in the grid's own units, its level, its zoom, and the first tile there that is wholly inside, else the first that overlaps.  Where none is wanted each level's own resolution is."""
+    own = F.transform("decimations", lambda d: F.col("native") * d)
+    asked = F.array(*[F.lit(float(w)) for w in wanted]) if wanted else own
+    at = located(grids).withColumn("wanted", F.explode(asked)).withColumn("z", zoom_for(F.col("wanted") * F.col("native_metres") / F.col("native")))
+    seen = counted(tiles_of(at), pick_decimation(F.col("decimations"), F.col("native"), F.col("wanted")), "wanted")
+    best = seen.groupBy("grid", "wanted", "z", "decimation").agg(F.min_by(F.struct("x", "y", "interior", "chunks"), F.struct(~F.col("interior"), "x", "y")).alias("t"))
+    return best.select("grid", "wanted", "decimation", "z", "t.*")
+
+
+def sessions(grids: DataFrame, steps_in: int = 3, steps_out: int = 2) -> DataFrame:
+    """(grid, step, action, z, x, y, decimation, chunks) of a look at each grid: from ``steps_in`` zooms above its own in on its centre, a tile east, south, west and north, and out again; no chunks where a tile is off the grid."""
+    own = located(grids)
+    lon = (longitude(F.col("box.xmin")) + longitude(F.col("box.xmax"))) / 2
+    lat = (latitude(F.col("box.ymin")) + latitude(F.col("box.ymax"))) / 2
+    begin = F.greatest(F.lit(0), F.col("native_zoom") - steps_in)
+    own = own.withColumns({"u": mercator_x(lon) + WORLD, "v": F.lit(WORLD) - mercator_y(lat), "begin": begin}).withColumn("deep", F.least(F.lit(MOST_ZOOM), F.col("begin") + steps_in))
+    at = lambda v, z: F.floor(v / (F.lit(2 * WORLD) / F.pow(F.lit(2.0), z))).cast("long")
+    step = lambda action, z, x, y: F.struct(action.alias("action"), z.alias("z"), x.alias("x"), y.alias("y"))
+    u, v, deep = F.col("u"), F.col("v"), F.col("deep")
+    inward = F.transform(F.sequence(F.col("begin"), deep), lambda z: step(F.when(z == F.col("begin"), "start").otherwise("zoom_in"), z, at(u, z), at(v, z)))
+    x, y = at(u, deep), at(v, deep)
+    around = F.array(step(F.lit("pan_e"), deep, x + 1, y), step(F.lit("pan_s"), deep, x + 1, y + 1), step(F.lit("pan_w"), deep, x, y + 1), step(F.lit("pan_n"), deep, x, y))
+    outward = F.transform(F.filter(F.sequence(F.lit(0), F.least(F.lit(steps_out), deep)), lambda k: k > 0), lambda k: step(F.lit("zoom_out"), deep - k, F.floor(x / F.pow(F.lit(2.0), k)).cast("long"), F.floor(y / F.pow(F.lit(2.0), k)).cast("long")))
+    each = own.select("*", F.posexplode(F.concat(inward, around, outward)).alias("step", "s")).select("*", "s.*")
+    window = pixel_window(F.col("z"), F.col("x"), F.col("y"))
+    decimation = pick_decimation(F.col("decimations"), F.col("native"), tile_resolution(F.col("z")))
+    each = each.withColumns({"window": window, "decimation": decimation})
+    return each.select("grid", "step", "action", "z", "x", "y", "decimation", chunk_count(F.col("window"), F.col("block_rows"), F.col("decimation"), F.col("block_cols")).alias("chunks"))
+
+
+def scenarios(grids: DataFrame, targets: Sequence[int] = TARGETS, wanted: Sequence[float] | None = None) -> DataFrame:
+    """All tiles to be timed, by name: (grid, label, z, x, y, chunks, approximate, decimation) of the best tiles, the resolutions and the session; what a kind has no word for is null."""
+    chunks = chunk_tiles(grids, targets).select("grid", F.concat(F.col("target").cast("string"), F.lit("chunk")).alias("label"), "z", "x", "y", "chunks", "approximate")
+    levels = resolution_tiles(grids, wanted).select("grid", F.format_string("res_%sm", F.regexp_replace(F.format_string("%.6f", "wanted"), r"\.?0+$", "")).alias("label"), "z", "x", "y", "chunks", "decimation")
+    looks = sessions(grids).select("grid", F.format_string("pan_zoom_%02d_%s", "step", "action").alias("label"), "z", "x", "y", "chunks", "decimation")
+    return chunks.unionByName(levels, allowMissingColumns=True).unionByName(looks, allowMissingColumns=True).withColumn("approximate", F.coalesce("approximate", F.lit(False)))

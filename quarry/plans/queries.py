@@ -289,66 +289,14 @@ def shard_object_sizes(spark, d):
     return raster.shard_objects(views.cells(spark, d), 4, 2, 8, FILL)
 
 
-#: A north-up raster in web-Mercator metres, and its pyramid.
-_GRID = {"xmin": 200000.0, "ymax": 6000000.0, "pixel": 100.0, "rows": 6000, "cols": 8000}
 _DECIMATIONS = [1, 2, 4, 8, 16]
 
 
-#: A larger one with a shallow pyramid, of which coarse tiles touch many chunks.
-_WIDE = {"xmin": -1500000.0, "ymax": 7000000.0, "pixel": 100.0, "rows": 24000, "cols": 32000}
-_FEW = [1, 2, 4]
-
-
-def _tile_counts(spark, zoom: int, over: dict = _GRID, decimations: list[int] = _DECIMATIONS) -> DataFrame:
-    out = tiles.tiles_over(spark, zoom, over).withColumn("w", tiles.pixel_window(over)).where(F.col("w").isNotNull())
-    out = out.withColumn("decimation", tiles.pick_decimation(decimations, F.lit(over["pixel"]), grid.tile_resolution(F.col("z"))))
-    return out.select("z", "x", "y", "decimation", F.col("w.interior").alias("interior"), tiles.chunk_count(F.col("w"), F.lit(512), F.col("decimation")).alias("chunks"))
-
-
-_TILE_SQL = """with t as (select 9 as z, i % 512 as x, i // 512 as y from range(262144) r(i)), k as (select pi() * 6378137.0 as w),
-b as (select z, x, y, (x * (2 * w / 512) - w - 200000.0) / 100.0 as c0, ((x + 1) * (2 * w / 512) - w - 200000.0) / 100.0 as c1, (6000000.0 - (w - y * (2 * w / 512))) / 100.0 as r0, (6000000.0 - (w - (y + 1) * (2 * w / 512))) / 100.0 as r1 from t, k),
-p as (select *, 2::int as decimation, c0 >= -0.5 and r0 >= -0.5 and c1 <= 8000.5 and r1 <= 6000.5 as interior, greatest(c0, 0.0) as a0, greatest(r0, 0.0) as q0, least(c1, 8000.0) as a1, least(r1, 6000.0) as q1 from b where c1 > 0 and r1 > 0 and c0 < 8000 and r0 < 6000)
-select z::int as z, x, y, decimation, interior, (greatest(1, floor((a1 / decimation - 1e-9) / 512) - floor(a0 / decimation / 512) + 1) * greatest(1, floor((q1 / decimation - 1e-9) / 512) - floor(q0 / decimation / 512) + 1))::bigint as chunks from p"""
-
-
-@query(_TILE_SQL)
-def tile_chunk_count(spark, d):
-    return _tile_counts(spark, 9)
-
-
-_BUCKET_SQL = """with k as (select pi() * 6378137.0 as w), z as (select i::int as z, 2 * w / (1 << i) as side, w, (1 << i) as n from k, range(%d, %d) r(i)),
-t as (select z.*, x, y from z, unnest(range(greatest(0, floor((-1500000.0 + w) / side))::bigint, least(n - 1, floor((1700000.0 + w) / side))::bigint + 1)) a(x), unnest(range(greatest(0, floor((w - 7000000.0) / side))::bigint, least(n - 1, floor((w - 4600000.0) / side))::bigint + 1)) b(y)),
-b as (select z, x, y, side / 256 as res, (x * side - w + 1500000.0) / 100.0 as c0, ((x + 1) * side - w + 1500000.0) / 100.0 as c1, (7000000.0 - (w - y * side)) / 100.0 as r0, (7000000.0 - (w - (y + 1) * side)) / 100.0 as r1 from t),
-p as (select *, case when res >= 400 then 4 when res >= 200 then 2 else 1 end as d, c0 >= -0.5 and r0 >= -0.5 and c1 <= 32000.5 and r1 <= 24000.5 as interior, greatest(c0, 0.0) as a0, greatest(r0, 0.0) as q0, least(c1, 32000.0) as a1, least(r1, 24000.0) as q1 from b where c1 > 0 and r1 > 0 and c0 < 32000 and r0 < 24000),
-c as (select z, x, y, interior, (greatest(1, floor((a1 / d - 1e-9) / 512) - floor(a0 / d / 512) + 1) * greatest(1, floor((q1 / d - 1e-9) / 512) - floor(q0 / d / 512) + 1))::bigint as chunks from p),
-g(target) as (values (1), (2), (4), (9)),
-met as (select target, max(z) as z from g join c on chunks = target or target >= 9 and chunks >= target group by target),
-stop as (select case when count(*) = 4 then min(z) else 0 end as z from met),
-best as (select chunks, arg_min(struct_pack(z := c.z, x := x, y := y, interior := interior), row(not interior, -c.z, x, y)) as t from c, stop where c.z >= stop.z group by chunks),
-served as (select target, coalesce(max(chunks) filter (chunks = target), min(chunks) filter (target >= 9 and chunks >= target)) as chunks from g, best group by target)
-select target::int as target, chunks, t.z as z, t.x as x, t.y as y, t.interior as interior, chunks <> target as approximate from served join best using (chunks)"""
-
-
-@query(_BUCKET_SQL % (max(0, tiles.native_zoom(100.0) - len(_FEW) - 4), tiles.native_zoom(100.0) + 1))
-def tile_buckets(spark, d):
-    """The best tile for 1, 2, 4 and 9 chunks, from the raster's own zoom down beyond its coarsest level."""
-    finest, out = tiles.native_zoom(_WIDE["pixel"]), None
-    for zoom in range(max(0, finest - len(_FEW) - 4), finest + 1):
-        one = _tile_counts(spark, zoom, _WIDE, _FEW)
-        out = one if out is None else out.unionByName(one)
-    return tiles.best_tiles(out, [1, 2, 4, 9])
-
-
 @query("select p_partkey, p_size, coalesce(max(d) filter (d <= p_size / 3.0), 1)::int as decimation from part cross join (values (1), (2), (4), (8), (16)) l(d) group by p_partkey, p_size")
 def level_pick_asof(spark, d):
     return views.table(spark, d, "part").select("p_partkey", "p_size", tiles.pick_decimation(_DECIMATIONS, F.lit(3.0), F.col("p_size").cast("double")).alias("decimation"))
 
 
-@query("select * from (values (0, 'start', 6, 30::bigint, 20::bigint), (1, 'in', 7, 60, 40), (2, 'in', 8, 120, 80), (3, 'in', 9, 240, 160), (4, 'east', 9, 241, 160), (5, 'south', 9, 241, 161), (6, 'west', 9, 240, 161), (7, 'north', 9, 240, 160), (8, 'out', 8, 120, 80), (9, 'out', 7, 60, 40)) s(step, action, z, x, y)")
-def pan_zoom_session(spark, d):
-    return tiles.pan_zoom(spark, 6, 30, 20)
-
-
 @query(None)
 def voxel_representatives(spark, d):
     return points.voxel_representatives(views.points(spark, d), 8)

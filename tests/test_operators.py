@@ -225,28 +225,6 @@ def test_bundles_and_registry(spark):
         r.get("y")
 
 
-def test_best_tiles_in_order(spark):
-    rows = [(3, 0, 0, 1, False), (3, 1, 0, 1, True), (3, 2, 0, 1, True), (3, 1, 5, 1, True), (2, 0, 0, 4, False), (2, 1, 0, 1, True), (1, 0, 0, 4, True), (1, 0, 0, 2, True)]
-    df = spark.createDataFrame(rows, "z int, x long, y long, chunks long, interior boolean")
-    got = {r.target: (r.chunks, r.z, r.x, r.y, r.interior) for r in tiles.best_tiles(df, [1, 4]).collect()}
-    assert got == {1: (1, 3, 1, 0, True), 4: (4, 2, 0, 0, False)}
-    # Nine or more: the smallest larger number of what the scan has met by then.
-    more = df.unionByName(spark.createDataFrame([(2, 0, 0, 20, True), (1, 0, 0, 12, True), (0, 0, 0, 9, True)], df.schema))
-    served = lambda *t: {r.target: (r.chunks, r.approximate) for r in tiles.best_tiles(more, list(t)).collect()}
-    assert served(1, 9) == {1: (1, False), 9: (20, True)}
-    assert served(2, 9) == {2: (2, False), 9: (12, True)}
-    assert served(1, 3) == {1: (1, False)}
-
-
-def test_tiles_over_a_grid(spark):
-    g = {"xmin": -1500000.0, "ymax": 7000000.0, "pixel": 100.0, "rows": 24000, "cols": 32000}
-    for zoom in (0, 4, 7):
-        n = 1 << zoom
-        every = spark.range(n * n).select(F.lit(zoom).alias("z"), (F.col("id") % n).alias("x"), F.expr(f"id div {n}").alias("y"))
-        reached = lambda df: {(r.x, r.y) for r in df.withColumn("w", tiles.pixel_window(g)).where("w is not null").collect()}
-        assert reached(tiles.tiles_over(spark, zoom, g)) == reached(every)
-
-
 def test_octree_keeps_points_of_one_pid(spark):
     rows = [(1, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0), (2, 1.0, 1.0, 1.0), (3, 0.1, 0.1, 0.1)]
     from quarry.plans.tables import written

@@ -1,9 +1,9 @@
-"""Protocol, tiles by resolution, layout and artifact lines."""
+"""Protocol by resolution, layout and artifact lines."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import protocol, report, tiles
+from quarry.operators import protocol, report
 
 
 def test_protocol(spark):
@@ -33,13 +33,6 @@ def test_random_places_stay_inside():
     assert protocol.random_windows(9, 9, 2, 3, 1) == protocol.random_windows(9, 9, 2, 3, 1)
 
 
-def test_tiles_by_resolution(spark):
-    grid = {"xmin": 200000.0, "ymax": 6000000.0, "pixel": 100.0, "rows": 6000, "cols": 8000}
-    got = {r.wanted: r for r in tiles.by_resolution(spark, grid, [1, 2, 4, 8], [250.0, 900.0, 1e9]).collect()}
-    assert got[250.0].decimation == 2 and got[900.0].decimation == 8 and got[250.0].interior and got[1e9].z == 0
-    assert all(r.chunks >= 1 for r in got.values())
-
-
 def test_layout_and_artifact_lines(spark):
     rows = [("a", "raster", 100, 1, True, None, 0), ("b", "store", 1000, 4, None, None, 250), ("c", "indexed", 0, 1, None, False, 0)]
     df = spark.createDataFrame(rows, "name string, kind string, size long, parts long, tiled boolean, indexed boolean, overview_bytes long")
