@@ -76,6 +76,14 @@ def cloud_groups(listing: DataFrame, groups: Sequence[str] = ("pixel_cloud",), i
     return out.withColumn("address", cloud_address(F.col("uri"), F.col("component"), carried, named(exclude))).orderBy("product", "place")
 
 
+@readers.register("single-object")
+def single_object(listing: DataFrame, uri: str, name: str | None = None) -> DataFrame:
+    """One product of one component: an object that is named outright, whatever the listing and its bounds have."""
+    stem = uri.rstrip("/").rpartition("/")[2]
+    own = name or stem.partition(".")[0] or stem
+    return listing.sparkSession.range(1).select(F.lit(uri).alias("uri"), F.lit(own).alias("product"), F.lit(own).alias("component"))
+
+
 def viewer_bands(variables: Sequence[str], schema: Sequence[str] = ()) -> list[str]:
     """Variables that a viewer shows: those asked for, or, where ``all`` is, every one of a granule's schema."""
     return list(schema) if "all" in variables else list(variables)

@@ -18,9 +18,12 @@ def throughput(amount: Column, seconds: Column) -> Column:
 
 
 def write_rollup(writes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sums over components; bytes_in is null where no component has it.  Sums are made in decimals, so they don't depend on the order of the rows."""
+    """Sums over components; bytes_in is null where no component has it.  Sums are made in decimals, so they don't depend on the order of the rows.
+
+    A row that stands for several components says so in a column ``components``.
+    """
     exact = lambda c: F.sum(F.col(c).cast("decimal(28,9)")).cast("double").alias(c)
-    out = writes.groupBy(*by).agg(exact("elapsed"), exact("bytes_out"), exact("bytes_in"), F.count("*").alias("components"))
+    out = writes.groupBy(*by).agg(exact("elapsed"), exact("bytes_out"), exact("bytes_in"), (F.sum("components") if "components" in writes.columns else F.count("*")).cast("long").alias("components"))
     return out.withColumn("throughput", throughput(F.col("bytes_out"), F.col("elapsed")))
 
 
@@ -50,6 +53,12 @@ def pool_conditions(merged: DataFrame, condition: Sequence[str], metric: str, pr
     return numbered(merged, [product, replicate], [*condition, metric], "pooled_replicate")
 
 
-def latency_summary(reads: DataFrame, by: Sequence[str], seconds: str, amount: str) -> DataFrame:
-    """Count, mean, median, population deviation and throughput of reads."""
-    return reads.groupBy(*by).agg(F.count("*").alias("reads"), F.avg(seconds).alias("mean"), F.median(seconds).alias("p50"), F.stddev_pop(seconds).alias("spread"), throughput(F.sum(amount), F.sum(seconds)).alias("throughput"))
+def latency_summary(reads: DataFrame, by: Sequence[str], seconds: str, amount: str, counted: str | None = None, item_bytes: int | None = None) -> DataFrame:
+    """Count, mean, median, population deviation and throughput of reads.
+
+    Reads of features or points also say how many came: ``counted`` is their column, and
+    the sum of it has its name.  Where items have a fixed size, ``item_bytes``, the amount is that many times the count.
+    """
+    amount = F.sum(F.col(counted) * item_bytes) if counted and item_bytes else F.sum(amount)
+    items = [F.sum(counted).cast("long").alias(counted)] if counted else []
+    return reads.groupBy(*by).agg(F.count("*").alias("reads"), F.avg(seconds).alias("mean"), F.median(seconds).alias("p50"), F.stddev_pop(seconds).alias("spread"), throughput(amount, F.sum(seconds)).alias("throughput"), *items)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.order import numbered
 from quarry.operators.raster import offset_in_mosaic
 
 EDGES = ("xmin", "ymin", "xmax", "ymax")
@@ -63,3 +64,21 @@ def require_one_grid(members: DataFrame, name: str, grid: Sequence[str], nodata:
         if len(kinds) > 1:
             raise ValueError(f"a stack has one grid and one no-data value; several {what}: " + "; ".join(f"{', '.join(f'{k}={r[k]}' for k in keys)}: {r['first']}{f' and {r.n - 1} more' if r.n > 1 else ''}" for r in kinds))
     return members
+
+
+def stack_bands(members: DataFrame, name: str, order: str, edges: Sequence[str] = EDGES, shape: Sequence[str] = ("rows", "cols"), wanted: Sequence[str] | None = None) -> DataFrame:
+    """(band, name) of the members of one stack, numbered from 1 in order.
+
+    Members that don't share one extent and shape are an error that names the first of
+    each, as are none, and names asked for that aren't those that there are.
+    """
+    kinds = members.groupBy(*edges, *shape).agg(F.min(name).alias("first"), F.count("*").alias("n")).orderBy("first").limit(5).collect()
+    if not kinds:
+        raise ValueError("a stack has one member at least")
+    if len(kinds) > 1:
+        raise ValueError("members of a stack share one extent and shape; there are " + "; ".join(f"{r['first']} ({r.n}): {[r[k] for k in (*edges, *shape)]}" for r in kinds))
+    if wanted is not None:
+        named = members.where(F.col(name).isin(list(wanted))).select(name).distinct().count()
+        if (n := members.count()) != len(wanted) or named != len(set(wanted)):
+            raise ValueError(f"{len(wanted)} bands are named, and {n} members are there, {named} of them by these names")
+    return numbered(members.select(order, name), [order, name], name="_band").select((F.col("_band") + 1).cast("int").alias("band"), name)

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MEASURED = "phase string, cache string, concurrency int, replicate int, worker int, metric string, value double, error string"
 
@@ -37,39 +39,95 @@ def parse_protocol(params: dict | None) -> tuple[int, list[Condition]]:
     return replicates, conditions or [Condition()]
 
 
-def measure(spark: SparkSession, action: Callable[[int], float | None], phase: str, replicates: int, conditions: list[Condition], seed: int = 0) -> DataFrame:
-    """One row for each worker's run: its seconds.  ``action`` takes a seed; a condition that fails gives one ``<phase>_condition_skipped`` row with the error, and the others go on."""
-    rows = []
+def together(spark: SparkSession, action: Callable[[int], object], seeds: list[int], tag: str) -> list[float]:
+    """Seconds of one worker for each seed, all at once: each runs its jobs in a pool of its own, so that none waits behind another where spark.scheduler.mode is FAIR.
 
-    def timed(s: int) -> float:
-        began = time.perf_counter()
-        action(s)
-        return time.perf_counter() - began
+    When one fails, the jobs of all are cancelled by their tag, and its error is raised.
+    """
+    context = spark.sparkContext
 
+    def worker(number: int, seed: int) -> float:
+        context.addJobTag(tag)
+        context.setLocalProperty("spark.scheduler.pool", f"worker-{number}")
+        try:
+            began = time.perf_counter()
+            action(seed)
+            return time.perf_counter() - began
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+            context.removeJobTag(tag)
+
+    with ThreadPoolExecutor(len(seeds)) as pool:
+        runs = [pool.submit(worker, w, s) for w, s in enumerate(seeds)]
+        done, others = wait(runs, return_when=FIRST_EXCEPTION)
+        failed = next((r.exception() for r in runs if r in done and r.exception()), None)
+        if failed:
+            # A worker between two jobs starts another one, so they are cancelled until all are done.
+            while others:
+                context.cancelJobsWithTag(tag)
+                _, others = wait(others, timeout=0.1)
+            raise failed
+        return [r.result() for r in runs]
+
+
+def measure(spark: SparkSession, action: Callable[[int], object], phase: str, replicates: int, conditions: list[Condition], seed: int = 0) -> DataFrame:
+    """One row for each worker's run: its seconds.
+
+    ``action`` takes a seed and does its work in Spark; the workers of a replicate run at
+    once.  A warm condition has an untimed round first, a cold one clears the cache before
+    each replicate.  A condition that fails gives one ``<phase>_condition_skipped`` row with
+    the error, its other workers are cancelled, and the other conditions go on.
+    """
+    rows = []
     for c in conditions:
+        tag = f"{phase}-{uuid.uuid4().hex}"
         try:
             mine = []
-            with ThreadPoolExecutor(c.concurrency) as pool:
-                if c.cache == "warm":
-                    list(pool.map(timed, [seed - c.concurrency + w for w in range(c.concurrency)]))
-                for r in range(replicates):
-                    if c.cache == "cold":
-                        spark.catalog.clearCache()
-                    values = pool.map(timed, [seed + r * c.concurrency + w for w in range(c.concurrency)])
-                    mine += [(phase, c.cache, c.concurrency, r, w, f"{phase}_seconds", v, None) for w, v in enumerate(values)]
+            if c.cache == "warm":
+                together(spark, action, [seed - c.concurrency + w for w in range(c.concurrency)], tag)
+            for r in range(replicates):
+                if c.cache == "cold":
+                    spark.catalog.clearCache()
+                values = together(spark, action, [seed + r * c.concurrency + w for w in range(c.concurrency)], tag)
+                mine += [(phase, c.cache, c.concurrency, r, w, f"{phase}_seconds", v, None) for w, v in enumerate(values)]
             rows += mine
-        except Exception as e:  # noqa: BLE001
+        except Exception as e:  # noqa: BLE001  a condition is measured as well as may be
             rows.append((phase, c.cache, c.concurrency, 0, 0, f"{phase}_condition_skipped", None, str(e)[:300]))
     return spark.createDataFrame(rows, MEASURED)
 
 
-def random_windows(rows: int, cols: int, side: int, count: int, seed: int) -> list[tuple[int, int, int, int, int]]:
-    """Windows (number, row, col, height, width) inside a raster from a seeded generator, column first."""
+def run_conditions(spark: SparkSession, sampled: dict[str, Callable[[int], object]], phase: str, params: dict | None, seed: int = 0) -> DataFrame:
+    """Measured rows of several components (their names and what to read of each) under one protocol, with a column ``component``; a display is always warm and alone."""
+    replicates, conditions = parse_protocol(params)
+    if phase == "display":
+        conditions = [Condition()]
+    out = None
+    for name, action in sampled.items():
+        one = measure(spark, action, phase, replicates, conditions, seed).withColumn("component", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], MEASURED + ", component string")
+
+
+def random_windows(rows: int, cols: int, side: int, count: int, seed: int, block: tuple[int, int] | None = None) -> list[tuple[int, int, int, int, int]]:
+    """Windows (number, row, col, height, width) inside a raster from a seeded generator, column first.
+
+    With the (rows, cols) of its blocks, even windows begin where a block does and odd
+    ones don't, as far as the raster's edge lets them.
+    """
     rng = random.Random(seed)
     h, w = min(side, rows), min(side, cols)
+
+    def origin(k: int, drawn: int, last: int, step: int) -> int:
+        off = drawn % step if step > 0 else 0
+        if k % 2 == 0:
+            return min(drawn - off, last)
+        return min(drawn + step // 2, last) if step > 1 and off == 0 else drawn
+
     out = []
     for k in range(count):
         col, row = rng.randint(0, cols - w), rng.randint(0, rows - h)
+        if block:
+            col, row = origin(k, col, cols - w, block[1]), origin(k, row, rows - h, block[0])
         out.append((k, row, col, h, w))
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import grid, uri
 from quarry.operators import ladders, measure, mosaic, points, raster, report, rtree, run, spatial, store
+from quarry.operators import product_run as runs
 from quarry.plans import views
 from quarry.plans.tables import shared_dir
 from quarry.plans.queries import _BOXES, _KEYS, _MERGED, ORACLE, query, rounded
@@ -308,6 +309,56 @@ def rtree_nodes(spark, d):
     return rtree.node_table(rtree.in_order(views.features(spark, d), ["id"]))
 
 
+# A run over a set of products.
+
+
+def _run_inputs(spark, d):
+    """Objects, writes and measurements of the same five products."""
+    product = lambda c: (F.col(c) % 5).cast("string")
+    objects = views.table(spark, d, "documents").select(product("doc_id").alias("product"), F.col("n_chars").cast("long").alias("size"))
+    writes = views.writes(spark, d).withColumn("product", product("container"))
+    events = views.measurements(spark, d).withColumns({"product": F.col("product").cast("string"), "phase": F.lit("read"), "component": F.col("replicate") % 2 + F.col("worker"), "error": F.when((F.col("product") == 3) & (F.col("cache") == "cold"), "no such object")})
+    return objects, writes, events
+
+
+@query(None)
+def product_run(spark, d):
+    """Every figure of a run: profiles, write figures, conditions over the first two components; of each product and over all."""
+    got = runs.product_run(*_run_inputs(spark, d), runs.Plan(samples=2, tiers=(("hot", 0), ("warm", 2000), ("cold", 2400))))
+    return rounded(runs.figures(got), 8)
+
+
+@query(None)
+def product_run_report(spark, d):
+    """Lines of the run's report, of products by prefix and pattern."""
+    return runs.summary(runs.product_run(*_run_inputs(spark, d), runs.Plan(pattern="^[0-3]$", metrics=["click", "view"])))
+
+
+_RUN = with_views("", "measurements", "writes").rstrip() + """, o as (select (doc_id % 5)::varchar as product, n_chars as size from documents where {products}),
+w as (select (container % 5)::varchar as product, elapsed, bytes_out, bytes_in from writes where {w_products}),
+e as (select product::varchar as product, cache, concurrency, replicate, worker, metric, value, replicate % 2 + worker as component, product = 3 and cache = 'cold' as failed from measurements where {e_products}),
+p as (select grouping(product) = 1 as is_rollup, product, count(*) as object_count, sum(size) as total_bytes, avg(size) as mean_bytes, min(size) as min_bytes, max(size) as max_bytes, quantile_cont(size, 0.5) as median_bytes, quantile_cont(size, 0.9) as p90_bytes, quantile_cont(size, 0.95) as p95_bytes, quantile_cont(size, 0.99) as p99_bytes, count(distinct product) as products from o group by grouping sets ((product), ())),
+f as (select grouping(product) = 1 as is_rollup, product, sum(elapsed::decimal(28, 9))::double as elapsed, sum(bytes_out::decimal(28, 9))::double as bytes_out, sum(bytes_in::decimal(28, 9))::double as bytes_in, count(*) as components from w group by grouping sets ((product), ())),
+m as (select product, cache, concurrency, component, replicate, metric, avg(case when not failed then value end) as value from e where {sample} group by all),
+c as (select grouping(product) = 1 as is_rollup, product, cache, concurrency, metric, avg(value) as mean, median(value) as median, stddev_pop(value) as spread, count(value) as replicates from m group by grouping sets ((product, cache, concurrency, metric), (cache, concurrency, metric)))"""
+_ANY = {"products": "true", "w_products": "container % 5 in (select distinct doc_id % 5 from documents)", "e_products": "product in (select distinct doc_id % 5 from documents)"}
+ORACLE["product_run"] = _RUN.format(sample="component < 2", **_ANY) + (
+    " select is_rollup, product, section, name, round(value, 8) as value from ("
+    + " union all ".join(f"select is_rollup, product, 'profile' as section, '{c}' as name, {c}::double as value from p" for c in ("object_count", "total_bytes", "mean_bytes", "min_bytes", "max_bytes", "median_bytes", "p90_bytes", "p95_bytes", "p99_bytes"))
+    + "".join(f" union all select is_rollup, product, 'write', '{c.split()[-1]}', ({c.split()[0]})::double from f" for c in ("elapsed", "bytes_out", "bytes_in", "components", "bytes_out/elapsed throughput"))
+    + " union all select is_rollup, product, 'run', 'products', products from p union all select is_rollup, product, 'run', 'tier:' || case when floor(mean_bytes) >= 2400 then 'cold' when floor(mean_bytes) >= 2000 then 'warm' else 'hot' end, 1 + (floor(mean_bytes) >= 2000)::int + (floor(mean_bytes) >= 2400)::int from p"
+    + "".join(f" union all select is_rollup, product, 'condition', 'read/' || cache || '/' || concurrency || '/' || metric || '/{c}', {c}::double from c" for c in ("mean", "median", "spread", "replicates"))
+    + ") where value is not null"
+)
+_SIZE = "case when {n} < 1024 then printf('%d B', ({n})::bigint) when {n} < 1048576 then printf('%.1f KiB', round_even(({n}) / 1024.0, 1)) else printf('%.1f MiB', round_even(({n}) / 1048576.0, 1)) end"
+ORACLE["product_run_report"] = _RUN.format(sample="metric in ('click', 'view')", products="doc_id % 5 <= 3", w_products="container % 5 <= 3", e_products="product <= 3") + (
+    ", t as (select (3 + row_number() over (order by is_rollup, product))::int as line_no, '| ' || case when is_rollup then '**all products**' else product end || ' | ' || object_count || ' | ' || "
+    + " || ' | ' || ".join(_SIZE.format(n=f"trunc({c})::bigint") for c in ("total_bytes", "mean_bytes", "p95_bytes"))
+    + " || ' |' as line from p), l as (select (3 + row_number() over (order by cache, concurrency, metric))::int as line_no, '| read | ' || cache || ' | ' || case concurrency when 1 then 'isolated' else 'concurrent (' || concurrency || ')' end || ' | ' || metric || ' | ' || replicates || ' | ' || printf('%.6f', mean) || ' | ' || printf('%.6f', spread) || ' |' as line from c where is_rollup and replicates > 0) "
+    "select 0 as part, line_no, line from t union all select 0, i, v from (values (0, '## Products'), (1, ''), (2, '| product | objects | total | mean | p95 |'), (3, '| --- | --- | --- | --- | --- |')) h(i, v) union all select 1, line_no, line from l union all select 1, i, v from (values (0, '## Conditions over all products'), (1, ''), (2, '| phase | cache | run | metric | replicates | mean | spread |'), (3, '| --- | --- | --- | --- | --- | --- | --- |')) h(i, v) union all select 2, i, v from (values (0, '## Skipped'), (1, ''), (2, '| phase | cache | concurrency | reason |'), (3, '| --- | --- | --- | --- |')) h(i, v)"
+)
+
+
 # SQL for queries whose place is elsewhere.
 
 _SHOWN = "case when {n} < 1024 then printf('%d B', ({n})::bigint) when {n} < 1048576 then printf('%.1f KiB', round_even(({n}) / 1024.0, 1)) when {n} < 1073741824 then printf('%.1f MiB', round_even(({n}) / 1048576.0, 1)) else printf('%.1f GiB', round_even(({n}) / 1073741824.0, 1)) end"

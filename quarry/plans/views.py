@@ -49,7 +49,10 @@ def measurements(spark, d) -> DataFrame:
 
 
 def writes(spark, d) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("elapsed"), F.col("l_extendedprice").alias("bytes_out"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice") * 2).alias("bytes_in"))
+    """Writes of an order's lines, summed in decimals before they meet their order: (product, container, elapsed, bytes_out, bytes_in, components)."""
+    exact = lambda c: F.sum(c.cast("decimal(28,9)"))
+    price = F.col("l_extendedprice")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(exact(F.col("l_quantity")).alias("elapsed"), exact(price).alias("bytes_out"), exact(F.when(F.col("l_linenumber") % 2 == 0, price * 2)).alias("bytes_in"), F.count("*").alias("components"))
     return lines.join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("container"), F.col("o_orderstatus").alias("product")), F.col("l_orderkey") == F.col("o_orderkey"))
 
 

@@ -57,8 +57,14 @@ class CloudGroups:
     suffix: str = ".nc"
 
 
+@dataclass(frozen=True)
+class Single:
+    uri: str
+    name: str | None = None
+
+
 #: Options of each registered reader.
-OPTIONS = {"cloud-groups": CloudGroups, "archive-bands": ArchiveBands, "radar-polarisations": Polarisations, "shape-archives": Nothing, "granule-variables": Variables, "dated-granules": Suffix}
+OPTIONS = {"single-object": Single, "cloud-groups": CloudGroups, "archive-bands": ArchiveBands, "radar-polarisations": Polarisations, "shape-archives": Nothing, "granule-variables": Variables, "dated-granules": Suffix}
 
 
 @dataclass(frozen=True)
