@@ -49,7 +49,7 @@ from quarry.llm.components import components
 
 WIDTH, PERCENT = 5, 75
 #: Entries of the incidence that a block has on average.
-BLOCK_ENTRIES = 700_000
+BLOCK_ENTRIES = 450_000
 #: So many nodes of a batch that share an n-gram are sent apart from its block.
 CROWD = 8
 SURVEY = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "key": pa.int64(), "node": pa.int64(), "n": pa.int64(), "grams": pa.binary(), "owners": pa.binary(), "nodes": pa.binary()}
@@ -103,7 +103,7 @@ def surveyed(docs: DataFrame, width: int, blocks: int, crowd: int) -> DataFrame:
     """One pass over the texts: a row per document, and the incidence of each batch packed by block."""
 
     def run(batches):
-        for batch in small_batches(batches, 5_000_000):
+        for batch in small_batches(batches, 2_500_000):
             sets = sets_of(batch.column("text").to_pylist(), width)
             names = [node_of(g) if len(g) else None for g in sets]
             key = batch.column("key")
