@@ -1,12 +1,12 @@
-"""Queries about display tiles of a table of grids, each supplier one: turned, sheared, and some in degrees."""
+"""Queries about display tiles of a table of grids, each supplier one (turned, sheared, and some in degrees), and about layout records of parts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import tiles
+from quarry.operators import layouts, tiles
 from quarry.plans import views
-from quarry.plans.queries import query
+from quarry.plans.queries import ORACLE, query
 
 
 def grids(spark, d):
@@ -105,3 +105,83 @@ _ALL = " union all ".join(
 def tile_scenarios(spark, d):
     """All tiles to be timed, by name."""
     return tiles.scenarios(grids(spark, d))
+
+
+# Layout records of all kinds.
+
+
+def layout_records(spark, d):
+    """Each part an object of one of the five kinds."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    own = views.table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.concat(F.lit("o"), k.cast("string")).alias("name"), (s * 1000).cast("long").alias("size"), F.when(s % 4 != 0, F.col("p_type")).alias("codec"), F.when(s % 3 != 0, s / 8.0).alias("ratio"), k.alias("k"), s.alias("s"))
+    some = lambda *names: F.array(*[F.lit(x) for x in names])
+    told = {
+        "raster": {"tiled": s25(), "block_rows": F.lit(256), "block_cols": F.col("s") * 8, "overviews": F.col("s") % 5, "tiles": F.col("s") * 3, "bands": F.when(F.col("s") % 2 == 0, some("A", "N"))},
+        "store": {"chunk": some(64, 64), "shard": F.array(F.lit(256), F.col("s") * 10), "levels": F.col("s") % 3, "shards": F.col("s"), "native_level": F.when(F.col("s") % 5 != 0, F.col("s") % 2), "overview_bytes": F.when(F.col("s") % 3 > 0, F.col("s") * 100).otherwise(0), "stored": F.when(F.col("s") % 2 == 0, "int16"), "unscaled": F.col("s") % 7 == 0, "grid": F.when(F.col("s") % 4 > 0, F.concat(F.lit("grid"), F.col("s") % 4))},
+        "columnar": {"geometry": F.lit("geometry"), "features": F.col("s") * 11, "row_groups": F.col("s"), "group_rows": F.lit(11), "covering": F.col("s") % 2 == 1},
+        "indexed": {"geometry": F.lit("Point"), "features": F.col("s") * 7, "dropped": F.col("s") % 3, "made": F.col("s") % 4, "placed": F.when(F.col("s") > 40, F.col("s") % 2).otherwise(0), "indexed": s25(), "node_size": F.lit(16), "index_bytes": F.when(s25(), F.col("s") * 40).otherwise(0)},
+        "octree": {"nodes": F.col("s"), "depth": F.col("s") % 6, "points": F.col("s") * 100, "node_points": F.lit(100), "carried": F.when(F.col("s") % 2 == 0, some("height", "class")).otherwise(some("height"))},
+    }
+    parts = [layouts.records(own.where(F.col("k") % 5 == at).withColumns(columns), kind).join(own.select("name", "brand"), "name") for at, (kind, columns) in enumerate(told.items())]
+    return layouts.united(parts)
+
+
+def s25():
+    return F.col("s") > 25
+
+
+_OWN = "own as (select p_brand as brand, 'o' || p_partkey as name, (p_size * 1000)::bigint as size, coalesce(case when p_size % 4 <> 0 then p_type end, '-') as codec, case when p_size % 3 <> 0 then printf('%.2fx', p_size / 8.0) else '-' end as ratio, p_partkey % 5 as kind, p_size::bigint as s, ['raster', 'store', 'columnar', 'indexed', 'octree'][p_partkey % 5 + 1] as kind_name from part)"
+_B = "case when ({n}) < 1024 then printf('%d B', ({n})::bigint) when ({n}) < 1048576 then printf('%.1f KiB', round_even(({n}) / 1024.0, 1)) else printf('%.1f MiB', round_even(({n}) / 1048576.0, 1)) end"
+_TAIL = f" || ' | ' || {_B.format(n='size')} || ' | ' || codec || ' | ' || ratio || ' |'"
+
+
+@query(
+    f"with {_OWN} select brand, kind_name as kind, name, '| ' || name || ' | ' || case kind "
+    "when 0 then case when s > 25 then 'yes' else 'no' end || ' | 256x' || s * 8 || ' | ' || s % 5 || ' | ' || s * 3 || ' | ' || case when s % 2 = 0 then 'A, N' else '-' end "
+    "when 1 then '64x64 | 256x' || s * 10 || ' | ' || (4 * greatest(1, s * 10 // 64)) || ' | ' || s % 3 || ' | ' || s || ' | ' || case when s % 7 = 0 then 'unscaled by readers' || case when s % 2 = 0 then ' as int16' else '' end when s % 2 = 0 then 'int16' else '-' end || ' | ' || case when s % 4 > 0 then 'grid' || s % 4 else '-' end || ' | ' || case when s % 5 = 0 then '-' when s % 3 > 0 then s % 2 || ' native, ' || (s % 2 + 1) || ' to ' || (s % 2 + s % 3) || ' derived' else s % 2 || ' native' end "
+    "when 2 then 'geometry | ' || s * 11 || ' | ' || s || ' | 11 | ' || case when s % 2 = 1 then 'yes' else 'no' end "
+    f"when 3 then 'Point | ' || s * 7 || ' | ' || s % 3 || ' | ' || s % 4 || ' | ' || case when s > 40 then s % 2 else 0 end || ' | ' || case when s > 25 then 'yes' else 'no' end || ' | 16 | ' || {_B.format(n='case when s > 25 then s * 40 else 0 end')} || ' | ' || {_B.format(n='size - case when s > 25 then s * 40 else 0 end')} "
+    f"else s || ' | ' || s % 6 || ' | ' || s * 100 || ' | 100 | ' || case when s % 2 = 0 then 2 else 1 end end {_TAIL} as line from own"
+)
+def layout_cells(spark, d):
+    """A line for each object of each kind, by its own cells."""
+    rows = layout_records(spark, d)
+    out = None
+    for kind in layouts.TABLES:
+        one = layouts.cells(rows, kind, ["brand"])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(None)
+def layout_lines(spark, d):
+    """What the objects of each kind come to, by brand."""
+    rows = layout_records(spark, d)
+    out = None
+    for kind in layouts.TABLES:
+        one = layouts.totals(rows, kind, ["brand"])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_PER = "case when {w} > 0 then printf('%.1f %%', round_even(100.0 * {p} / {w}, 1)) else '-' end"
+ORACLE["layout_lines"] = f"with {_OWN}, g as (select brand, kind_name as kind, count(*) as n, sum(size) as b, sum(s) as s, count(*) filter (s > 25) as big, count(*) filter (s % 2 = 0) as even, count(distinct case when s % 4 > 0 then s % 4 end) as grids, coalesce(sum(case when s % 3 > 0 then s * 100 else 0 end), 0) as over, count(*) filter (s % 3 = 0) as flat, count(*) filter (s % 7 = 0) as unscaled, coalesce(sum(case when s > 25 then s * 40 else 0 end), 0) as ix, sum(s % 3) as dropped, count(*) filter (s % 3 > 0) as dropped_files, sum(s % 4) as made, count(*) filter (s % 4 > 0) as made_files, sum(case when s > 40 then s % 2 else 0 end) as placed, count(*) filter (s > 40 and s % 2 = 1) as placed_files from own group by all), l as (" + " union all ".join(
+    f"select brand, kind, {place} as place, {line} as line from g where kind = '{kind}' and {when}"
+    for kind, place, when, line in (
+        ("raster", 0, "true", "printf('* %d of %d objects are tiled, %d in strips', big, n, n - big)"),
+        ("raster", 1, "even > 0", "printf('* %d objects hold several components, a band each', even)"),
+        ("store", 0, "true", "printf('* %d shards in %d arrays', s::bigint, n)"),
+        ("store", 1, "grids > 0", "printf('* %d arrays share %d grids', n, grids)"),
+        ("store", 2, "over > 0", f"'* Overviews are ' || {_B.format(n='over')} || ' of ' || {_B.format(n='b')} || ', ' || {_PER.format(p='over', w='b')}"),
+        ("store", 2, "over = 0 and flat > 0", "'* Without overviews: far views read full-resolution chunks'"),
+        ("store", 3, "unscaled > 0", "printf('* %d arrays are scaled by their own codec', unscaled)"),
+        ("columnar", 0, "true", "printf('* %d of %d files have boxes by which row groups are skipped', n - even, n)"),
+        ("indexed", 0, "true", "printf('* %d of %d files have an index', big, n)"),
+        ("indexed", 1, "true", f"'* Indexes are ' || {_B.format(n='ix')} || ', ' || {_PER.format(p='ix', w='b')}"),
+        ("indexed", 2, "dropped_files > 0", "printf('* %d files lack %d features without geometry, so they aren''t the whole source', dropped_files, dropped::bigint)"),
+        ("indexed", 3, "made_files > 0", "printf('* %d files have %d geometries made from columns', made_files, made::bigint)"),
+        ("indexed", 4, "placed_files > 0", "printf('* %d files have %d geometries that only hold a place', placed_files, placed::bigint)"),
+        ("octree", 0, "true", "printf('* %d nodes in %d files', s::bigint, n)"),
+        ("octree", 1, "true", "'* Points carry ' || case when even > 0 then 'class, height' else 'height' end"),
+    )
+) + ") select * from l"
