@@ -28,6 +28,8 @@ def requested(metrics: DataFrame, names: list[str] | None) -> DataFrame:
 
 def timed_write(df: DataFrame, layout: str, path: str, given: Mapping | None = None, bytes_in: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(objects, metrics) of a table written below a folder: seconds, bytes out, throughput, and bytes in where they are known."""
+    import quarry.sources.stored  # noqa: F401  further layouts register there
+
     own = layouts.get(layout)
     options = options_of(own.options, given)
     began = time.perf_counter()
@@ -42,11 +44,11 @@ def timed_write(df: DataFrame, layout: str, path: str, given: Mapping | None = N
 
 
 def conversion(df: DataFrame, layout: str, path: str, given: Mapping | None = None, bytes_in: int | None = None, metrics: list[str] | None = None) -> dict[str, DataFrame]:
-    """A written layout and what there is to tell about it: objects, profile, layout, metrics, lines of the summary."""
+    """A written layout and what there is to tell about it: objects, profile, layout, records of it, metrics, lines of the summary."""
     objects, measured = timed_write(df, layout, path, given, bytes_in)
     measured = requested(measured, metrics)
     sizes = profile.size_profile(objects)
-    return {"objects": objects, "profile": sizes, "layout": layouts.get(layout).describe(df.sparkSession, path), "metrics": measured, "summary": report.summary(layout, path, sizes, measured)}
+    return {"objects": objects, "profile": sizes, "layout": layouts.get(layout).describe(df.sparkSession, path), "records": layouts.get(layout).records(df.sparkSession, path), "metrics": measured, "summary": report.summary(layout, path, sizes, measured)}
 
 
 def assemble_conditions(measured: DataFrame) -> DataFrame:

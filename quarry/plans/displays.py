@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+import quarry.sources.stored  # noqa: F401  layouts register there
 from quarry.operators import layouts, tiles
-from quarry.plans import views
+from quarry.plans import products, views  # noqa: F401  their SQL is used here
 from quarry.plans.queries import ORACLE, query
+from quarry.plans.tables import shared_dir
+from quarry.plans.views import with_views
+from quarry.sources.options import options_of
+from quarry.sources.registry import layouts as kinds
 
 
 def grids(spark, d):
@@ -130,6 +137,43 @@ def s25():
     return F.col("s") > 25
 
 
+@query(None)
+def layouts_written(spark, d):
+    """Records of what was written: features as columns and indexed, points in an octree, growing rasters as a store."""
+    from quarry.plans.products import _growing
+
+    base = f"{shared_dir(spark)}/quarry/layouts-{uuid.uuid4().hex}"
+    features = views.features(spark, d)
+    made = [
+        ("columnar", features.where("xmin is not null"), {"partitions": 2, "row_group_rows": 500}),
+        ("indexed", features, {"null_geometry": "drop", "node_size": 8}),
+        ("octree", views.points(spark, d), {"span": 4}),
+        ("store", _growing(spark, d).withColumn("pixel", F.when(F.col("component") == "A", 10.0).otherwise(30.0)), {"chunk": [32, 16], "shard": [64, 64], "levels": [30.0, 90.0]}),
+    ]
+    out = []
+    for name, df, options in made:
+        own = kinds.get(name)
+        own.write(df, f"{base}/{name}", options_of(own.options, options))
+        out.append(own.records(spark, f"{base}/{name}"))
+    rows = layouts.united(out)
+    told = {"columnar": ("features", "covering"), "indexed": ("features", "dropped", "index_bytes", "node_size"), "octree": ("nodes", "depth", "points", "node_points"), "store": ("levels", "shards", "native_level")}
+    pairs = F.array(*[F.when(F.col("kind") == kind, F.struct(F.lit(n).alias("detail"), layouts.detail(n, "string").alias("value"))) for kind, names in told.items() for n in names])
+    shown = rows.select("kind", F.when(F.col("kind") == "store", F.col("name")).alias("array"), F.explode(F.array_compact(pairs)).alias("p")).select("kind", "array", "p.*")
+    # Files are as many as ranges turn out to be, so what they hold counts together.
+    files = shown.where("kind = 'columnar'").groupBy("kind", "array", "detail").agg(F.when(F.col("detail") == "features", F.sum(F.col("value").try_cast("long")).cast("string")).otherwise(F.max("value")).alias("value"))
+    return shown.where("kind <> 'columnar'").unionByName(files)
+
+
+_SHARDS = "select component, level, count(distinct row((\"row\" // 32) // 2, (col // 16) // 4)) as shards from ({of}) group by component, level"
+ORACLE["layouts_written"] = (
+    with_views("", "features").rstrip()
+    + f", kept as (select count(*) filter (xmin is not null) as n, count(*) filter (xmin is null) as dropped from features), pyr as ({ORACLE['pyramid_bundle']}), s as ({_SHARDS.format(of='select * from pyr')}), o as ({ORACLE['octree_node_counts']}), depth(n, total) as (select n, n from kept union all select ceil(n / 8.0)::bigint, total + ceil(n / 8.0)::bigint from depth where n > 1) "
+    "select kind, \"array\", detail, value::varchar as value from (select 'columnar' as kind, null::varchar as \"array\", 'features' as detail, n::varchar as value from kept union all select 'columnar', null, 'covering', 'true' union all select 'indexed', null, 'features', n::varchar from kept union all select 'indexed', null, 'dropped', dropped::varchar from kept union all select 'indexed', null, 'node_size', '8' union all select 'indexed', null, 'index_bytes', (max(total) * 40)::varchar from depth "
+    "union all select 'octree', null, 'nodes', sum(nodes)::bigint::varchar from o union all select 'octree', null, 'points', sum(points)::bigint::varchar from o union all select 'octree', null, 'depth', max(depth)::varchar from o union all select 'octree', null, 'node_points', max(max_node_points)::varchar from o "
+    "union all select 'store', component, 'shards', sum(shards)::bigint::varchar from s group by component union all select 'store', component, 'levels', (count(*) - 1)::varchar from s group by component union all select 'store', component, 'native_level', min(level)::varchar from s group by component)"
+).replace("with ", "with recursive ", 1)
+
+
 _OWN = "own as (select p_brand as brand, 'o' || p_partkey as name, (p_size * 1000)::bigint as size, coalesce(case when p_size % 4 <> 0 then p_type end, '-') as codec, case when p_size % 3 <> 0 then printf('%.2fx', p_size / 8.0) else '-' end as ratio, p_partkey % 5 as kind, p_size::bigint as s, ['raster', 'store', 'columnar', 'indexed', 'octree'][p_partkey % 5 + 1] as kind_name from part)"
 _B = "case when ({n}) < 1024 then printf('%d B', ({n})::bigint) when ({n}) < 1048576 then printf('%.1f KiB', round_even(({n}) / 1024.0, 1)) else printf('%.1f MiB', round_even(({n}) / 1048576.0, 1)) end"
 _TAIL = f" || ' | ' || {_B.format(n='size')} || ' | ' || codec || ' | ' || ratio || ' |'"

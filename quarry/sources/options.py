@@ -8,6 +8,7 @@ from enum import Enum
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.operators import catalog  # noqa: F401  the readers register there
 from quarry.sources.registry import layouts, readers
@@ -116,6 +117,24 @@ class Store:
         return isinstance(self.levels, (int, float)) and not isinstance(self.levels, bool) and self.levels == 0
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Levers of an octree: cells of a node along each axis, and its greatest depth."""
+
+    span: int = 128
+    most_depth: int = 21
+
+
+@dataclass(frozen=True)
+class Indexed:
+    """Levers of an indexed file: features of a node, and what is done with features without geometry."""
+
+    node_size: int = 16
+    null_geometry: str = "error"
+    lon: str | None = None
+    lat: str | None = None
+
+
 def options_of(kind: type, given: Mapping | None):
     """The options object of a mapping, with defaults for what isn't given."""
     known = [f.name for f in fields(kind)]
@@ -132,7 +151,7 @@ def read(reader: str, listing: DataFrame, given: Mapping | None = None) -> DataF
 
 
 class Layout(Protocol):
-    """What a layout gives: its kind, its options, a writer, and a description of what lies below a folder."""
+    """What a layout gives: its kind, its options, a writer, a description of what lies below a folder, and its layout records."""
 
     kind: Kind
     options: type
@@ -141,6 +160,8 @@ class Layout(Protocol):
 
     def describe(self, spark, path: str) -> DataFrame: ...
 
+    def records(self, spark, path: str) -> DataFrame: ...
+
 
 class ColumnarLayout:
     """Features as Parquet along the Hilbert curve."""
@@ -157,5 +178,14 @@ class ColumnarLayout:
 
         return parquet_layout(spark, path)
 
+    def records(self, spark, path: str) -> DataFrame:
+        """A record for each file."""
+        from quarry.operators.layouts import records
+
+        boxes = {"xmin", "ymin", "xmax", "ymax"} <= set(spark.read.parquet(path).columns)
+        ratio = F.when(F.col("size") > 0, F.col("uncompressed_bytes") / F.col("size"))
+        files = self.describe(spark, path).select(F.element_at(F.split("uri", "/"), -1).alias("name"), "size", "codec", ratio.alias("ratio"), F.col("rows").alias("features"), "row_groups", F.col("max_group_rows").alias("group_rows"), F.lit(boxes).alias("covering"))
+        return records(files, "columnar")
+
 
 layouts.register("columnar", ColumnarLayout())

@@ -47,3 +47,33 @@ def test_report(rows):
     at = got.index("## Tiling")
     assert got[at + 1 : at + 8] == ["", "* 1 of 2 objects are tiled, 1 in strips", "* 1 objects hold several components, a band each", "", "| name | tiled | block | overviews | tiles | bands | size | codec | ratio |", "| --- | --- | --- | --- | --- | --- | --- | --- | --- |", "| a | yes | 256x256 | 2 | 64 | x, y | 2.0 KiB | - | - |"]
     assert layouts.report(rows.limit(0)).count() == 0
+
+
+def test_written_layouts(spark, tmp_path):
+    """Records of what each layout wrote, and the data back."""
+    from quarry.operators import run
+    from quarry.sources import stored  # noqa: F401
+    from quarry.sources.options import Kind
+    from quarry.sources.registry import layouts as kinds
+
+    assert kinds.names() == ["columnar", "indexed", "octree", "store"] and kinds.get("store").kind is Kind.STORE
+    cells = spark.createDataFrame([(c, i, j, float(i * j) if i != j else -1.0) for c, n in (("a", 12), ("b", 4)) for i in range(n) for j in range(n)], "component string, row int, col int, value double").withColumn("pixel", F.expr("if(component = 'a', 1.0, 3.0)"))
+    kinds.get("store").write(cells, str(tmp_path / "s"), kinds.get("store").options(chunk=4, shard=[8, 4], levels=[3.0, 6.0]))
+    got = {r.name: r for r in kinds.get("store").records(spark, str(tmp_path / "s")).select("name", "size", *[layouts.detail(n, t).alias(n) for n, t in (("levels", "int"), ("shards", "long"), ("native_level", "int"), ("overview_bytes", "long"), ("chunk", "array<int>"), ("shard", "array<int>"))]).collect()}
+    # a: 12 x 12 in 2 x 3 shards, 4 x 4 and 2 x 2 in one each; b: 4 x 4 and 2 x 2.
+    assert (got["a"].levels, got["a"].shards, got["a"].native_level, got["a"].chunk, got["a"]["shard"]) == (2, 8, 0, [4, 4], [8, 4])
+    assert (got["b"].levels, got["b"].shards, got["b"].native_level) == (1, 2, 1) and 0 < got["a"].overview_bytes < got["a"]["size"]
+    back = spark.read.parquet(str(tmp_path / "s/arrays")).where("component = 'a' and level = 0").select("chunk_row", "chunk_col", F.explode("cells").alias("c"))
+    assert {(r.chunk_row * 4 + r.c.row, r.chunk_col * 4 + r.c.col): r.c.value for r in back.collect()} == {(r.row, r.col): r.value for r in cells.where("component = 'a'").collect()}
+    kinds.get("store").write(cells.where("component = 'b'"), str(tmp_path / "f"), kinds.get("store").options(chunk=2, levels=0))
+    assert kinds.get("store").records(spark, str(tmp_path / "f")).select(layouts.detail("levels", "int"), layouts.detail("shards", "int")).first() == (0, 1)
+    features = spark.createDataFrame([(k, *((None,) * 4 if k % 5 == 0 else (float(k), 0.0, k + 1.0, 1.0)), float(k), 2.0) for k in range(100)], "id int, xmin double, ymin double, xmax double, ymax double, lon double, lat double")
+    for policy, n in (("drop", (80, 20, 0, 0)), ("point_from", (100, 0, 20, 0)), ("sentinel", (100, 0, 0, 20))):
+        kinds.get("indexed").write(features, str(tmp_path / policy), kinds.get("indexed").options(null_geometry=policy, lon="lon", lat="lat"))
+        assert tuple(kinds.get("indexed").records(spark, str(tmp_path / policy)).select(*[layouts.detail(c, "long") for c in ("features", "dropped", "made", "placed")]).first()) == n
+    with pytest.raises(ValueError, match="have no geometry"):
+        kinds.get("indexed").write(features, str(tmp_path / "e"), kinds.get("indexed").options())
+    cloud = spark.createDataFrame([(k, k * 0.1, k * 0.2, 0.0, k % 3, "x") for k in range(50)], "pid long, x double, y double, z double, cls int, depth string")
+    out = run.conversion(cloud, "octree", str(tmp_path / "o"), {"span": 2})
+    assert out["records"].select(layouts.detail("points", "long"), layouts.detail("carried", "array<string>")).first() == (50, ["cls", "depth"])
+    assert out["profile"].first().object_count > 0
