@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.names import free_names
 from quarry.functions.uri import base_name, cloud_address, stem_without
 from quarry.sources.registry import readers
 
@@ -101,9 +102,10 @@ def bundles(components: DataFrame, groups: dict[str, Sequence[str]] | bool | Non
     if not groups:
         return components.withColumn("bundle", F.lit(None).cast("string"))
     if groups is True:
-        from pyspark.sql import Window
-
-        return components.withColumn("bundle", F.when(F.count("*").over(Window.partitionBy("product")) > 1, F.lit("all")))
+        (several,) = free_names(components, "several")
+        # Products of one component are found by a count, so no task sorts all components of a product.
+        more = components.groupBy(F.col("product").alias(several)).agg(F.count("*").alias(f"{several}_n")).where(F.col(f"{several}_n") > 1)
+        return components.join(more, F.col("product").eqNullSafe(F.col(several)), "left").select(*components.columns, F.when(F.col(f"{several}_n").isNotNull(), F.lit("all")).alias("bundle"))
     named = {n for g in groups.values() for n in g}
     known = {r[0] for r in components.where(F.col("component").isin(sorted(named))).select("component").distinct().collect()}
     if missing := named - known:

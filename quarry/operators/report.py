@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.uri import format_bytes
+from quarry.operators.order import numbered
 from quarry.operators.profile import tiers_fit
 
 
@@ -19,7 +20,7 @@ def product_rows(profiles: DataFrame) -> DataFrame:
 def condition_rows(statistics: DataFrame) -> DataFrame:
     """(place, line) for each phase, cache, concurrency and metric."""
     how = F.when(F.col("concurrency") == 1, F.lit("isolated")).otherwise(F.format_string("concurrent (%d)", "concurrency"))
-    line = F.format_string("| %s | %s | %s | %s | %d | %.6f | %.6f |", "phase", "cache", how, "metric", "replicates", "mean", "spread")
+    line = F.format_string("| %s | %s | %s | %s | %d | %.6f | %.6f |", "phase", "cache", how, "metric", "replicates", F.bround("mean", 6), F.bround("spread", 6))
     return statistics.select(F.struct("phase", "cache", "concurrency", "metric").alias("place"), line.alias("line"))
 
 
@@ -77,13 +78,10 @@ def write_product_set(lines: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, title: str, header: list[str]) -> DataFrame:
-    """(line_no, line) of a section; rows are one each of products or conditions, not of objects."""
-    from pyspark.sql import Window
-
-    spark = rows.sparkSession
+    """(line_no, line) of a section; rows (place, line) are one each of products or conditions, numbered by ranges."""
     top = [f"## {title}", "", "| " + " | ".join(header) + " |", "|" + " --- |" * len(header)]
-    head = spark.createDataFrame([(k, x) for k, x in enumerate(top)], "line_no int, line string")
-    body = rows.select((F.row_number().over(Window.orderBy("place")) + len(top) - 1).alias("line_no"), "line")
+    head = rows.sparkSession.createDataFrame([(k, x) for k, x in enumerate(top)], "line_no int, line string")
+    body = numbered(rows.select("place", "line"), ["place", "line"], name="at").select((F.col("at") + len(top)).cast("int").alias("line_no"), "line")
     return head.unionByName(body)
 
 

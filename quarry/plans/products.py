@@ -147,6 +147,54 @@ ORACLE["pyramid_bundle"] = (
 )
 
 
+@query('with c as (select l_partkey as "row", l_suppkey as col, l_returnflag as component, case when (l_partkey // p + l_suppkey // p) % 7 = 0 then 1 else 0 end as odd, l_quantity from (select *, case when l_returnflag = \'A\' then 1 else 3 end as p from lineitem)), x as (select "row", col, avg(l_quantity) as value from c where component = \'A\' group by all), side as (select max("row") + 1 as r, max(col) + 1 as c from x), w as (select k, (r - 50) * k // 8 as r0, greatest(0, c - 20) * k // 8 as c0 from side, range(8) t(k)) select k::int as "window", count(*) as cells, round(sum(case when ("row" + col) % 7 = 0 then -10000.0 else value end), 6) as total from w join x on "row" >= r0 and "row" < r0 + 50 and col >= c0 and col < c0 + 20 group by k')
+def window_read_growing(spark, d):
+    """Eight windows down the diagonal of a raster as large as the table's keys."""
+    cells = _growing(spark, d).where("component = 'A'").drop("component")
+    r, c = cells.agg(F.max("row") + 1, F.max("col") + 1).first()
+    windows = [(k, (r - 50) * k // 8, max(0, c - 20) * k // 8, 50, 20) for k in range(8)]
+    return rounded(raster.window_reads(cells, windows).groupBy("window").agg(F.count("*").alias("cells"), F.sum("value").alias("total")))
+
+
+_SOURCES = "select l_linenumber as ordinal, l_partkey as \"row\", l_suppkey as col, max(case when (l_partkey + l_suppkey + l_linenumber) % 5 = 0 then -1.0 else l_quantity end)::double as value from lineitem group by all"
+
+
+def _sources(spark, d):
+    """Seven sources on one grid as large as the table's keys."""
+    there = F.when((F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % 5 == 0, -1.0).otherwise(F.col("l_quantity").cast("double"))
+    return views.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.max(there).alias("value"))
+
+
+@query(f'select "row", col, arg_max(value, ordinal) as value from ({_SOURCES}) where value <> -1 group by all')
+def mosaic_growing(spark, d):
+    """Later sources over earlier ones where they have data."""
+    return raster.mosaic(_sources(spark, d), -1.0)
+
+
+@query(f'select "row", col, ' + ", ".join(f'max(value) filter (ordinal = {k}) as "{k}"' for k in range(1, 8)) + f" from ({_SOURCES}) group by all")
+def stack_growing(spark, d):
+    """A band for each source."""
+    return raster.stack(_sources(spark, d).withColumnRenamed("ordinal", "band"), list(range(1, 8)))
+
+
+@query(f'select "row" // 16 // 4 as shard_row, col // 16 // 4 as shard_col, count(*) as chunks, count(*) * 2048 as size from (select "row" // 16 * 16 as "row", col // 16 * 16 as col from ({_SOURCES}) where ordinal = 1 group by 1, 2 having count(*) filter (value <> -1) > 0) group by all')
+def shards_growing(spark, d):
+    """Objects of the first source as a store: chunks of 16 x 16, 4 x 4 of them a shard."""
+    return raster.shard_objects(_sources(spark, d).where("ordinal = 1"), 16, 4, 8, -1.0)
+
+
+@query("select l_returnflag, l_linestatus, count(*) as reads, round(avg(l_quantity), 6) as mean, round(median(l_quantity), 6) as p50, round(stddev_pop(l_quantity), 6) as spread, round(sum(l_linenumber * 24) / sum(l_quantity), 6) as throughput, sum(l_linenumber)::bigint as l_linenumber from lineitem group by all")
+def point_read_summary(spark, d):
+    """Reads of points: how many came, 24 bytes each."""
+    return rounded(measure.latency_summary(views.table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice", "l_linenumber", points.POINT_BYTES))
+
+
+@query("select l_linestatus, count(*) as reads, round(avg(l_quantity), 6) as mean, round(median(l_quantity), 6) as p50, round(stddev_pop(l_quantity), 6) as spread, round(sum(l_extendedprice) / sum(l_quantity), 6) as throughput, sum(l_linenumber)::bigint as l_linenumber from lineitem group by all")
+def feature_read_summary(spark, d):
+    """Reads of features: how many came, and the bytes that they hold."""
+    return rounded(measure.latency_summary(views.table(spark, d, "lineitem"), ["l_linestatus"], "l_quantity", "l_extendedprice", "l_linenumber"))
+
+
 # Mosaics and stacks.
 
 
@@ -282,10 +330,15 @@ def condition_assembly(spark, d):
     return rounded(flat.select("phase", "cache", "concurrency", "replicate", F.col("m.key").alias("metric"), F.col("m.value").alias("value"), "error"))
 
 
-@query("select '| ' || metric || ' | ' || cache || ' | ' || case concurrency when 1 then 'isolated' else 'concurrent (' || concurrency || ')' end || ' | n | ' || count(*) || ' | 1.000000 | 0.500000 |' as line from measurements group by metric, cache, concurrency", "measurements")
+@query(None)
 def condition_lines(spark, d):
-    own = views.measurements(spark, d).groupBy(F.col("metric").alias("phase"), "cache", "concurrency").agg(F.count("*").alias("replicates"))
-    return report.condition_rows(own.withColumns({"metric": F.lit("n"), "mean": F.lit(1.0), "spread": F.lit(0.5)})).select("line")
+    """Lines of all conditions, from the statistics over their replicates."""
+    merged = measure.merge_workers(views.measurements(spark, d), _KEYS)
+    figures = measure.replicate_statistics(merged.withColumn("phase", F.lit("read")), ["phase", "cache", "concurrency", "metric"])
+    return report.condition_rows(figures).select("line")
+
+
+ORACLE["condition_lines"] = with_views("", "measurements").rstrip() + f", {_MERGED} select '| read | ' || cache || ' | ' || case concurrency when 1 then 'isolated' else 'concurrent (' || concurrency || ')' end || ' | ' || metric || ' | ' || count(*) || ' | ' || printf('%.6f', round_even(avg(value), 6)) || ' | ' || printf('%.6f', round_even(stddev_pop(value), 6)) || ' |' as line from merged group by cache, concurrency, metric"
 
 
 @query("select '* ' || doc_id || case when doc_id % 4 = 0 then ': skipped (' || case when doc_id % 8 = 0 then 'no reason given' else lang end || ')' else ': /a/' || source end as line from documents")
@@ -354,7 +407,7 @@ _SIZE = "case when {n} < 1024 then printf('%d B', ({n})::bigint) when {n} < 1048
 ORACLE["product_run_report"] = _RUN.format(sample="metric in ('click', 'view')", products="doc_id % 5 <= 3", w_products="container % 5 <= 3", e_products="product <= 3") + (
     ", t as (select (3 + row_number() over (order by is_rollup, product))::int as line_no, '| ' || case when is_rollup then '**all products**' else product end || ' | ' || object_count || ' | ' || "
     + " || ' | ' || ".join(_SIZE.format(n=f"trunc({c})::bigint") for c in ("total_bytes", "mean_bytes", "p95_bytes"))
-    + " || ' |' as line from p), l as (select (3 + row_number() over (order by cache, concurrency, metric))::int as line_no, '| read | ' || cache || ' | ' || case concurrency when 1 then 'isolated' else 'concurrent (' || concurrency || ')' end || ' | ' || metric || ' | ' || replicates || ' | ' || printf('%.6f', mean) || ' | ' || printf('%.6f', spread) || ' |' as line from c where is_rollup and replicates > 0) "
+    + " || ' |' as line from p), l as (select (3 + row_number() over (order by cache, concurrency, metric))::int as line_no, '| read | ' || cache || ' | ' || case concurrency when 1 then 'isolated' else 'concurrent (' || concurrency || ')' end || ' | ' || metric || ' | ' || replicates || ' | ' || printf('%.6f', round_even(mean, 6)) || ' | ' || printf('%.6f', round_even(spread, 6)) || ' |' as line from c where is_rollup and replicates > 0) "
     "select 0 as part, line_no, line from t union all select 0, i, v from (values (0, '## Products'), (1, ''), (2, '| product | objects | total | mean | p95 |'), (3, '| --- | --- | --- | --- | --- |')) h(i, v) union all select 1, line_no, line from l union all select 1, i, v from (values (0, '## Conditions over all products'), (1, ''), (2, '| phase | cache | run | metric | replicates | mean | spread |'), (3, '| --- | --- | --- | --- | --- | --- | --- |')) h(i, v) union all select 2, i, v from (values (0, '## Skipped'), (1, ''), (2, '| phase | cache | concurrency | reason |'), (3, '| --- | --- | --- | --- |')) h(i, v)"
 )
 

@@ -143,11 +143,24 @@ def options_of(kind: type, given: Mapping | None):
     return kind(**(given or {}))
 
 
+class Reader(Protocol):
+    """What a reader is: a function of a listing and its options that gives components, each with its ``product``, ``component`` and where it lies (``uri``)."""
+
+    def __call__(self, listing: DataFrame, **options) -> DataFrame: ...
+
+
+#: Columns that every reader gives.
+COMPONENT = ("uri", "product", "component")
+
+
 def read(reader: str, listing: DataFrame, given: Mapping | None = None) -> DataFrame:
     """Components of a listing by a registered reader with checked options."""
     f = readers.get(reader)
     made = options_of(OPTIONS.get(reader, Nothing), given)
-    return f(listing, **{x.name: getattr(made, x.name) for x in fields(made)})
+    out = f(listing, **{x.name: getattr(made, x.name) for x in fields(made)})
+    if missing := set(COMPONENT) - set(out.columns):
+        raise TypeError(f"reader {reader} gives no {', '.join(sorted(missing))}")
+    return out
 
 
 class Layout(Protocol):
