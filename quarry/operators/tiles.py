@@ -69,20 +69,33 @@ def tiles_of(grids: DataFrame) -> DataFrame:
     return grids.withColumn("x", F.explode(x)).repartition("grid", "z", "x").withColumn("y", F.explode(y))
 
 
+def _once(value: Column, then) -> Column:
+    """A function of a value that is worked out once, however often the function names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def pixel_window(z: Column, x: Column, y: Column) -> Column:
     """Window of a tile in pixels of its row's grid, from the tile's four corners through the inverse of the affine: clipped, null if disjoint, and whether all of the tile is inside."""
-    b, a = tile_bounds(z, x, y), F.col("affine")
-    degrees = F.col("crs") == "EPSG:4326"
-    xs = [F.when(degrees, longitude(b[k])).otherwise(b[k]) - a[2] for k in ("xmin", "xmax")]
-    ys = [F.when(degrees, latitude(b[k])).otherwise(b[k]) - a[5] for k in ("ymin", "ymax")]
+    a, degrees = F.col("affine"), F.col("crs") == "EPSG:4326"
     area = a[0] * a[4] - a[1] * a[3]
-    cols = F.array(*[(a[4] * u - a[1] * v) / area for u in xs for v in ys])
-    rows = F.array(*[(a[0] * v - a[3] * u) / area for u in xs for v in ys])
-    low = lambda v: F.greatest(F.array_min(v), F.lit(0.0))
-    high = lambda v, n: F.least(F.array_max(v), F.col(n).cast("double"))
-    inside = (F.array_min(cols) >= -SLACK) & (F.array_max(cols) <= F.col("cols") + SLACK) & (F.array_min(rows) >= -SLACK) & (F.array_max(rows) <= F.col("rows") + SLACK)
-    window = F.struct(low(cols).alias("c0"), low(rows).alias("r0"), high(cols, "cols").alias("c1"), high(rows, "rows").alias("r1"), inside.alias("interior"))
-    return F.when((high(cols, "cols") > low(cols)) & (high(rows, "rows") > low(rows)), window)
+
+    def corners(b: Column) -> Column:
+        us = [F.when(degrees, longitude(b[k])).otherwise(b[k]) - a[2] for k in ("xmin", "xmax")]
+        vs = [F.when(degrees, latitude(b[k])).otherwise(b[k]) - a[5] for k in ("ymin", "ymax")]
+        return _once(F.struct(*[u.alias(f"u{k}") for k, u in enumerate(us)], *[v.alias(f"v{k}") for k, v in enumerate(vs)]), places)
+
+    def places(t: Column) -> Column:
+        at = [(t[u], t[v]) for u in ("u0", "u1") for v in ("v0", "v1")]
+        cols, rows = F.array(*[(a[4] * u - a[1] * v) / area for u, v in at]), F.array(*[(a[0] * v - a[3] * u) / area for u, v in at])
+        return _once(F.struct(cols.alias("cols"), rows.alias("rows")), lambda p: _once(F.struct(F.array_min(p["cols"]).alias("c0"), F.array_max(p["cols"]).alias("c1"), F.array_min(p["rows"]).alias("r0"), F.array_max(p["rows"]).alias("r1")), clipped))
+
+    def clipped(p: Column) -> Column:
+        inside = (p["c0"] >= -SLACK) & (p["c1"] <= F.col("cols") + SLACK) & (p["r0"] >= -SLACK) & (p["r1"] <= F.col("rows") + SLACK)
+        c0, r0 = (F.greatest(p[k], F.lit(0.0)) for k in ("c0", "r0"))
+        c1, r1 = (F.least(p[k], F.col(n).cast("double")) for k, n in (("c1", "cols"), ("r1", "rows")))
+        return F.when((c1 > c0) & (r1 > r0), F.struct(c0.alias("c0"), r0.alias("r0"), c1.alias("c1"), r1.alias("r1"), inside.alias("interior")))
+
+    return _once(tile_bounds(z, x, y), corners)
 
 
 def chunk_count(window: Column, block: Column, decimation: Column, block_cols: Column | None = None) -> Column:
@@ -94,7 +107,9 @@ def chunk_count(window: Column, block: Column, decimation: Column, block_cols: C
 
 def counted(tiles: DataFrame, decimation: Column, *keep: str) -> DataFrame:
     """(grid, keep, z, x, y, decimation, interior, chunks) of the tiles that overlap their grid."""
-    seen = tiles.withColumns({"window": pixel_window(F.col("z"), F.col("x"), F.col("y")), "decimation": decimation}).where(F.col("window").isNotNull())
+    # Tiles without a window go where windows are unpacked: a filter would work each window out anew.
+    window = F.filter(F.array(pixel_window(F.col("z"), F.col("x"), F.col("y"))), lambda w: w.isNotNull())
+    seen = tiles.select("grid", *keep, "z", "x", "y", "block_rows", "block_cols", decimation.alias("decimation"), F.explode(window).alias("window"))
     return seen.select("grid", *keep, "z", "x", "y", "decimation", F.col("window.interior").alias("interior"), chunk_count(F.col("window"), F.col("block_rows"), F.col("decimation"), F.col("block_cols")).alias("chunks"))
 
 
