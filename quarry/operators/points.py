@@ -5,13 +5,18 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.names import free_name
+from quarry.operators.ladders import small
 from quarry.operators.spatial import MOST_BOXES
 
 MOST_DEPTH = 21
+#: Points of a node whose subtree one task works out: some 20 MB.
+LOCAL = 200_000
 POINT_BYTES = 24
 
 
@@ -43,28 +48,69 @@ def voxel_representatives(points: DataFrame, span: int) -> DataFrame:
     return points.groupBy(voxel(root_cube(points), span).alias("cell")).agg(F.min("pid").alias("pid"))
 
 
-def _placed(points: DataFrame, row: str, cube: tuple[float, float, float, float], span: int, most_depth: int, cut) -> DataFrame:
-    """(row, depth, nx, ny, nz) of points (row, pid, x, y, z), which are told apart by their row."""
+PLACED = "row long, pid long, depth int, nx long, ny long, nz long"
+
+
+def _finished(points: pa.Table, depth: int, cube: tuple[float, float, float, float], span: int, most_depth: int) -> pa.Table:
+    """PLACED rows of all points of some nodes of a depth, and of the nodes below them, level by level in numpy."""
+    of = {c: points[c].to_numpy() for c in ("row", "pid", "x", "y", "z", "nx", "ny", "nz")}
+    low, size, out = cube[:3], cube[3] / 2**depth, []
+    while len(of["row"]):
+        cells = [np.minimum(np.floor((of[c] - (x0 + of[n] * size)) / size * span), span - 1).astype(np.int64) for c, n, x0 in zip("xyz", ("nx", "ny", "nz"), low, strict=True)]
+        cell = (cells[0] * span + cells[1]) * span + cells[2]
+        keys = (of["row"], of["pid"], cell, of["nz"], of["ny"], of["nx"])
+        order = np.lexsort(keys)
+        moved = lambda ks: np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in ks], axis=0)])  # noqa: B023, E731
+        begins = np.flatnonzero(moved(keys[3:]))
+        n = np.repeat(np.diff(np.append(begins, len(order))), np.diff(np.append(begins, len(order))))
+        kept = np.zeros(len(order), bool)
+        kept[order] = moved(keys[2:]) | (n <= span**3) | (depth == most_depth)
+        out.append(pa.table({**{c: of[c][kept] for c in ("row", "pid")}, "depth": np.full(int(kept.sum()), depth, np.int32), **{c: of[c][kept] for c in ("nx", "ny", "nz")}}))
+        for c, k, x0 in zip("xyz", ("nx", "ny", "nz"), low, strict=True):
+            of[k] = 2 * of[k] + (of[c] >= x0 + of[k] * size + size / 2)
+        of = {c: v[~kept] for c, v in of.items()}
+        depth, size = depth + 1, size / 2
+    return pa.concat_tables(out)
+
+
+def _placed(points: DataFrame, row: str, cube: tuple[float, float, float, float], span: int, most_depth: int, cut, local: int) -> DataFrame:
+    """(row, pid, depth, nx, ny, nz) of points (row, pid, x, y, z), which are told apart by their row.
+
+    Nodes of more than ``local`` points are split over all tasks, a level at a time; a
+    smaller one goes to one task with its points, which finishes all that lies below it.
+    """
     x0, y0, z0, side = cube
-    left = points.select(F.col(row).alias("row"), "pid", "x", "y", "z", *[F.lit(0).cast("long").alias(n) for n in ("nx", "ny", "nz")])
-    out, size, key = None, side, ["nx", "ny", "nz"]
+    key = ["nx", "ny", "nz"]
+    left = points.select(F.col(row).cast("long").alias("row"), F.col("pid").cast("long").alias("pid"), "x", "y", "z", *[F.lit(0).cast("long").alias(n) for n in key])
+    out, pending, size = [], [], side
     for depth in range(most_depth + 1):
-        cell = lambda c, n, low, s=size: F.least(F.floor((F.col(c) - (F.lit(low) + F.col(n) * s)) / s * span), F.lit(span - 1)).cast("long")
-        left = left.withColumn("cell", (cell("x", "nx", x0) * span + cell("y", "ny", y0)) * span + cell("z", "nz", z0))
-        # The first point of each voxel and the number of its points; a node's points are the sum over its voxels.
-        first = left.groupBy(*key, "cell").agg(F.min(F.struct("pid", "row")).alias("first"), F.count("*").alias("n"))
-        nodes = first.groupBy(*key).agg(F.sum("n").alias("in_node"))
-        marks = first.join(nodes, key).select(*key, "cell", F.col("first.row").alias("first_row"), "in_node")
-        whole = F.col("in_node") <= span**3 if depth < most_depth else F.lit(True)
-        marked = cut(left.join(marks, [*key, "cell"]).withColumn("kept", whole | (F.col("row") == F.col("first_row"))).drop("cell", "first_row", "in_node"), f"octree-{depth}")
-        level = marked.where("kept").select("row", "pid", F.lit(depth).alias("depth"), *key)
-        out = level if out is None else out.unionByName(level)
-        rest, half = marked.where("not kept").drop("kept"), size / 2
-        if rest.isEmpty():
+        large = None
+        if depth < most_depth:
+            # No more than the points over ``local``.
+            large = cut(left.groupBy(*key).agg(F.count("*").alias("in_node")).where(F.col("in_node") > max(local, span**3)), f"octree-nodes-{depth}").select(*key)
+            large = None if large.isEmpty() else small(large)
+        few = left if large is None else left.join(large, key, "left_anti")
+        if depth == most_depth or span**3 >= local:  # these are whole
+            out.append(few.select("row", "pid", F.lit(depth).alias("depth"), *key))
+        else:
+            pending.append(few.withColumn("depth", F.lit(depth)))
+        if large is None:
             break
+        cell = lambda c, n, low, s=size: F.least(F.floor((F.col(c) - (F.lit(low) + F.col(n) * s)) / s * span), F.lit(span - 1)).cast("long")
+        split = left.join(large, key, "left_semi").withColumn("cell", (cell("x", "nx", x0) * span + cell("y", "ny", y0)) * span + cell("z", "nz", z0))
+        first = split.groupBy(*key, "cell").agg(F.min(F.struct("pid", "row")).alias("first")).select(*key, "cell", F.col("first.row").alias("first_row"))
+        marked = cut(split.join(first, [*key, "cell"]).withColumn("kept", F.col("row") == F.col("first_row")).drop("cell", "first_row"), f"octree-{depth}")
+        out.append(marked.where("kept").select("row", "pid", F.lit(depth).alias("depth"), *key))
+        rest, half = marked.where("not kept"), size / 2
         child = lambda c, n, low, s=size, h=half: (2 * F.col(n) + (F.col(c) >= F.lit(low) + F.col(n) * s + h).cast("long")).alias(n)
         left, size = rest.select("row", "pid", "x", "y", "z", child("x", "nx", x0), child("y", "ny", y0), child("z", "nz", z0)), half
-    return out
+
+    def finish(at: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return _finished(rows, at[0].as_py(), cube, span, most_depth)
+
+    if pending:
+        out.append(reduce(DataFrame.unionByName, pending).groupBy("depth", *key).applyInArrow(finish, PLACED))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _numbered_rows(points: DataFrame, row: str, cut) -> DataFrame:
@@ -73,18 +119,19 @@ def _numbered_rows(points: DataFrame, row: str, cut) -> DataFrame:
     return cut(whole.withColumns({row: F.monotonically_increasing_id(), **{c: F.col(c).cast("double") for c in "xyz"}}), "octree-points")
 
 
-def octree(points: DataFrame, span: int = 128, most_depth: int = MOST_DEPTH, checkpoint=None) -> DataFrame:
+def octree(points: DataFrame, span: int = 128, most_depth: int = MOST_DEPTH, checkpoint=None, local: int = LOCAL) -> DataFrame:
     """(pid, depth, node) of every point, each in one node.
 
     Level by level: a node of at most span**3 points, or at the greatest depth, keeps
     them all; another keeps the first point of each voxel and hands the rest to its
     octants.  ``checkpoint`` (a function of DataFrame and name) cuts the lineage of a
-    level; by default ``DataFrame.checkpoint`` does.
+    level; by default ``DataFrame.checkpoint`` does.  What lies below a node of at most
+    ``local`` points is worked out by one task.
     """
     cut = checkpoint or (lambda df, name: df.checkpoint())
     points = finite(points).select("pid", "x", "y", "z")
     cube = root_cube(points)
-    placed = _placed(_numbered_rows(points, "row", cut), "row", cube, span, most_depth, cut)
+    placed = _placed(_numbered_rows(points, "row", cut), "row", cube, span, most_depth, cut, local)
     return placed.select("pid", "depth", F.concat_ws("-", "depth", "nx", "ny", "nz").alias("node"))
 
 
@@ -132,7 +179,7 @@ def _part(depth: str, key: tuple[str, str, str]) -> Column:
     return (F.col(depth) * 100 + F.when(level > 0, octants).otherwise(0)).cast("int")
 
 
-def write_octree(points: DataFrame, path: str, span: int = 128, most_depth: int = MOST_DEPTH, checkpoint=None) -> None:
+def write_octree(points: DataFrame, path: str, span: int = 128, most_depth: int = MOST_DEPTH, checkpoint=None, local: int = LOCAL) -> None:
     """Points with all their columns in folders of ``points`` by depth and place, in node order, and a table ``nodes`` of the nodes with the boxes about their points.
 
     Every finite point is written once, points of one pid or equal points too.
@@ -144,7 +191,7 @@ def write_octree(points: DataFrame, path: str, span: int = 128, most_depth: int
     row = free_name(points, "octree_row")
     own = _numbered_rows(points, row, checkpoint)
     cube = root_cube(own)
-    at = _placed(own, row, cube, span, most_depth, checkpoint)
+    at = checkpoint(_placed(own, row, cube, span, most_depth, checkpoint, local), "octree-placed")
     node = F.concat_ws("-", "depth", "nx", "ny", "nz").alias(PLACE[1])
     where = at.select(F.col("row").alias(row), node, _part("depth", ("nx", "ny", "nz")).alias(PLACE[0]))
     placed = own.join(where, row).drop(row)

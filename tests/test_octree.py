@@ -63,3 +63,15 @@ def test_boxes_reach_the_scan(spark, cloud, tmp_path):
         pushed = asked._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1].split("]")[0]
         assert "GreaterThanOrEqual(x,0.0), LessThanOrEqual(x," in pushed
     assert points.in_box(df, []).count() == 0
+
+
+def test_tasks_finish_small_nodes(spark, cloud):
+    """Wherever one task takes over, every point is where the level-by-level split over all tasks has it."""
+    from quarry.plans.tables import written
+
+    rows = lambda **o: sorted(map(tuple, points.octree(cloud, checkpoint=written, **o).collect()))
+    for span, depth in ((1, 21), (2, 3), (3, 21)):
+        want = rows(span=span, most_depth=depth, local=0)
+        assert len(want) == 903
+        for local in (30, 300, 10_000):
+            assert rows(span=span, most_depth=depth, local=local) == want
