@@ -34,9 +34,10 @@ from quarry.llm.common import starts
 
 K = 5
 SCALE = 256
-#: Rows of a block at most, give or take how evenly rows are dealt.
+#: Rows of a block at most, and components of its vectors, give or take how evenly rows are dealt.
 CANDIDATES = 1 << 16
 QUERIES = 1 << 13
+COMPONENTS = 1 << 23
 BLOCK = "block int, ids binary, nulls binary, begin binary, other binary, weights binary"
 #: The last id of all, for rows without one.
 LAST = np.iinfo(np.int64).max
@@ -108,14 +109,14 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, candidates_in_block: int = CANDIDATES, queries_in_block: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, candidates_in_block: int = CANDIDATES, queries_in_block: int = QUERIES, components_in_block: int = COMPONENTS) -> DataFrame:
     """(query_id, rank, vec_id, score) of rows (vec_id, vector); the rows of ``queries`` are rows of ``vectors``, each of which doesn't find itself."""
     spark = vectors.sparkSession
     vectors, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), "vector").where(usable(F.col("vector"))) for x in (vectors, queries))
-    n, m = vectors.count(), queries.count()
+    (n, size), (m, q_size) = (x.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first() for x in (vectors, queries))
     # A small table has blocks enough for all cores too.
-    c_size = min(candidates_in_block, max(1_024, -(-n // (2 * spark.sparkContext.defaultParallelism))))
-    c_blocks, q_blocks = max(1, -(-n // c_size)), max(1, -(-m // queries_in_block))
+    c_rows = min(candidates_in_block, max(1_024, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    c_blocks, q_blocks = (max(1, -(-x // rows), -(-y // components_in_block)) for x, rows, y in ((n, c_rows, size), (m, queries_in_block, q_size)))
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], []]

@@ -35,7 +35,7 @@ def test_top(spark, seed):
     rows += [(500 + i % 7, [0.5] * 6) for i in range(100)] + [(700, [0.5] * 6)] * 3
     rng.shuffle(rows)
     assert found(spark, rows, 5, candidates_in_block=97, queries_in_block=3) == brute(rows, 5)
-    assert found(spark, rows, 2) == brute(rows, 2)
+    assert found(spark, rows, 2, components_in_block=200) == brute(rows, 2)
 
 
 def test_large_weights(spark):
