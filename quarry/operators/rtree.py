@@ -47,8 +47,7 @@ def in_order(features: DataFrame, ties: Sequence[str] = (), name: str = "place",
     if cut is None:
         from quarry.plans.tables import written as cut
     curve, row = free_names(features, "rtree_curve", "rtree_row")
-    own = with_curve(drop_null(features).withColumnRenamed("curve", "rtree_curve_") if "curve" in features.columns else drop_null(features)).withColumnRenamed("curve", curve)
-    own = own.withColumnRenamed("rtree_curve_", "curve") if "curve" in features.columns else own
+    own = with_curve(drop_null(features), name=curve)
     own = cut(own.withColumn(row, F.monotonically_increasing_id()), "rtree-features")
     return numbered(own, [curve, *ties, row], name=name, cut=cut).drop(curve, row)
 
