@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from quarry.operators.order import numbered
 
+#: Rows from which one task makes cells: some 200 MB.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """Rows dealt by keys to as many tasks as have about ``TASK_ROWS`` each, so that what a task groups doesn't grow with the table.  Counting is a pass of its own, which a written table answers from its footers; groups over the keys and more need no further exchange."""
+    return rows.repartition(max(1, -(-rows.count() // TASK_ROWS)), *keys)
+
 
 def in_window(row: int, col: int, height: int, width: int) -> Column:
     """Half-open window; a plain predicate, so it is pushed to the scan."""
@@ -52,8 +60,8 @@ def pyramid(cells: DataFrame, rows: int, cols: int, factors: Sequence[int], fill
 
 
 def stack(cells: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """A column for each band by cell; the bands are named, so no pass is needed to find them."""
-    return cells.groupBy("row", "col").pivot("band", list(bands)).agg(F.first("value"))
+    """A column for each band by cell; the bands are named, so no pass is needed to find them.  One grouping makes all bands; of several values of a band in a cell the largest counts."""
+    return cells.groupBy("row", "col").agg(*[F.max(F.when(F.col("band") == F.lit(b), F.col("value"))).alias(str(b)) for b in bands])
 
 
 def mosaic(cells: DataFrame, nodata: float) -> DataFrame:

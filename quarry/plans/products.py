@@ -162,7 +162,8 @@ _SOURCES = "select l_linenumber as ordinal, l_partkey as \"row\", l_suppkey as c
 def _sources(spark, d):
     """Seven sources on one grid as large as the table's keys."""
     there = F.when((F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % 5 == 0, -1.0).otherwise(F.col("l_quantity").cast("double"))
-    return views.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.max(there).alias("value"))
+    line = raster.dealt(views.table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+    return line.groupBy(F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.max(there).alias("value"))
 
 
 @query(f'select "row", col, arg_max(value, ordinal) as value from ({_SOURCES}) where value <> -1 group by all')

@@ -272,3 +272,15 @@ def test_streaming_profile(spark, tmp_path):
     stream = streaming.windowed_profile(streaming.arriving_objects(spark, f"{tmp_path}/in"))
     streaming.run_available(stream, f"{tmp_path}/c", lambda df, _: out.extend(df.collect()), "update").awaitTermination()
     assert (sum(r.object_count for r in out), sum(r.total_bytes for r in out)) == (3, 6)
+
+
+def test_stack_tasks_grow_with_rows(spark, monkeypatch):
+    from quarry.plans import products
+
+    monkeypatch.setattr(raster, "TASK_ROWS", 1000, raising=False)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    out = products.stack_growing(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # One exchange, and one grouping (two halves) for the cells and one for all bands.
+    assert plan.count("Exchange hashpartitioning") == 1 and "pivotfirst" not in plan and plan.count("HashAggregate(") == 4
+    assert out.rdd.getNumPartitions() == -(-rows // 1000)
