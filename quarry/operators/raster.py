@@ -13,9 +13,18 @@ from quarry.operators.order import numbered
 TASK_ROWS = 500_000
 
 
+def _tasks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // TASK_ROWS))
+
+
 def dealt(rows: DataFrame, *keys: str | Column) -> DataFrame:
     """Rows dealt by keys to as many tasks as have about ``TASK_ROWS`` each, so that what a task groups doesn't grow with the table.  Counting is a pass of its own, which a written table answers from its footers; groups over the keys and more need no further exchange."""
-    return rows.repartition(max(1, -(-rows.count() // TASK_ROWS)), *keys)
+    return rows.repartition(_tasks(rows), *keys)
+
+
+def ranged(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """The same by ranges of the keys, so that a task has neighbours."""
+    return rows.repartitionByRange(_tasks(rows), *keys)
 
 
 def in_window(row: int, col: int, height: int, width: int) -> Column:

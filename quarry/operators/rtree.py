@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import free_names
 from quarry.operators.order import numbered
-from quarry.operators.spatial import BOX, MOST_BOXES, drop_null, with_curve
+from quarry.operators.spatial import BOX, MOST_BOXES, drop_null, spread, with_curve
 
 NODE_SIZE = 16
 #: Columns that tell where a written feature lies; a feature column of one of these names is refused.
@@ -47,8 +47,8 @@ def in_order(features: DataFrame, ties: Sequence[str] = (), name: str = "place",
     if cut is None:
         from quarry.plans.tables import written as cut
     curve, row = free_names(features, "rtree_curve", "rtree_row")
-    own = with_curve(drop_null(features), name=curve)
-    own = cut(own.withColumn(row, F.monotonically_increasing_id()), "rtree-features")
+    own = drop_null(features).withColumn(row, F.monotonically_increasing_id())
+    own = cut(with_curve(spread(own), name=curve), "rtree-features")
     return numbered(own, [curve, *ties, row], name=name, cut=cut).drop(curve, row)
 
 

@@ -123,7 +123,7 @@ def _growing(spark, d):
     line = views.table(spark, d, "lineitem")
     per = F.when(F.col("l_returnflag") == "A", 1).otherwise(3)
     at = lambda c: F.floor(F.col(c) / per).cast("long")
-    own = line.groupBy(F.col("l_returnflag").alias("component"), at("l_partkey").alias("row"), at("l_suppkey").alias("col")).agg(F.avg("l_quantity").alias("value"))
+    own = raster.dealt(line.withColumns({"component": F.col("l_returnflag"), "row": at("l_partkey"), "col": at("l_suppkey")}), "component", "row", "col").groupBy("component", "row", "col").agg(F.avg("l_quantity").alias("value"))
     return own.withColumn("value", F.when((F.col("row") + F.col("col")) % 7 == 0, FILL).otherwise(F.col("value")))
 
 

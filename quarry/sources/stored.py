@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.grid import index_bytes
 from quarry.functions.names import free_name
-from quarry.operators import ladders, layouts, points, rtree, spatial
+from quarry.operators import ladders, layouts, points, raster, rtree, spatial
 from quarry.sources.listing import list_objects
 from quarry.sources.options import Indexed, Kind, Store, Tree
 from quarry.sources.registry import layouts as registered
@@ -51,11 +51,12 @@ class StoreLayout:
         per = (F.lit(1 << 40), F.lit(1 << 40)) if shard == "auto" else tuple(F.lit(max(1, s // c)) for s, c in zip(shard, (rows, cols), strict=True))
         cell = F.struct((F.col("row") % rows).cast("int").alias("row"), (F.col("col") % cols).cast("int").alias("col"), "value")
         stored = levels if fill is None else levels.where(F.col("value") != fill)
-        keys = [F.expr(f"row div {rows}").alias("chunk_row"), F.expr(f"col div {cols}").alias("chunk_col")]
-        chunks = stored.groupBy("component", "level", *keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-        placed = chunks.withColumns({"shard_row": F.floor(F.col("chunk_row") / per[0]), "shard_col": F.floor(F.col("chunk_col") / per[1])})
-        order = ("component", "level", "shard_row", "shard_col")
-        placed.repartitionByRange(*order).sortWithinPartitions(*order, "chunk_row", "chunk_col").write.partitionBy("component", "level").mode("overwrite").parquet(f"{path}/arrays")
+        stored = stored.withColumns({"chunk_row": F.expr(f"row div {rows}"), "chunk_col": F.expr(f"col div {cols}")})
+        stored = stored.withColumns({"shard_row": F.floor(F.col("chunk_row") / per[0]), "shard_col": F.floor(F.col("chunk_col") / per[1])})
+        order, chunk = ("component", "level", "shard_row", "shard_col"), ("chunk_row", "chunk_col")
+        # Cells move once, to the task that writes their shard, and become chunks there.  The level stays out of the ranges: a single one is a constant, by which no range is known.
+        chunks = raster.ranged(stored, "component", "shard_row", "shard_col").groupBy(*order, *chunk).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+        chunks.select("component", "level", *chunk, "cells", "shard_row", "shard_col").sortWithinPartitions(*order, *chunk).write.partitionBy("component", "level").mode("overwrite").parquet(f"{path}/arrays")
         _note(spark, path, chunk_rows=rows, chunk_cols=cols, shard_rows=0 if shard == "auto" else shard[0], shard_cols=0 if shard == "auto" else shard[1])
 
     def describe(self, spark, path: str) -> DataFrame:

@@ -77,3 +77,22 @@ def test_written_layouts(spark, tmp_path):
     out = run.conversion(cloud, "octree", str(tmp_path / "o"), {"span": 2})
     assert out["records"].select(layouts.detail("points", "long"), layouts.detail("carried", "array<string>")).first() == (50, ["cls", "depth"])
     assert out["profile"].first().object_count > 0
+
+
+def test_writers_grow_with_rows(spark, tmp_path, monkeypatch):
+    """Tasks that write a store are as many as its cells ask for, each shard in one file; a curve over one partition is worked out by several tasks."""
+    from quarry.operators import raster, rtree, spatial
+    from quarry.sources import stored  # noqa: F401
+    from quarry.sources.registry import layouts as kinds
+
+    monkeypatch.setattr(raster, "TASK_ROWS", 50)
+    cells = spark.range(400).select(F.lit("a").alias("component"), F.expr("id div 20").alias("row"), (F.col("id") % 20).alias("col"), F.col("id").cast("double").alias("value"))
+    kinds.get("store").write(cells, str(tmp_path / "s"), kinds.get("store").options(chunk=2, shard=4, levels=0))
+    files = spark.read.parquet(str(tmp_path / "s/arrays")).select("shard_row", "shard_col", F.input_file_name().alias("file"), F.size("cells").alias("n")).distinct().collect()
+    assert len({r.file for r in files}) >= 4 and len(files) == len({(r.shard_row, r.shard_col) for r in files}) == 25 and {r.n for r in files} == {4}
+    monkeypatch.setattr(spatial, "TASK_FEATURES", 10, raising=False)
+    seen = []
+    cut = lambda df, name: (seen.append((name, df.rdd.getNumPartitions())), df)[1]
+    features = spark.range(0, 95, 1, 1).select("id", *[(F.col("id") % 7 + k).cast("double").alias(c) for k, c in enumerate(spatial.BOX)])
+    assert rtree.in_order(features, ["id"], cut=cut).count() == 95 and ("rtree-features", 10) in seen
+    assert spatial.clustered(features, 2, cut=cut).count() == 95 and seen[-1] == ("curve", 10)
