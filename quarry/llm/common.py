@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,34 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that Python and Arrow have freed back to the system.  A Python worker lives on after its task, and would hold it beside the stages that run in the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over batches that gives back at its end what it has freed."""
+
+    def freeing(batches):
+        yield from run(batches)
+        release()
+
+    return freeing
+
+
+def group_released(run: Callable) -> Callable:
+    """The same for a task over the table of a group."""
+
+    def freeing(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        out = run(key, rows)
+        release()
+        return out
+
+    return freeing
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  ``bytes.lower`` and ``bytes.split`` deal with ASCII alone, as is wanted."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

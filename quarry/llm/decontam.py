@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHash, shingles, small_batches, starts, task_base
+from quarry.llm.common import WordHash, released, shingles, small_batches, starts, task_base
 
 WINDOW = 10
 SHINGLE = 3
@@ -57,7 +57,7 @@ def windows_of(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -
                     out.append({"item_id": item, "words": [x.decode("utf-8", "replace") for x in words[k : k + size]], "width": width, "keys": shingles(h[k : k + size], width).view(np.int64).tolist()})
             yield pa.RecordBatch.from_pylist(out, pa.schema({"item_id": pa.int64(), "words": pa.list_(pa.string()), "width": pa.int32(), "keys": pa.list_(pa.int64())}))
 
-    return items.select("item_id", "text").mapInArrow(run, "item_id long, words array<string>, width int, keys array<long>").distinct()
+    return items.select("item_id", "text").mapInArrow(released(run), "item_id long, words array<string>, width int, keys array<long>").distinct()
 
 
 def _tokens(batch: pa.RecordBatch, hashes: WordHash) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -96,7 +96,7 @@ def rarity(docs: DataFrame, widths: list[int], wanted: np.ndarray | None) -> Dat
                 key, n = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def occurrences(docs: DataFrame, widths: list[int], wanted: np.ndarray | None, window: int = WINDOW) -> DataFrame:
@@ -123,7 +123,7 @@ def occurrences(docs: DataFrame, widths: list[int], wanted: np.ndarray | None, w
             )
             base += n
 
-    return docs.select("doc_id", "text").mapInArrow(run, DOCS)
+    return docs.select("doc_id", "text").mapInArrow(released(run), DOCS)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, prune_most: int = PRUNE_MOST) -> DataFrame:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hashed_words, shingles, small_batches, starts, written
+from quarry.llm.common import group_released, hashed_words, release, released, shingles, small_batches, starts, written
 from quarry.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -102,47 +102,51 @@ def edges_of(sorted_keys: np.ndarray) -> np.ndarray:
 def surveyed(docs: DataFrame, width: int, blocks: int, crowd: int) -> DataFrame:
     """One pass over the texts: a row per document, and the incidence of each batch packed by block."""
 
+    def survey(batch):
+        sets = sets_of(batch.column("text").to_pylist(), width)
+        names = [node_of(g) if len(g) else None for g in sets]
+        key = batch.column("key")
+        yield filled(SURVEY, len(sets), kind=DOC, block=pc.bit_wise_and(key, (1 << 30) - 1).to_numpy() % blocks, doc_id=batch.column("doc_id"), key=key, node=pa.array(names, pa.int64()), n=[len(g) for g in sets])
+        # A text that the batch holds many times enters once.
+        own = {name: g for name, g in zip(names, sets, strict=True) if name is not None}
+        if not own:
+            return
+        nodes, sets = np.array(list(own), np.int64), list(own.values())
+        grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+        order = np.argsort(grams, kind="stable")
+        at = edges_of(grams[order])
+        length = np.diff(at)
+        many = np.flatnonzero(length >= crowd)
+        alone = np.ones(len(grams), bool)
+        if len(many):
+            among = [order[at[k] : at[k + 1]] for k in many.tolist()]
+            alone[np.concatenate(among)] = False
+            which = grams[order[at[many]]]
+            yield filled(SURVEY, len(many), kind=LIST, block=block_of(which + nodes[:1].view(np.uint64), blocks), node=which.view(np.int64), nodes=[nodes[owner[x]].tobytes() for x in among])
+            block = block_of(which, blocks)
+            by = np.argsort(block, kind="stable")
+            cut = edges_of(block[by])
+            number = length[many].astype(np.uint32)
+            yield filled(SURVEY, len(cut) - 1, kind=NUMBER, block=block[by][cut[:-1]], grams=[which[by[a:b]].tobytes() for a, b in zip(cut, cut[1:], strict=False)], owners=[number[by[a:b]].tobytes() for a, b in zip(cut, cut[1:], strict=False)])
+        grams, owner = grams[alone], owner[alone]
+        block = block_of(grams, blocks)
+        by = np.argsort(block.astype(np.uint16) if blocks < 1 << 16 else block, kind="stable")
+        grams, owner, block = grams[by], owner[by], block[by]
+        rows = []
+        for a, b in zip(cut := edges_of(block).tolist(), cut[1:], strict=False):
+            # Entries of a block lie by node, so the numbers of nodes are small steps.
+            here, count = np.unique(owner[a:b], return_counts=True)
+            rows.append((int(block[a]), grams[a:b].tobytes(), zlib.compress(count.astype(np.uint32).tobytes(), 1), nodes[here].tobytes()))
+        if rows:
+            number, packed, owners, names = zip(*rows, strict=True)
+            yield filled(SURVEY, len(rows), kind=ENTRIES, block=list(number), grams=list(packed), owners=list(owners), nodes=list(names))
+
     def run(batches):
         for batch in small_batches(batches, 5_000_000):
-            sets = sets_of(batch.column("text").to_pylist(), width)
-            names = [node_of(g) if len(g) else None for g in sets]
-            key = batch.column("key")
-            yield filled(SURVEY, len(sets), kind=DOC, block=pc.bit_wise_and(key, (1 << 30) - 1).to_numpy() % blocks, doc_id=batch.column("doc_id"), key=key, node=pa.array(names, pa.int64()), n=[len(g) for g in sets])
-            # A text that the batch holds many times enters once.
-            own = {name: g for name, g in zip(names, sets, strict=True) if name is not None}
-            if not own:
-                continue
-            nodes, sets = np.array(list(own), np.int64), list(own.values())
-            grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(g) for g in sets])
-            order = np.argsort(grams, kind="stable")
-            at = edges_of(grams[order])
-            length = np.diff(at)
-            many = np.flatnonzero(length >= crowd)
-            alone = np.ones(len(grams), bool)
-            if len(many):
-                among = [order[at[k] : at[k + 1]] for k in many.tolist()]
-                alone[np.concatenate(among)] = False
-                which = grams[order[at[many]]]
-                yield filled(SURVEY, len(many), kind=LIST, block=block_of(which + nodes[:1].view(np.uint64), blocks), node=which.view(np.int64), nodes=[nodes[owner[x]].tobytes() for x in among])
-                block = block_of(which, blocks)
-                by = np.argsort(block, kind="stable")
-                cut = edges_of(block[by])
-                number = length[many].astype(np.uint32)
-                yield filled(SURVEY, len(cut) - 1, kind=NUMBER, block=block[by][cut[:-1]], grams=[which[by[a:b]].tobytes() for a, b in zip(cut, cut[1:], strict=False)], owners=[number[by[a:b]].tobytes() for a, b in zip(cut, cut[1:], strict=False)])
-            grams, owner = grams[alone], owner[alone]
-            block = block_of(grams, blocks)
-            by = np.argsort(block.astype(np.uint16) if blocks < 1 << 16 else block, kind="stable")
-            grams, owner, block = grams[by], owner[by], block[by]
-            rows = []
-            for a, b in zip(cut := edges_of(block).tolist(), cut[1:], strict=False):
-                # Entries of a block lie by node, so the numbers of nodes are small steps.
-                here, count = np.unique(owner[a:b], return_counts=True)
-                rows.append((int(block[a]), grams[a:b].tobytes(), zlib.compress(count.astype(np.uint32).tobytes(), 1), nodes[here].tobytes()))
-            if rows:
-                number, packed, owners, names = zip(*rows, strict=True)
-                yield filled(SURVEY, len(rows), kind=ENTRIES, block=list(number), grams=list(packed), owners=list(owners), nodes=list(names))
-
-    return docs.select("doc_id", "text", row_key()).mapInArrow(run, ddl(SURVEY))
+            yield from survey(batch)
+            release()
+
+    return docs.select("doc_id", "text", row_key()).mapInArrow(released(run), ddl(SURVEY))
 
 
 def met(survey: DataFrame) -> DataFrame:
@@ -184,7 +188,7 @@ def met(survey: DataFrame) -> DataFrame:
         out.append(filled(MET, int(keep.sum()), kind=ENTRIES, node=nodes[keep], gram=grams[keep].view(np.int64), df=df[keep]))
         return pa.Table.from_batches(out)
 
-    return survey.groupBy("block").applyInArrow(run, ddl(MET))
+    return survey.groupBy("block").applyInArrow(group_released(run), ddl(MET))
 
 
 def shared_sets(rows: DataFrame) -> DataFrame:
@@ -197,7 +201,7 @@ def shared_sets(rows: DataFrame) -> DataFrame:
 
     entries = rows.where(F.col("kind") == ENTRIES).select("node", "gram", "df")
     numbers = rows.where(F.col("kind") == NUMBER).select("gram", "df")
-    lists = rows.where(F.col("kind") == LIST).select("gram", "nodes").join(numbers, "gram").select("gram", "df", "nodes").mapInArrow(each, "node long, gram long, df long")
+    lists = rows.where(F.col("kind") == LIST).select("gram", "nodes").join(numbers, "gram").select("gram", "df", "nodes").mapInArrow(released(each), "node long, gram long, df long")
     sizes = rows.where((F.col("kind") == DOC) & F.col("node").isNotNull()).select("node", "n").distinct()
     null = F.lit(None).cast("long")
     both = entries.unionByName(lists).select("node", null.alias("n"), F.struct("df", "gram").alias("g")).unionByName(sizes.select("node", "n", F.lit(None).cast("struct<df:long,gram:long>").alias("g")))

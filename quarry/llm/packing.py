@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow, encoder_of, small_batches, task_base, written
+from quarry.llm.common import arrow, encoder_of, released, small_batches, task_base, written
 
 LENGTH = 1024
 GROUP_ROWS = 8000
@@ -43,7 +43,7 @@ def cut_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = No
                 row += len(ids) // step + 1
             yield arrow({n: (c, pa.int64()) for n, c in zip(("row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"), zip(*out, strict=True), strict=True)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(released(run), PIECES)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import small_batches, starts, written
+from quarry.llm.common import group_released, released, small_batches, starts, written
 
 #: Top bits that must be zero at a cut: chunks are 2**BITS bytes long on average.
 BITS = 5
@@ -115,7 +115,7 @@ def packed_chunks(docs: DataFrame, buckets: int) -> DataFrame:
             yield packed((digest[~later, 0] >> np.uint64(11)).astype(np.int64) % buckets, 0, digest[~later], rank[~later], key[~later], place[~later])
             yield packed((key[later] >> 7) % buckets, 1, digest[later], rank[later], key[later], place[later])
 
-    return docs.select("rank", "key", "text").mapInArrow(run, "bucket long, kind int, digests binary, ranks binary, keys binary, places binary")
+    return docs.select("rank", "key", "text").mapInArrow(released(run), "bucket long, kind int, digests binary, ranks binary, keys binary, places binary")
 
 
 def in_order(digest, rank, key, place):
@@ -149,7 +149,7 @@ def later_places(packed: DataFrame) -> DataFrame:
         at = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else [0]
         return pa.table({"key": pa.array(key[at[:-1]], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(run, "key long, places binary")
+    return packed.groupBy("bucket").applyInArrow(group_released(run), "key long, places binary")
 
 
 def runs_to_drop(data: bytes, ends: np.ndarray, later: np.ndarray, least_words: int) -> list[tuple[int, int]]:
@@ -226,7 +226,7 @@ def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(count, pa.int64()), pa.array(n_later, pa.int64()), pa.array(dropped, schema)], names=[*columns, *names])
 
     added = StructType.fromDDL("n_chunks long, n_later long, dropped array<struct<begin:long,end:long>>")
-    return both.mapInArrow(run, StructType([*fields, *added.fields]))
+    return both.mapInArrow(released(run), StructType([*fields, *added.fields]))
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow, mixed, small_batches, starts
+from quarry.llm.common import arrow, mixed, release, released, small_batches, starts
 
 WINDOW, STRIDE = 32, 16
 CHAR_ROWS, WIDE, HIDDEN = 1 << 14, 8, 8
@@ -321,8 +321,9 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
         for batch in small_batches(batches, 2_000_000):
             texts = batch.column("text").to_pylist()
             yield arrow({"doc_id": (batch.column("doc_id"), pa.int64()), "score": (net.score(texts) if net else np.zeros(len(texts)), pa.float64())})
+            release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, score double")
 
 
 def clean_documents(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -333,5 +334,6 @@ def clean_documents(docs: DataFrame, network: Network | None, threshold: float =
         net = Network(*sent.value) if sent.value else None
         for batch in small_batches(batches, 2_000_000):
             yield batch.filter(pa.array(net.score(batch.column("text").to_pylist()) < threshold)) if net else batch
+            release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
