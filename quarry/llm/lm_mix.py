@@ -78,26 +78,19 @@ def text_bytes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.uint8), first, at
 
 
+def last_bytes(data: bytes) -> np.ndarray:
+    """Of each byte: the eight bytes that end with it as a number, itself lowest; ahead of all are zeros."""
+    return np.ndarray(len(data), ">u8", bytes(7) + data, strides=(1,)).astype(np.uint64)
+
+
 def pair_keys(parts: list[bytes], before: list[bytes]) -> np.ndarray:
     """Key of each byte of the parts by order, [order, byte]: the order's number, the bytes before and the byte itself.  ``before`` is what a part's text has right before it; ahead of a text all bytes are END."""
-    data, first, at = text_bytes([x + y for x, y in zip(before, parts, strict=True)])
-    n, begin, longest = len(data), np.flatnonzero(first), max(ORDERS)
-    keys, context = np.empty((len(ORDERS), n), np.uint64), np.zeros(n, np.uint64)
-    for k in range(1, longest + 1):
-        back = np.full(n, END, np.uint64)
-        back[k:] = data[:-k]
-        for j in range(k):
-            back[begin[begin + j < n] + j] = END
-        context |= back << np.uint64(8 * k)
-        if k in ORDERS:
-            which = ORDERS.index(k)
-            keys[which] = context | data | np.uint64(which << 56)
-    if not any(before):
-        return keys
-    own = np.ones(n, bool)
-    for a, x in zip(at.tolist(), before, strict=False):
-        own[a : a + len(x)] = False
-    return keys[:, own]
+    longest = max(ORDERS)
+    data, _, at = text_bytes([bytes([END]) * (longest - len(x)) + x + y for x, y in zip(before, parts, strict=True)])
+    own = np.ones(len(data), bool)
+    own[(at[:-1, None] + np.arange(longest)).ravel()] = False
+    latest = last_bytes(data.tobytes())[own]
+    return np.stack([latest & np.uint64((1 << 8 * (k + 1)) - 1) | np.uint64(which << 56) for which, k in enumerate(ORDERS)])
 
 
 def pieces(texts: list[str | None]):
@@ -169,14 +162,14 @@ def codes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def guesses(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of each byte: what followed when its part last had the same ``MATCH`` bytes before (-1: never), and how many guesses in a row were right just before."""
     data, first, at = text_bytes(parts)
-    n, owner = len(data), np.repeat(np.arange(len(parts)), np.diff(at))
-    key = np.zeros(n, np.uint64)
-    for k in range(1, MATCH + 1):
-        key[k:] |= data[:-k].astype(np.uint64) << np.uint64(8 * (k - 1))
-    full = np.flatnonzero(np.arange(n) - at[owner] >= MATCH)
+    n, owner, places = len(data), np.repeat(np.arange(len(parts)), np.diff(at)), np.arange(len(data), dtype=np.int32)
+    enough = np.ones(n + MATCH, bool)
+    enough[(at[:-1, None] + np.arange(MATCH)).ravel()] = False
+    full = np.flatnonzero(enough[:n])
+    key = last_bytes(bytes(1) + data.tobytes())[full] & np.uint64((1 << 8 * MATCH) - 1)
     # A context's hash above the place, so that places with one context lie together in order.
     low = np.uint64((1 << PLACE_BITS) - 1)
-    key = np.sort(mixed(key[full] * np.uint64(0x9E3779B97F4A7C15) + owner[full].astype(np.uint64)) & ~low | full.astype(np.uint64))
+    key = np.sort(mixed(key * np.uint64(0x9E3779B97F4A7C15) + owner[full].astype(np.uint64)) & ~low | full.astype(np.uint64))
     place, same = (key & low).astype(np.int64), key[1:] >> np.uint64(PLACE_BITS) == key[:-1] >> np.uint64(PLACE_BITS)
     before, after = place[:-1][same], place[1:][same]
     mine = owner[before] == owner[after]
@@ -184,9 +177,9 @@ def guesses(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     guess[after[mine]] = data[before[mine]]
     right = guess == data
     # Guesses in a row that were right: places since the last that wasn't, or since the text's begin.
-    wrong = np.maximum.accumulate(np.where(~right, np.arange(n), -1))
+    wrong = np.maximum.accumulate(np.where(right, np.int32(-1), places))
     run = np.zeros(n, np.int64)
-    run[1:] = np.arange(n - 1) - np.maximum(wrong[:-1], at[owner[1:]] - 1)
+    run[1:] = places[:-1] - np.maximum(wrong[:-1], np.repeat(at[:-1] - 1, np.diff(at))[1:])
     run[first] = 0
     return guess, np.minimum(run, len(STRENGTH) - 1).astype(np.int8)
 
@@ -202,12 +195,14 @@ def pair_score(code, made: list[tuple], n_texts: int, pairs: np.ndarray, logits:
     at = starts(code[0][(pairs & np.uint64(0xFFFF)).astype(np.int64)])
     out, last, state = np.zeros(n_texts, np.float64), None, None
     for owner, parts, before, distinct, number in made:
-        begin = at[np.searchsorted(pairs, distinct)].astype(np.int32)
+        # Sorted keys are found faster than scattered ones.
+        order, begin = np.argsort(distinct), np.empty(len(distinct), np.int32)
+        begin[order] = at[np.searchsorted(pairs, distinct[order])]
 
-        def inputs_of(of, depth, begin=begin, number=number):
-            x = np.empty((len(number) + 1, len(of)), np.int8)
+        def inputs_of(steps, depth, begin=begin, number=number):
+            x = np.empty((len(number) + 1, len(depth)), np.int8)
             for k, row in enumerate(number):
-                logits.take(begin.take(row).take(of) + depth, out=x[k], mode="clip")
+                logits.take(np.repeat(begin.take(row), steps) + depth, out=x[k], mode="clip")
             return x
 
         carried = state if len(owner) == 1 and owner[0] == last else None
@@ -218,7 +213,7 @@ def pair_score(code, made: list[tuple], n_texts: int, pairs: np.ndarray, logits:
 
 
 def mixed_bits(code, parts: list[bytes], before: list[bytes], inputs_of, state=None) -> tuple[np.ndarray, tuple]:
-    """log2 probability of each part, and its weights and counts after it.  ``inputs_of(of, depth)`` gives the logits [order, decision] at bytes ``of``, with a row to spare for the match."""
+    """log2 probability of each part, and its weights and counts after it.  ``inputs_of(steps, depth)`` gives the logits [order, decision] of bytes of so many decisions, with a row to spare for the match."""
     data, first, at = text_bytes(parts)
     length, nodes, signs = code
     width = nodes.shape[1]
@@ -234,19 +229,20 @@ def mixed_bits(code, parts: list[bytes], before: list[bytes], inputs_of, state=N
     # Each text's decisions fill whole blocks: its last symbol has as many empty ones as are needed.
     empty = blocks * BLOCK - per_text
     steps[at[1:] - 1] += empty
-    of = np.repeat(np.arange(len(data), dtype=np.int32), steps)
-    depth = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(steps) - steps).astype(np.int32), steps)
+    # Of each decision: what its byte has.
+    of = lambda x: np.repeat(x, steps)
+    depth = np.arange(steps.sum(), dtype=np.int32) - of((np.cumsum(steps) - steps).astype(np.int32))
     np.minimum(depth, width - 1, out=depth)
-    path = depth + ((last + data) * width).take(of)
+    path = depth + of((last + data) * width)
     node, sign = nodes.take(path), signs.take(path).reshape(-1, BLOCK)
-    x = inputs_of(of, depth)
+    x = inputs_of(steps, depth)
     # The match speaks as long as the guess's code has gone the same way.
     guess, run = guesses(parts)
-    path = depth + np.where(guess < 0, -width, (last + guess) * width).astype(np.int32).take(of)
+    path = depth + of(np.where(guess < 0, -width, (last + guess) * width).astype(np.int32))
     agrees = (nodes.take(path, mode="clip") == node) & (path >= 0) & (node >= 0)
     strong = np.rint(SCALE * np.array(STRENGTH)).astype(np.int8)
-    x[-1] = np.where(agrees, strong[run].take(of) * signs.take(path, mode="clip"), 0)
-    kind = (np.where(guess < 0, 0, np.where(run < 3, 1, 2)) * SIZES).astype(np.int16).take(of).reshape(-1, BLOCK)
+    x[-1] = of(strong[run]) * signs.take(path, mode="clip") * agrees
+    kind = of((np.where(guess < 0, 0, np.where(run < 3, 1, 2)) * SIZES).astype(np.int16)).reshape(-1, BLOCK)
     orders = len(x)
     x = x.reshape(orders, -1, BLOCK)
     # Texts side by side, longest first, a block of each at a time.
@@ -262,7 +258,7 @@ def mixed_bits(code, parts: list[bytes], before: list[bytes], inputs_of, state=N
     for t in range(int(blocks.max())):
         who = order[: live[t]]
         rows = begin[who] + t
-        inputs, s, w = x[:, rows].astype(np.float32), sign[rows].astype(np.float32), weights[who]
+        inputs, s, w = x.take(rows, axis=1).astype(np.float32), sign.take(rows, axis=0).astype(np.float32), weights[who]
         m = inputs[0] * w[:, :1]
         for k in range(1, orders):
             m += inputs[k] * w[:, k : k + 1]
@@ -270,13 +266,20 @@ def mixed_bits(code, parts: list[bytes], before: list[bytes], inputs_of, state=N
         far = np.abs(m)
         q = 1 / (1 + np.exp(-far))
         likely = m > 0
+        # 1 or -1, by which both cases are worked out in one: picking by a mask is slower.
+        side = likely.astype(np.float32)
+        side *= 2
+        side -= 1
         # The refinement, of the likelier bit.
-        cell = np.minimum(far * np.float32(1 / STEP), SIZES - 1).astype(np.intp)
-        cell += kind[rows]
+        cell = np.minimum(far * np.float32(1 / STEP), SIZES - 1).astype(np.int16)
+        cell += kind.take(rows, axis=0)
+        cell = cell.astype(np.intp)
         cell += np.arange(len(who))[:, None] * cells
         refined = (came[who] / seen[who]).ravel().take(cell, mode="clip")
         refined += q
-        p = np.where(likely, refined, 2 - refined)
+        refined -= 1
+        p = refined * side
+        p += 1
         # Twice the probability; an empty decision counts as one bit, which was put in before.
         p[s == 0] = 1
         out[who] += np.log(p).sum(1) / math.log(2) - BLOCK
@@ -284,8 +287,10 @@ def mixed_bits(code, parts: list[bytes], before: list[bytes], inputs_of, state=N
         cell += likely
         both = np.bincount(cell.ravel(), minlength=2 * cells * len(who)).reshape(len(who), cells, 2)
         came[who] += both[:, :, 1]
-        seen[who] += both.sum(2)
-        s *= np.where(likely, 1 - q, q)
+        seen[who] += both[:, :, 0] + both[:, :, 1]
+        q -= np.float32(0.5)
+        q *= side
+        s *= np.float32(0.5) - q
         weights[who] = w + rate * np.einsum("kmb,mb->mk", inputs, s)
     return out, (weights, came, seen)
 

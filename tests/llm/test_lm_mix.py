@@ -149,3 +149,9 @@ def test_model_grows_with_the_corpus(spark):
     rows = [(k, " ".join(rng.choice(words, 60))) for k in range(2_000)]
     got = L.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("held_out").collect()
     assert np.mean([r.bits_per_byte for r in got]) < 2.45
+
+
+def test_last_bytes():
+    data = b"some bytes of text" + bytes([L.END])
+    assert L.last_bytes(data).tolist() == [int.from_bytes((bytes(8) + data)[k + 1 : k + 9], "big") for k in range(len(data))]
+    assert L.last_bytes(b"").tolist() == []
